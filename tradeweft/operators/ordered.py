@@ -293,3 +293,28 @@ def downsample(df: DataFrame, n: int, order: Sequence[str], required: Sequence[s
     rows = chunk(df.dropna(subset=list(required)), [], order)
     numbered = scan(rows, Scan("_rn", "sum", F.lit(1)))
     return numbered.map(numbered.df.filter(F.pmod(F.col("_rn"), F.lit(n)) == 1 % n).drop("_rn")).rows()
+
+
+def percentiles(df: DataFrame, column: str, levels: Sequence[float],
+                by: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated percentiles per group as array column ``q``.
+
+    Values are counted first and ranked by a scan, so a group of any size is spread over
+    all tasks (the built-in exact percentile keeps the values of a group in one).
+    """
+    per = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    ranked = scan(chunk(per, by, ["_v"]), Scan("_hi", "sum", F.col("_n"))).rows()
+    total = per.groupBy(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(by)]).agg(F.sum("_n").alias("_total"))
+    on = _same([F.col(k) for k in by], [F.col(f"_t{i}") for i in range(len(by))])
+    rows = ranked.join(total, on) if by else ranked.crossJoin(F.broadcast(total))
+    picks = []
+    for i, p in enumerate(levels):
+        at = (F.col("_total") - 1) * F.lit(float(p))  # 0-based position
+        for side, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            inside = (F.col("_hi") > k) & (F.col("_hi") - F.col("_n") <= k)
+            picks.append(F.max(F.when(inside, F.col("_v"))).alias(f"_{side}{i}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"_f{i}"))
+    found = rows.groupBy(*by).agg(*picks)
+    q = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}") for i in range(len(levels))]
+    return found.select(*by, F.array(*q).alias("q"))
