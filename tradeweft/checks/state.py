@@ -97,7 +97,7 @@ def _evm_unpriced(t):
 _PM = """SELECT token_a AS token, n, if(count(*) OVER w = 10, median(pa) OVER w, NULL) AS m FROM {src}
   WINDOW w AS (PARTITION BY token_a ORDER BY n ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""
 check("t8_price_evm", lambda t: PR.price_evm(_evm_unpriced(t), _REFS, "USDC", order=_BLOCK).select(
-      "block_number", "token_a", "token_b", "token_a_usdc_price", "token_b_usdc_price", "a_b_swapped"),
+      "block_number", "token_a", "token_b", (F.col("token_a_usdc_price") * 100).alias("token_a_usdc_price_x100"), "token_b_usdc_price", "a_b_swapped"),
       f"""WITH u AS (SELECT block_number AS n, pool_address, amount_a, amount_b, token_a,
         CASE WHEN token_b = 'OTHER' AND token_a <> 'T2' THEN 'T2' ELSE token_b END AS token_b FROM evm),
 o AS (SELECT *, coalesce(list_position(['USDC','SOL','T2'], token_a), 99) < coalesce(list_position(['USDC','SOL','T2'], token_b), 99) AS sw FROM u),
@@ -110,8 +110,8 @@ u2 AS (SELECT f.token_a, f.n, f.ratio * m1.m AS pa FROM f ASOF JOIN m1 ON m1.tok
         WHERE f.token_a = 'T2' AND f.pool_address = 'pool_2' AND m1.m IS NOT NULL),
 m2 AS ({_PM.format(src='u2')}), m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2),
 p AS (SELECT f.n, if(token_b = 'USDC', 1.0, m.m) AS pb, ratio FROM f ASOF LEFT JOIN m ON m.token = f.token_b AND m.n < f.n)
-FINAL SELECT v.n AS block_number, token_a, token_b, coalesce(p.ratio * pb, 0) AS token_a_usdc_price, coalesce(pb, 0) AS token_b_usdc_price,
-        sw AS a_b_swapped FROM v LEFT JOIN p ON p.n = v.n""", "token_a_usdc_price token_b_usdc_price")
+FINAL SELECT v.n AS block_number, token_a, token_b, coalesce(p.ratio * pb, 0) * 100 AS token_a_usdc_price_x100, coalesce(pb, 0) AS token_b_usdc_price,
+        sw AS a_b_swapped FROM v LEFT JOIN p ON p.n = v.n""", "token_a_usdc_price_x100 token_b_usdc_price")
 _UPD = """SELECT q.token_a AS token, q.n, q.pa AS price, q.pool_address AS pool, best.pool_address IS NOT NULL AS best
   FROM ({src}) q LEFT JOIN ({best}) best ON best.token_a = q.token_a AND best.h = date_trunc('hour', q.ts - INTERVAL 1 HOUR)
   WHERE (best.pool_address IS NULL OR best.pool_address = q.pool_address) AND q.pa IS NOT NULL"""
@@ -129,7 +129,7 @@ def _unpriced(t):
 
 
 check("t9_price_quote", lambda t: PR.price_quote(_unpriced(t), ["USDC", "USDT", "SOL"], X.STABLES, order=["block_number"], days=3).select(
-      "block_number", "token_a_usdc_price", "token_b_usdc_price", "token_a_pricing_pool", "token_a_best_pricing_pool_selected"),
+      "block_number", (F.col("token_a_usdc_price") * 10).alias("token_a_usdc_price_x10"), "token_b_usdc_price", "token_a_pricing_pool", "token_a_best_pricing_pool_selected"),
       f"""WITH u AS (SELECT block_number AS n, timestamp AS ts, pool_address, amount_a, amount_b, token_a,
         CASE WHEN block_number % 50 = 7 THEN 'T2' ELSE token_b END AS token_b, abs(amount_b / amount_a) AS ratio FROM swaps),
 st AS (SELECT *, 1.0 AS pb, ratio AS pa FROM u WHERE token_b IN ('USDC', 'USDT')),
@@ -141,10 +141,10 @@ moves AS (SELECT * FROM native UNION ALL {_UPD.format(src=_Q2, best=_RB.format(s
 ob AS (SELECT u.*, moves.price AS pb FROM u ASOF LEFT JOIN moves ON moves.token = u.token_b AND moves.n < u.n WHERE token_b NOT IN {Q_SQL}),
 rest AS (SELECT n, token_a, pb FROM ob UNION ALL SELECT n, token_a, pb FROM quoted WHERE pa IS NULL),
 ra AS (SELECT rest.n, moves.price AS pa, rest.pb, moves.pool, moves.best FROM rest ASOF LEFT JOIN moves ON moves.token = rest.token_a AND moves.n < rest.n)
-FINAL SELECT n AS block_number, coalesce(pa, 0) AS token_a_usdc_price, coalesce(pb, 0) AS token_b_usdc_price, '' AS token_a_pricing_pool,
+FINAL SELECT n AS block_number, coalesce(pa, 0) * 10 AS token_a_usdc_price_x10, coalesce(pb, 0) AS token_b_usdc_price, '' AS token_a_pricing_pool,
         false AS token_a_best_pricing_pool_selected FROM quoted WHERE pa IS NOT NULL
-      UNION ALL SELECT n, coalesce(pa, 0), coalesce(pb, 0), coalesce(pool, ''), coalesce(best, false) FROM ra""",
-      "token_a_usdc_price token_b_usdc_price")
+      UNION ALL SELECT n, coalesce(pa, 0) * 10, coalesce(pb, 0), coalesce(pool, ''), coalesce(best, false) FROM ra""",
+      "token_a_usdc_price_x10 token_b_usdc_price")
 check("p21_pair_price_series", lambda t: t.swaps.groupBy("pool_address").agg(
       F.avg(pair_price(F.col("amount_a"), F.col("amount_b"))).alias("mean_price")),
       "SELECT pool_address, avg(abs(amount_b / amount_a)) AS mean_price FROM swaps GROUP BY 1", "mean_price")

@@ -29,14 +29,14 @@ def binary_metrics(df: DataFrame, label: str = "label", score: str = "score",
     """Accuracy and AUC. The AUC is the rank-sum over distinct scores, ties at half."""
     y, s = F.col(label), F.col(score)
     per = df.groupBy(s.alias("_s")).agg(
-        F.sum(y).cast("double").alias("_pos"), F.sum(1 - y).cast("double").alias("_neg"),
+        F.sum(y).cast("double").alias("_ones"), F.sum(1 - y).cast("double").alias("_zeros"),
         F.sum(F.when((s > cut).cast("int") == y, 1).otherwise(0)).alias("_right"))
-    run = scan(chunk(per, [], ["_s"]), Scan("_below", "sum", F.col("_neg"), strict=True)).rows()
+    run = scan(chunk(per, [], ["_s"]), Scan("_below", "sum", F.col("_zeros"), strict=True)).rows()
     below = F.coalesce(F.col("_below"), F.lit(0.0))
     return run.agg(
-        safe_div(F.sum("_right"), F.sum(F.col("_pos") + F.col("_neg"))).alias("accuracy"),
-        safe_div(F.sum(F.col("_pos") * (below + F.col("_neg") / 2)),
-                 F.sum("_pos") * F.sum("_neg")).alias("auc"))
+        safe_div(F.sum("_right"), F.sum(F.col("_ones") + F.col("_zeros"))).alias("accuracy"),
+        safe_div(F.sum(F.col("_ones") * (below + F.col("_zeros") / 2)),
+                 F.sum("_ones") * F.sum("_zeros")).alias("auc"))
 
 
 def pinball_loss(df: DataFrame, label: str = "label", predictions: str = "quantiles",

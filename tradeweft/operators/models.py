@@ -115,8 +115,8 @@ def fit_drawdown(train: DataFrame, rounds: int = 20, min_rows: int = MIN_DRAWDOW
         weight = F.when(F.col("drawdown_label") == 1, (1 - s["share"]) / s["share"]).otherwise(1.0)
         rows = feature_matrix(labelled.filter(F.col("bucket") == bucket)).withColumn("_weight", weight)
         gbt = GBTClassifier(labelCol="drawdown_label", weightCol="_weight", predictionCol="_class",
-                            probabilityCol="_proba", rawPredictionCol="_raw", maxDepth=5, maxIter=rounds,
-                            stepSize=0.05, seed=13)
+                            maxDepth=5, maxIter=rounds, stepSize=0.05, seed=13)
+        gbt = gbt.setProbabilityCol("_proba").setRawPredictionCol("_raw")
         out.drawdown[bucket] = Pipeline(stages=[_assembler(out.features), gbt]).fit(rows)
         scored = out.drawdown[bucket].transform(rows).select(
             F.col("drawdown_label").alias("label"), vector_to_array("_proba")[1].alias("score"))

@@ -11,8 +11,8 @@ however they spread over keys. Then
    most ``2 * chunks`` rows whatever the size of the data.
 
 The chunk of a row depends on where the range shuffle put it, which is why the rows are
-written before they are used twice. Input that the optimizer knows to be smaller than one
-chunk (``tradeweft.chunk.bytes``, 64 MB) stays in one chunk and needs none of this.
+written before they are used twice. Input files smaller than one chunk
+(``tradeweft.chunk.bytes``, 64 MB) stay in one chunk and need none of this.
 """
 
 from __future__ import annotations
@@ -106,10 +106,15 @@ def chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def _chunk_count(df: DataFrame) -> int:
-    """Chunks for the estimated size, at most the number of shuffle partitions."""
+    """Chunks for the size of the input files, at most the number of shuffle partitions.
+
+    The sizes of the leaves are added up: the estimate of a join is the product of its
+    sides, which says nothing. A leaf of unknown size counts as large.
+    """
     conf = df.sparkSession.conf
     per_chunk = int(conf.get("tradeweft.chunk.bytes", str(64 << 20)))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(1, min(int(conf.get("spark.sql.shuffle.partitions")), -(-size // per_chunk)))
 
 

@@ -20,6 +20,7 @@ from tradeweft.functions.time import prev_hour
 from tradeweft.operators.filters import orient_pair_evm, priceable_evm
 from tradeweft.operators.ordered import CHUNK, asof_join, chunk, with_history
 from tradeweft.operators.pools import pool_stats_1h, rolling_best_pool
+from tradeweft.session import written_table
 
 
 def ref_price_median(updates: DataFrame, n: int = 10, by: Sequence[str] = ("token",),
@@ -50,7 +51,8 @@ def price_evm(swaps: DataFrame, refs: list[tuple[str, str]], usdc: str, n: int =
     own_pool = F.lit(False)
     for token, pool in refs:
         own_pool = own_pool | ((F.col("token_a") == token) & (F.col("pool_address") == pool))
-    moves = fit.filter(own_pool).select("token_a", "token_b", *order, ratio.alias("_ratio"))
+    # Only swaps of the reference pools; every level reads them, so they are written once.
+    moves = written_table(fit.filter(own_pool).select("token_a", "token_b", *order, ratio.alias("_ratio")), "moves")
     # Which reference token is quoted in which: at most one pair per list entry.
     pairs = [(r.token_a, r.token_b) for r in
              moves.select("token_a", "token_b").distinct().limit(len(refs) ** 2).collect()]
@@ -70,7 +72,8 @@ def price_evm(swaps: DataFrame, refs: list[tuple[str, str]], usdc: str, n: int =
             .filter(F.col("price").isNotNull())
         if history is not None:
             priced = priced.unionByName(old.filter(F.col("token").isin(names)))
-        medians = medians.unionByName(ref_price_median(priced, n, ["token"], order).drop("price"))
+        found = written_table(ref_price_median(priced, n, ["token"], order).drop("price"), "medians")
+        medians = medians.unionByName(found)
         # A token is ready once all its pairs are priced.
         ready |= {a for a, _ in level if all(p[0] != a for p in todo)}
     if history is not None:
@@ -118,15 +121,16 @@ def price_quote(swaps: DataFrame, quotes: list[str] | None = None, stables: list
 
     def updates(rows: DataFrame) -> DataFrame:
         """Stored price of A after each swap that may set it."""
-        stats = pool_stats_1h(rows.withColumn("sign", F.lit(1)), quotes)
+        stats = pool_stats_1h(rows.withColumns({"sign": F.lit(1), "dex": F.lit("")}), quotes)
         want = rows.select("token_a", prev_hour(F.col("timestamp")).alias("hour_ts"))
         best = rolling_best_pool(stats, days, want).select("token_a", F.col("hour_ts").alias("_hour"), "best_pool")
         tagged = rows.withColumn("_hour", prev_hour(F.col("timestamp"))).join(best, ["token_a", "_hour"], "left")
         mine = F.col("best_pool").isNull() | (F.col("best_pool") == F.col("pool_address"))
-        return tagged.filter(live & ~F.col("token_a").isin(stables) & mine
+        moved = tagged.filter(live & ~F.col("token_a").isin(stables) & mine
                              & F.col("token_a_usdc_price").isNotNull()).select(
             F.col("token_a").alias("token"), *order, F.col("token_a_usdc_price").alias("price"),
             F.col("pool_address").alias("pool"), F.col("best_pool").isNotNull().alias("is_best"))
+        return written_table(moved, "updates")
 
     by_stable = swaps.filter(b_stable).withColumns(
         {"token_b_usdc_price": F.lit(1.0), "_b_pool": F.lit("[NONE]"), "_b_best": F.lit(True),
