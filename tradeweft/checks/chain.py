@@ -77,9 +77,7 @@ check("p1_decode_v2_swaps", lambda t: DE.decode_v2_swaps(_v2(t)).select(*_COLS2)
 check("p2_decode_aerodrome_basic", lambda t: DE.decode_aerodrome_basic(_v2(t, "aerodrome_basic")).select(*_COLS2), _V2SQL, "amount_a_raw amount_b_raw")
 check("p3_decode_v3_swaps", lambda t: DE.decode_v3_swaps(_v3(t)).select(*_COLS2, "pool_liquidity", "pool_tick", "pool_sqrt_price_x96"),
       f"""SELECT event_id AS block_number, {_SND} AS sender, {_RCP} AS recipient, {_AMT}, {_TXT}, CAST(event_id * 13 AS VARCHAR) AS pool_liquidity,
-      event_id % 401 - 200 AS pool_tick, CAST(CAST('730750818665451459101842416358141509827966271488' AS VARCHAR) AS VARCHAR)
-      AS pool_sqrt_price_x96 FROM events WHERE event_id < 0 UNION ALL SELECT event_id, {_SND}, {_RCP}, {_AMT}, {_TXT}, CAST(event_id * 13 AS VARCHAR),
-      event_id % 401 - 200, left('730750818665451459101842416358141509827966271488', 48 - 15) || lpad(CAST(827966271488 + event_id AS VARCHAR), 15, '509') FROM events""",
+      event_id % 401 - 200 AS pool_tick, '91343852333181432387730302044767' || CAST(688728495783936 + event_id AS VARCHAR) AS pool_sqrt_price_x96 FROM events""",
       "amount_a_raw amount_b_raw", "pool_tick")
 check("p4_decode_v4_swaps", lambda t: DE.decode_v4_swaps(_v4(t)).select(*_COLS2, "pool_id", "pool_tick"),
       f"""SELECT event_id AS block_number, {_SND} AS sender, CAST(NULL AS VARCHAR) AS recipient, {_AMT}, {_TXT},
@@ -357,8 +355,9 @@ check("f12_slippage_pre", lambda t: t.swaps.select("block_number", A.slippage_pr
 check("f13_slippage_post", lambda t: t.swaps.select("block_number", A.slippage_post(F.abs("amount_a"), F.abs("amount_b"), F.lit(1.25), F.col("log_index") > 3).alias("s")),
       "SELECT block_number, (a - e) / e * 100 AS s FROM (SELECT block_number, abs(amount_a) AS a, if(log_index > 3, abs(amount_b) / 1.25, abs(amount_b) * 1.25) AS e FROM swaps)", "s")
 check("f14_curve_price", lambda t: _E(t, "SELECT event_id, CAST(event_id % 3 AS INT) AS c, 1073000000000000 + event_id AS vb, 30000000000 + event_id AS vq, event_id * 1000000 AS rb, event_id * 7 AS rq FROM {e}").select(
-      "event_id", (A.curve_price(F.col("c"), F.col("vb"), F.col("vq"), F.col("rb"), F.col("rq"), F.lit(9), F.lit(6)) * 1e3).alias("price"),
-      A.curve_slippage(F.col("event_id") % 2 == 0, A.curve_paid_price(F.col("event_id") % 2 == 0, F.col("vq"), F.col("vb"), F.lit(1000), F.lit(9), F.lit(6)), F.lit(0.02)).alias("slip")),
-      """SELECT event_id, CASE c WHEN 0 THEN (vq + rq) / (vb - rb) WHEN 1 THEN vq / vb ELSE vb::DOUBLE * rb / pow(2.0, 64) END * 1e6 AS price,
-      if(event_id % 2 = 0, 100, -100) * (if(event_id % 2 = 0, (vq - 1000) / vb, (vb + 1000) / vq) * 1000 / 0.02 - 1) AS slip
+      "event_id", A.curve_price(F.col("c"), F.col("vb"), F.col("vq"), F.col("rb"), F.col("rq"), F.lit(9), F.lit(6)).alias("price"),
+      A.curve_slippage(F.col("event_id") % 2 == 0, A.curve_paid_price(F.col("event_id") % 2 == 0, F.col("vq"), F.col("vb"), F.lit(1000), F.lit(9), F.lit(6)),
+          F.when(F.col("event_id") % 2 == 0, 0.02).otherwise(3.5e7)).alias("slip")),
+      """SELECT event_id, CASE c WHEN 0 THEN (vq + rq) / (vb - rb) WHEN 1 THEN vq / vb ELSE vb::DOUBLE * rb / pow(2.0, 64) END * 1e3 AS price,
+      if(event_id % 2 = 0, 100, -100) * (if(event_id % 2 = 0, (vq - 1000) / vb, (vb + 1000) / vq) * 1000 / if(event_id % 2 = 0, 0.02, 3.5e7) - 1) AS slip
       FROM (SELECT event_id, event_id % 3 AS c, 1073000000000000 + event_id AS vb, 30000000000 + event_id AS vq, event_id * 1000000 AS rb, event_id * 7 AS rq FROM events)""", "price slip")

@@ -2,7 +2,8 @@
 
 256-bit integers have no Spark type. A word is read as four 64-bit limbs; the double is
 a weighted sum of them and the exact value is a canonical decimal string, built by
-carrying the limbs over base-10^18 digits (every intermediate fits DECIMAL(38,0)).
+carrying the limbs over base-10^18 digits (every intermediate fits DECIMAL(38,0)); values
+of up to two limbs take a short cut.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def _as_double(w: Column, signed: bool) -> Column:
     total = plus.cast("double")
     for i, limb in enumerate(limbs):
         total = total + limb.cast("double") * F.lit(2.0 ** (64 * i))
-    return F.when(neg, -total).otherwise(total)
+    return F.when(neg, -total).otherwise(total) if signed else total
 
 
 def uint_double(w: Column) -> Column:
@@ -67,23 +68,31 @@ def int_double(w: Column) -> Column:
 
 def _as_string(w: Column, signed: bool) -> Column:
     limbs, plus, neg = _magnitude(w, signed)
-    carry, digits = plus, []
+    # Below 5 * 10^18 * 2^64 two limbs fit DECIMAL(38,0): true for nearly all amounts.
+    small = (limbs[3] == 0) & (limbs[2] == 0) & (limbs[1] < _dec(5 * 10 ** 18))
+    short = (limbs[1] * _dec(2 ** 64) + limbs[0] + plus).cast("decimal(38,0)").cast("string")
+    # Otherwise: weighted limb sums per base-10^18 digit, then one carry pass over them.
+    sums = []
     for d in range(_DIGITS):
-        acc = carry
+        acc = plus if d == 0 else _dec(0)
         for i, limb in enumerate(limbs):
             weight = (2 ** (64 * i)) // _BASE ** d % _BASE
             if weight:
                 acc = acc + (limb * _dec(weight)).cast("decimal(38,0)")
-        acc = acc.cast("decimal(38,0)")
-        digits.append((acc % _dec(_BASE)).cast("decimal(38,0)"))
-        carry = F.floor(acc / _dec(_BASE)).cast("decimal(38,0)") if d < _DIGITS - 1 else None
-        if carry is not None:
-            # Division of wide decimals rounds; take the exact quotient instead.
-            carry = ((acc - digits[-1]) * F.lit("0.000000000000000001").cast("decimal(38,18)"))
-            carry = carry.cast("decimal(38,0)")
-    text = F.concat(*[F.lpad(x.cast("string"), 18, "0") for x in reversed(digits)])
-    text = F.regexp_replace(text, "^0+(?=[0-9])", "")
-    return F.when(neg & (text != "0"), F.concat(F.lit("-"), text)).otherwise(text)
+        sums.append(acc.cast("decimal(38,0)"))
+
+    def carry_on(state: Column, term: Column) -> Column:
+        total = (term + state["carry"]).cast("decimal(38,0)")
+        digit = (total % _dec(_BASE)).cast("decimal(38,0)")
+        # The dividend is a multiple of the base, so the scaled product is exact.
+        carry = ((total - digit) * F.lit("0.000000000000000001").cast("decimal(38,18)")).cast("decimal(38,0)")
+        return F.struct(carry.alias("carry"), F.concat(
+            F.lpad(digit.cast("string"), 18, "0"), state["text"]).alias("text"))
+
+    start = F.struct(_dec(0).alias("carry"), F.lit("").alias("text"))
+    long = F.regexp_replace(F.aggregate(F.array(*sums), start, carry_on)["text"], "^0+(?=[0-9])", "")
+    text = F.when(small, short).otherwise(long)
+    return F.when(neg & (text != "0"), F.concat(F.lit("-"), text)).otherwise(text) if signed else text
 
 
 def uint_string(w: Column) -> Column:

@@ -16,6 +16,7 @@ from tradeweft.functions.market import dex_fee
 from tradeweft.functions.num import net_return, safe_div
 from tradeweft.operators.labels import signal_windows
 from tradeweft.operators.ordered import Scan, asof_join, chunk, percentiles, scan
+from tradeweft.session import written_table
 
 _ID = ("signal_id",)
 
@@ -72,6 +73,9 @@ def simulate_trades(signals: DataFrame, candles: DataFrame, preds: DataFrame | N
 
 def performance(trades: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The 21 figures of a set of trades, per ``by`` group or overall."""
+    # Several passes follow; the simulation behind the trades should run once.
+    trades = written_table(trades.select(*by, "net_return", "max_drawdown", "holding_time_hours",
+                                         "exit_reason"), "trades")
     r, dd = F.col("net_return"), F.col("max_drawdown")
     n = F.count(F.lit(1)).cast("double")
     neg, pos = F.when(r < 0, r), F.when(r > 0, r)
@@ -194,6 +198,7 @@ def exit_counts(trades: DataFrame) -> DataFrame:
 
 def report(trades: DataFrame) -> dict[str, DataFrame]:
     """The report tables by name."""
+    trades = written_table(trades, "trades")
     return {"returns": histogram(trades, "net_return", 50), "equity": equity_curve(trades),
             "buckets": bucket_stats(trades), "exits": exit_counts(trades),
             "drawdowns": histogram(trades, "max_drawdown", 30)}

@@ -16,6 +16,7 @@ from tradeweft import constants as K
 from tradeweft.operators.backtest import sell_signals
 from tradeweft.operators.labels import drawdown_labels
 from tradeweft.operators.metrics import binary_metrics, feature_columns, feature_matrix, regression_metrics
+from tradeweft.session import written_table
 
 MIN_UPSIDE_ROWS = 1000
 MIN_DRAWDOWN_ROWS = 500
@@ -82,6 +83,8 @@ def fit_upside(train: DataFrame, validation: DataFrame | None = None, rounds: in
                min_rows: int = MIN_UPSIDE_ROWS, models: SellModels | None = None) -> SellModels:
     """Two boosted regressors per bucket of enough rows; their mean is the prediction."""
     out = models or SellModels(feature_columns(train))
+    # Boosting makes many passes over its input.
+    train = written_table(train, "train")
     counts = {r["bucket"]: r["count"] for r in train.groupBy("bucket").count().collect()}
     for bucket in K.HORIZON_HOURS:
         if counts.get(bucket, 0) < min_rows:
@@ -105,6 +108,7 @@ def fit_drawdown(train: DataFrame, rounds: int = 20, min_rows: int = MIN_DRAWDOW
                  models: SellModels | None = None) -> SellModels:
     """A boosted classifier per bucket of enough rows and balance, with class weights."""
     labelled = train if "drawdown_label" in train.columns else drawdown_labels(train)
+    labelled = written_table(labelled, "labelled")
     out = models or SellModels(feature_columns(train))
     stats = {r["bucket"]: r for r in labelled.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.avg("drawdown_label").alias("share")).collect()}
