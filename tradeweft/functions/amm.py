@@ -49,7 +49,10 @@ def _int_div(num: Column, den: Column, num_d: Column, den_d: Column) -> Column:
     num, den = num.cast("decimal(38,0)"), den.cast("decimal(38,0)")
     # (num - num mod den) is a multiple of den, so the rounded division of it is exact.
     whole = F.try_divide(num - F.try_mod(num, den), den)
-    return F.coalesce(F.round(whole, 0).cast("double"), F.floor(F.try_divide(num_d, den_d)).cast("double"))
+    rough = F.try_divide(num_d, den_d)
+    # Doubles above 2^53 are whole already (and would not fit the BIGINT of floor).
+    rough = F.when(F.abs(rough) < 2.0 ** 53, F.floor(rough).cast("double")).otherwise(rough)
+    return F.coalesce(F.round(whole, 0).cast("double"), rough)
 
 
 def slippage_exact_in(expected_out: Column, amount_out: Column) -> Column:

@@ -129,6 +129,9 @@ def holder_counts(transfers: DataFrame, strict: bool = True,
             rows = rows.join(rejected_transfers(suspects, order), ["token", *order], "left_anti")
     change = F.col("change")
     deltas = holder_deltas(rows, order).groupBy("token", *order).agg(F.sum(change).alias("change"))
+    # A transfer from the zero address to itself has no leg, but it is a transfer.
+    idle = rows.filter((F.col("from_address") == ZERO_ADDRESS) & (F.col("to_address") == ZERO_ADDRESS))
+    deltas = deltas.unionByName(idle.select("token", *order, F.lit(0).cast("long").alias("change")))
     if compat:
         burns = rows.filter(F.col("to_address") == ZERO_ADDRESS).select("token", *order)
         deltas = deltas.join(burns, ["token", *order], "left_anti").unionByName(

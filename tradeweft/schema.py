@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType(), "ARRAY<STRING>": T.ArrayType(T.StringType()),
+    "ARRAY<INT>": T.ArrayType(T.IntegerType()), "DECIMAL(38,0)": T.DecimalType(38, 0),
+    "DECIMAL(38,18)": T.DecimalType(38, 18),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """``name TYPE, name TYPE``; needs no running session."""
+    pairs = [c.split() for c in columns.split(", ")]
+    return T.StructType([T.StructField(name.strip("`"), _TYPES[kind]) for name, kind in pairs])
 
 
 EVM_LOGS = _struct(
