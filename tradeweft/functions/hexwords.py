@@ -3,7 +3,7 @@
 256-bit integers have no Spark type. A word is read as four 64-bit limbs; the double is
 a weighted sum of them and the exact value is a canonical decimal string, built by
 carrying the limbs over base-10^18 digits (every intermediate fits DECIMAL(38,0)); values
-of up to two limbs take a short cut.
+of one or two limbs take a short cut.
 """
 
 from __future__ import annotations
@@ -29,32 +29,35 @@ def address(word_or_topic: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.right(word_or_topic, F.lit(40))))
 
 
-def _limbs(w: Column) -> list[Column]:
-    """Four unsigned 64-bit limbs, least significant first."""
-    return [F.conv(F.substring(w, 49 - 16 * i, 16), 16, 10).cast("decimal(38,0)")
-            for i in range(4)]
-
-
 def is_negative(w: Column) -> Column:
-    return F.conv(F.substring(w, 1, 1), 16, 10).cast("int") >= 8
+    return F.substring(w, 1, 1).isin(*"89abcdefABCDEF")
 
 
-def _magnitude(w: Column, signed: bool) -> tuple[list[Column], Column, Column]:
-    """Limbs of the magnitude, the +1 of the two's complement, and the sign flag."""
-    limbs = _limbs(w)
+def _magnitude(w: Column, signed: bool) -> tuple[Column, Column, Column]:
+    """Hex of the magnitude, the +1 of the two's complement still to add, the sign flag."""
     if not signed:
-        return limbs, _dec(0), F.lit(False)
+        return w, F.lit(0), F.lit(False)
     neg = is_negative(w)
-    flipped = [F.when(neg, _dec(2 ** 64 - 1) - x).otherwise(x).cast("decimal(38,0)")
-               for x in limbs]
-    return flipped, F.when(neg, _dec(1)).otherwise(_dec(0)), neg
+    flipped = F.translate(F.lower(w), "0123456789abcdef", "fedcba9876543210")
+    return F.when(neg, flipped).otherwise(w), F.when(neg, 1).otherwise(0), neg
+
+
+def _limb(m: Column, i: int) -> Column:
+    """The ``i``-th unsigned 64-bit limb (0 is the lowest), as decimal text."""
+    return F.conv(F.substring(m, 49 - 16 * i, 16), 16, 10)
+
+
+def _fits(m: Column, limbs: int) -> Column:
+    return F.substring(m, 1, 64 - 16 * limbs) == "0" * (64 - 16 * limbs)
 
 
 def _as_double(w: Column, signed: bool) -> Column:
-    limbs, plus, neg = _magnitude(w, signed)
-    total = plus.cast("double")
-    for i, limb in enumerate(limbs):
-        total = total + limb.cast("double") * F.lit(2.0 ** (64 * i))
+    m, plus, neg = _magnitude(w, signed)
+    low = _limb(m, 0).cast("double") + plus
+    wide = low
+    for i in range(1, 4):
+        wide = wide + _limb(m, i).cast("double") * F.lit(2.0 ** (64 * i))
+    total = F.when(_fits(m, 1), low).otherwise(wide)
     return F.when(neg, -total).otherwise(total) if signed else total
 
 
@@ -67,14 +70,18 @@ def int_double(w: Column) -> Column:
 
 
 def _as_string(w: Column, signed: bool) -> Column:
-    limbs, plus, neg = _magnitude(w, signed)
+    m, plus, neg = _magnitude(w, signed)
+    limbs = [_limb(m, i).cast("decimal(38,0)") for i in range(4)]
+    one = _limb(m, 0)
+    if signed:
+        one = F.when(neg, (limbs[0] + plus).cast("decimal(38,0)").cast("string")).otherwise(one)
     # Below 5 * 10^18 * 2^64 two limbs fit DECIMAL(38,0): true for nearly all amounts.
-    small = (limbs[3] == 0) & (limbs[2] == 0) & (limbs[1] < _dec(5 * 10 ** 18))
-    short = (limbs[1] * _dec(2 ** 64) + limbs[0] + plus).cast("decimal(38,0)").cast("string")
+    two = (limbs[1] * _dec(2 ** 64) + limbs[0] + plus).cast("decimal(38,0)").cast("string")
+    fits_two = _fits(m, 2) & (limbs[1] < _dec(5 * 10 ** 18))
     # Otherwise: weighted limb sums per base-10^18 digit, then one carry pass over them.
     sums = []
     for d in range(_DIGITS):
-        acc = plus if d == 0 else _dec(0)
+        acc = plus.cast("decimal(38,0)") if d == 0 else _dec(0)
         for i, limb in enumerate(limbs):
             weight = (2 ** (64 * i)) // _BASE ** d % _BASE
             if weight:
@@ -91,7 +98,7 @@ def _as_string(w: Column, signed: bool) -> Column:
 
     start = F.struct(_dec(0).alias("carry"), F.lit("").alias("text"))
     long = F.regexp_replace(F.aggregate(F.array(*sums), start, carry_on)["text"], "^0+(?=[0-9])", "")
-    text = F.when(small, short).otherwise(long)
+    text = F.when(_fits(m, 1), one).when(fits_two, two).otherwise(long)
     return F.when(neg & (text != "0"), F.concat(F.lit("-"), text)).otherwise(text) if signed else text
 
 
@@ -107,10 +114,7 @@ def int_string(w: Column) -> Column:
 
 def small_int(w: Column) -> Column:
     """Signed value of a word known to fit 64 bits (ticks, fees, spacings)."""
-    low = F.substring(w, 49, 16)
-    unsigned = F.conv(low, 16, 10).cast("decimal(20,0)")
-    return F.when(is_negative(w), unsigned - F.lit(str(2 ** 64)).cast("decimal(20,0)")) \
-        .otherwise(unsigned).cast("long")
+    return F.conv(F.substring(w, 49, 16), 16, -10).cast("long")
 
 
 def discriminator(data_hex: Column, nbytes: int) -> Column:

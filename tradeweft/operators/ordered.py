@@ -113,7 +113,7 @@ def _chunk_count(df: DataFrame) -> int:
     """
     conf = df.sparkSession.conf
     per_chunk = int(conf.get("tradeweft.chunk.bytes", str(64 << 20)))
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(1, min(int(conf.get("spark.sql.shuffle.partitions")), -(-size // per_chunk)))
 
