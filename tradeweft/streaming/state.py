@@ -36,11 +36,12 @@ class _Positions(StatefulProcessor):
     """Open lots and win / loss counts of one (account, token)."""
 
     EPS = 1e-10
+    ZERO_PROFIT = 1e-12  # the batch operator's tolerance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # Lots are numbered; a sell reads and removes from the head, a buy adds at the
         # tail, so a long queue is never rewritten.
-        self.lots = handle.getMapState("lots", "no BIGINT", "amount DOUBLE, price DOUBLE, pnl DOUBLE")
+        self.lots = handle.getMapState("lots", "no BIGINT", "amount DOUBLE, price DOUBLE, pnl DOUBLE, spent DOUBLE")
         self.head = handle.getValueState("head", "first BIGINT, next BIGINT, balance DOUBLE, wins BIGINT, losses BIGINT")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -55,23 +56,25 @@ class _Positions(StatefulProcessor):
             amount, price, cost, profit = abs(float(amount)), float(price), 0.0, 0.0
             if amount > 0 and price > 0:
                 if buy:
-                    self.lots.updateValue((nxt,), (amount, price, 0.0))
+                    self.lots.updateValue((nxt,), (amount, price, 0.0, 0.0))
                     nxt, balance = nxt + 1, balance + amount
                 else:
                     left = amount
                     while left > self.EPS and first < nxt:
-                        have, paid, pnl = self.lots.getValue((first,))
+                        have, paid, pnl, spent = self.lots.getValue((first,))
                         used = min(left, have)
                         cost += used * paid
                         profit += used * (price - paid)
-                        pnl, have, left = pnl + used * (price - paid), have - used, left - used
+                        pnl, spent = pnl + used * (price - paid), spent + used * paid
+                        have, left = have - used, left - used
                         balance -= used
                         if have < self.EPS:
                             self.lots.removeKey((first,))
                             first += 1
-                            wins, losses = wins + (pnl > 0), losses + (pnl <= 0)
+                            won = pnl > spent * self.ZERO_PROFIT
+                            wins, losses = wins + won, losses + (not won)
                         else:
-                            self.lots.updateValue((first,), (have, paid, pnl))
+                            self.lots.updateValue((first,), (have, paid, pnl, spent))
             out.append((*key, no, balance, cost, profit, wins, losses))
         self.head.update((first, nxt, balance, int(wins), int(losses)))
         yield pd.DataFrame(out, columns=["account", "token", "order_no", "balance", "cost", "profit", "wins", "losses"])
