@@ -354,10 +354,10 @@ check("f12_slippage_pre", lambda t: t.swaps.select("block_number", A.slippage_pr
       "SELECT block_number, (e - b) / e * 100 AS s FROM (SELECT block_number, abs(amount_b) AS b, if(log_index > 3, abs(amount_a) * 1.25, abs(amount_a) / 1.25) AS e FROM swaps)", "s")
 check("f13_slippage_post", lambda t: t.swaps.select("block_number", A.slippage_post(F.abs("amount_a"), F.abs("amount_b"), F.lit(1.25), F.col("log_index") > 3).alias("s")),
       "SELECT block_number, (a - e) / e * 100 AS s FROM (SELECT block_number, abs(amount_a) AS a, if(log_index > 3, abs(amount_b) / 1.25, abs(amount_b) * 1.25) AS e FROM swaps)", "s")
-check("f14_curve_price", lambda t: _E(t, "SELECT event_id, CAST(event_id % 3 AS INT) AS c, 1073000000000000 + event_id AS vb, 30000000000 + event_id AS vq, event_id * 1000000 AS rb, event_id * 7 AS rq FROM {e}").select(
+check("f14_curve_price", lambda t: _E(t, "SELECT event_id, CAST(event_id % 3 AS INT) AS c, 1073000000000000 + event_id AS vb, 30000000000 + event_id AS vq, event_id * 1000 AS rb, event_id * 7 AS rq FROM {e}").select(
       "event_id", A.curve_price(F.col("c"), F.col("vb"), F.col("vq"), F.col("rb"), F.col("rq"), F.lit(9), F.lit(6)).alias("price"),
       A.curve_slippage(F.col("event_id") % 2 == 0, A.curve_paid_price(F.col("event_id") % 2 == 0, F.col("vq"), F.col("vb"), F.lit(1000), F.lit(9), F.lit(6)),
           F.when(F.col("event_id") % 2 == 0, 0.02).otherwise(3.5e7)).alias("slip")),
       """SELECT event_id, CASE c WHEN 0 THEN (vq + rq) / (vb - rb) WHEN 1 THEN vq / vb ELSE vb::DOUBLE * rb / pow(2.0, 64) END * 1e3 AS price,
       if(event_id % 2 = 0, 100, -100) * (if(event_id % 2 = 0, (vq - 1000) / vb, (vb + 1000) / vq) * 1000 / if(event_id % 2 = 0, 0.02, 3.5e7) - 1) AS slip
-      FROM (SELECT event_id, event_id % 3 AS c, 1073000000000000 + event_id AS vb, 30000000000 + event_id AS vq, event_id * 1000000 AS rb, event_id * 7 AS rq FROM events)""", "price slip")
+      FROM (SELECT event_id, event_id % 3 AS c, 1073000000000000 + event_id AS vb, 30000000000 + event_id AS vq, event_id * 1000 AS rb, event_id * 7 AS rq FROM events)""", "price slip")
