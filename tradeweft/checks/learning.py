@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tradeweft.checks.base import CTE, END, QUOTES, START, check
+from tradeweft.checks.base import END, check
 from tradeweft.checks.rollups import _C10, _FEE, _FLOW, _OFLOW, _SMART, _smart
 from tradeweft.functions.market import bucket_of
 from tradeweft.operators import backtest as BT
@@ -14,8 +14,6 @@ from tradeweft.operators import labels as L
 from tradeweft.operators import metrics as MX
 from tradeweft.operators import models as MD
 
-assert CTE and QUOTES
-
 # --- candle features ---------------------------------------------------------------------------
 _CP = "cd AS (" + _C10.format(w="1 hour") + """),
 cp AS (SELECT token_a AS token, pool_address AS pool, bucket_ts, close_token_a_usdc AS close_price, open_token_a_usdc AS open_price,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tradeweft import constants as K
 from tradeweft.checks.base import END, NOW, Q_SQL, QUOTES, START, check, now
 from tradeweft.functions import keys as OK
 from tradeweft.functions import market as M
@@ -19,17 +18,12 @@ from tradeweft.operators import pools as PL
 from tradeweft.operators import pricing as PR
 from tradeweft.operators import traders as TR
 from tradeweft.plans import rollups as RB
-from tradeweft.sources import scans as SC
 from tradeweft.sources import tables as TB
 
 KEY = "row(timestamp, transaction_index, log_index)"
 _OHLC = "open high low close"
 
 
-def _sel(df, *cols):
-    return df.select(*cols)
-
-
 # --- sources and layouts -------------------------------------------------------------
 check("s5_block_range", lambda t: P.block_range(t.swaps, 100, 5000).select("block_number", "account", "amount_a"),
       "SELECT block_number, account, amount_a FROM swaps WHERE block_number BETWEEN 100 AND 5000", "amount_a")

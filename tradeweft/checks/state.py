@@ -14,6 +14,7 @@ from tradeweft.operators import tokens as TK
 from tradeweft.operators.dedup import replace_latest
 from tradeweft.operators.filters import block_range
 from tradeweft.sources import fixture as X
+from tradeweft.sources.tables import holders_rows
 
 # --- positions ------------------------------------------------------------------------------
 # Lots and sells as intervals of units; every overlap is what a sell takes from a lot.
@@ -168,7 +169,7 @@ check("t3_holder_counts_overdraw", lambda t: H.holder_counts(t.transfers.withCol
 _SNAP = "sn AS (SELECT token, date_trunc('day', timestamp) AS bucket_ts, arg_max(holders, row(timestamp, transaction_index, log_index)) AS holders FROM hc GROUP BY 1, 2)"
 _snap = lambda t: H.holder_snapshots(_counts(t), "1 day")
 check("t4_holder_snapshots", _snap, f"WITH {_HOLD}, {_SNAP}\nFINAL SELECT * FROM sn WHERE bucket_ts < (SELECT max(bucket_ts) FROM sn)")
-check("s10_holder_rows", lambda t: __import__("tradeweft.sources.tables", fromlist=["x"]).holders_rows(_snap(t)),
+check("s10_holder_rows", lambda t: holders_rows(_snap(t)),
       f"WITH {_HOLD}, {_SNAP}\nFINAL SELECT bucket_ts AS timestamp, token, holders FROM sn WHERE bucket_ts < (SELECT max(bucket_ts) FROM sn)")
 check("a19_latest_holders", lambda t: H.latest_holders(_snap(t)),
       f"WITH {_HOLD}, {_SNAP}\nFINAL SELECT token, arg_max(holders, bucket_ts) AS holders FROM sn WHERE bucket_ts < (SELECT max(bucket_ts) FROM sn) GROUP BY 1")
