@@ -48,15 +48,23 @@ def blocks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, A-Z lower-cased, and the bounds of each text."""
+def cut_words(texts: list[bytes], breaks: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bytes of all texts, start, end and hash of each word, and the bounds of each text's words.
+
+    ``breaks`` marks the bytes between words, among them the space; ``fold`` maps bytes first.
+    """
     raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
-    space = _SPACE[raw]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    gap = breaks[raw]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[_LOWER[raw]] * up[:-1], out=sums[1:])
+    np.cumsum(_VALUES[fold[raw]] * up[:-1], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     begin = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(starts, begin)
+    return raw, starts, ends, hashes, np.searchsorted(starts, begin)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, A-Z lower-cased, and the bounds of each text."""
+    return cut_words(texts, _SPACE, _LOWER)[3:]
