@@ -57,12 +57,17 @@ def cut_words(texts: list[bytes], breaks: np.ndarray, fold: np.ndarray) -> tuple
     gap = breaks[raw]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[fold[raw]] * up[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     begin = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return raw, starts, ends, hashes, np.searchsorted(starts, begin)
+    bounds = np.searchsorted(starts, begin)
+    hashes = np.empty(len(starts), np.uint64)
+    for i, j in blocks(texts):  # in pieces, for the sake of memory
+        lo, hi, at = bounds[i], bounds[j], begin[i]
+        up, down = _powers(int(begin[j] - at) + 1)
+        sums = np.zeros(int(begin[j] - at) + 1, np.uint64)
+        np.cumsum(_VALUES[fold[raw[at:begin[j]]]] * up[:-1], out=sums[1:])
+        first, last = starts[lo:hi] - at, ends[lo:hi] - at
+        hashes[lo:hi] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    return raw, starts, ends, hashes, bounds
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

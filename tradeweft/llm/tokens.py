@@ -160,8 +160,8 @@ class OddText:
         return [b"".join(made)]
 
 
-def units(texts: list[str | None], breaks: np.ndarray, spaced: bool):
-    """Groups of about ``GROUP`` bytes, in the order of the texts.
+def units(texts: list[str | None], breaks: np.ndarray, spaced: bool, size: int = GROUP):
+    """Groups of about ``size`` characters, in the order of the texts.
 
     ``spaced``: words keep the one space before them. Texts where white space is not single spaces
     and line feeds are then groups of their own.
@@ -171,7 +171,7 @@ def units(texts: list[str | None], breaks: np.ndarray, spaced: bool):
     for t in texts:
         t = t or ""
         odd = spaced and bool("  " in t or "\n " in t or " \n" in t or t[-1:] == " " or t[:1] == " " or _ODD_SPACE.search(t))
-        if data and (odd or total + len(t) > GROUP):
+        if data and (odd or total + len(t) > size):
             yield Group(data, breaks, spaced)
             data, total = [], 0
         if odd:
