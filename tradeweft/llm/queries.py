@@ -74,10 +74,10 @@ s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS x
   FROM w),
-e AS (SELECT doc_id, unnest(x) AS x FROM s),
+e AS (SELECT doc_id, len(x) AS n, unnest(x) AS x FROM s),
 links AS (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (x) JOIN s p ON p.doc_id = a.doc_id JOIN s q ON q.doc_id = b.doc_id
-  WHERE a.doc_id <> b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(len(p.x)) + any_value(len(q.x)) - count(*))),
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (x)
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
 reach AS (
   SELECT doc_id, doc_id AS low FROM s UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.doc_id)
 SELECT s.doc_id, CAST(len(any_value(s.x)) AS BIGINT) AS n_shingles, min(low) AS component_id, s.doc_id = min(low) AS kept
