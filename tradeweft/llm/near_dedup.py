@@ -248,9 +248,12 @@ def link(documents: DataFrame) -> DataFrame:
         live = written_table(_with_first(members), "live")
         if live.isEmpty():
             break
-        found.add(_star_pairs(live))
-        live = written_table(_with_first(found.rooted(live.drop("size", "first"))), "live")
-        found.add(_node_pairs(live.where(F.col("size") <= NODE)))
+        if depth == 1:  # dense groups become one component before any pairs are taken
+            found.add(_star_pairs(live))
+            live = written_table(_with_first(found.rooted(live.drop("size", "first"))), "live")
+            found.add(_node_pairs(live.where(F.col("size") <= NODE)))
+        else:
+            found.add(_star_pairs(live).union(_node_pairs(live.where(F.col("size") <= NODE))).distinct())
         large = _with_first(found.rooted(live.where(F.col("size") > NODE).drop("size", "first"))).where(F.col("size") > NODE)
         large = written_table(large, "large")
         if large.isEmpty():
