@@ -314,11 +314,11 @@ check("u1_both_tokens", lambda t: C.both_tokens(t.swaps).groupBy("token").agg(F.
       "SELECT token, count(*) AS n FROM (SELECT token_a AS token FROM swaps UNION ALL SELECT token_b FROM swaps) GROUP BY 1")
 check("u3_distinct_keys", lambda t: D.distinct_keys(t.swaps, "account", "pool_address"), "SELECT DISTINCT account, pool_address FROM swaps")
 check("u4_insert_ignore", lambda t: D.insert_ignore(
-      t.swaps.filter("block_number < 300").groupBy("account").agg(F.min("block_number").alias("block_number")),
-      t.swaps.select("account", "block_number").filter("block_number >= 200"), ["account"], ["block_number"]),
-      """WITH d AS (SELECT account, min(block_number) AS block_number FROM swaps WHERE block_number < 300 GROUP BY 1)
-FINAL SELECT * FROM d UNION ALL SELECT account, min(block_number) FROM swaps WHERE block_number >= 200
-      AND account NOT IN (SELECT account FROM d) GROUP BY 1""")
+      t.swaps.filter("amount_a < 0").groupBy("account").agg(F.min("block_number").alias("block_number")),
+      t.swaps.select("account", "block_number"), ["account"], ["block_number"]),
+      """WITH d AS (SELECT account, min(block_number) AS block_number FROM swaps WHERE amount_a < 0 GROUP BY 1)
+FINAL SELECT * FROM d UNION ALL SELECT account, min(block_number) FROM swaps WHERE
+      account NOT IN (SELECT account FROM d) GROUP BY 1""")
 check("o1_order_key", lambda t: t.swaps.groupBy("pool_address").agg(
       F.max_by("block_number", OK.order_key()).alias("last_struct"), F.max_by("block_number", OK.packed_order_key()).alias("last_packed")),
       f"SELECT pool_address, arg_max(block_number, {KEY}) AS last_struct, arg_max(block_number, {KEY}) AS last_packed FROM swaps GROUP BY 1")

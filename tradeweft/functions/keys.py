@@ -35,13 +35,15 @@ def packed_path(path: Column, depth: int = 5) -> Column:
     """An instruction path as one number that sorts like the array.
 
     A transaction runs at most 64 instructions, nested at most five deep, so three
-    decimal digits per level hold ``index + 1`` and 0 stands for "no such level".
+    decimal digits per level hold ``index + 1`` and 0 stands for "no such level". A deeper path
+    or a larger index raises, as its number would be another path's.
     """
     total = F.lit(0).cast("long")
     for level in range(depth):
         digit = F.coalesce(F.get(path, F.lit(level)).cast("long") + 1, F.lit(0))
         total = total + digit * F.lit(1000 ** (depth - 1 - level))
-    return total
+    fits = (F.size(path) <= depth) & F.forall(path, lambda i: i < 999)
+    return F.when(fits, total).otherwise(F.raise_error(F.lit("instruction path does not fit its key")).cast("long"))
 
 
 def is_buy(amount_a: Column, buy_sign: int) -> Column:

@@ -91,7 +91,7 @@ def volume_breakouts(swaps: DataFrame, start, end, quotes: list[str] | None = No
 
 
 # The columns of a swap that change sides together.
-_SIDE = ("token_{}", "amount_{}", "amount_{}_raw", "token_{}_symbol", "token_{}_decimals",
+_SIDE = ("token_{}", "amount_{}", "amount_{}_raw", "amount_{}_text", "token_{}_symbol", "token_{}_decimals",
          "token_{}_creation_date", "token_{}_issuance", "pool_token_{}_reserve", "token_{}_usdc_price")
 
 

@@ -57,9 +57,9 @@ def top_movers(movers: DataFrame, stats: DataFrame, now: Column, offset_days: in
         "volume_usdc", o, c, (safe_div(c - o, o) * 100).alias("grow_pct"))
 
 
-def tokens_by_creation(swaps: DataFrame) -> DataFrame:
+def tokens_by_creation(swaps: DataFrame, order: Column | None = None) -> DataFrame:
     """One row per token: symbol and creation date of its first swap, and that swap's time."""
-    key = OK.packed_order_key()
+    key = OK.packed_order_key() if order is None else order
     return swaps.select(F.col("token_a").alias("token_address"), "token_a_symbol",
                         "token_a_creation_date", "timestamp", key.alias("_key")) \
         .groupBy("token_address").agg(

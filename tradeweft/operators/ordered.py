@@ -106,7 +106,7 @@ def chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def _chunk_count(df: DataFrame) -> int:
-    """Chunks for the size of the input files, at most the number of shuffle partitions.
+    """Chunks for the size of the input files; more than the shuffle partitions where that is needed.
 
     The sizes of the leaves are added up: the estimate of a join is the product of its
     sides, which says nothing. A leaf of unknown size counts as large.
@@ -115,7 +115,7 @@ def _chunk_count(df: DataFrame) -> int:
     per_chunk = int(conf.get("tradeweft.chunk.bytes", str(64 << 20)))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(1, min(int(conf.get("spark.sql.shuffle.partitions")), -(-size // per_chunk)))
+    return max(1, -(-size // per_chunk))
 
 
 def _local(df: DataFrame) -> DataFrame | None:

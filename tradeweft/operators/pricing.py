@@ -53,9 +53,9 @@ def price_evm(swaps: DataFrame, refs: list[tuple[str, str]], usdc: str, n: int =
         own_pool = own_pool | ((F.col("token_a") == token) & (F.col("pool_address") == pool))
     # Only swaps of the reference pools; every level reads them, so they are written once.
     moves = written_table(fit.filter(own_pool).select("token_a", "token_b", *order, ratio.alias("_ratio")), "moves")
-    # Which reference token is quoted in which: at most one pair per list entry.
-    pairs = [(r.token_a, r.token_b) for r in
-             moves.select("token_a", "token_b").distinct().limit(len(refs) ** 2).collect()]
+    # Which reference token is quoted in which: a pool has one pair of tokens, so the pairs are
+    # bounded by the reference pools (twice, where a pool's sides are switched).
+    pairs = [(r.token_a, r.token_b) for r in moves.select("token_a", "token_b").distinct().collect()]
     medians = _no_medians(moves, order)
     if history is not None:
         old = history.select("token", *order, "price")

@@ -42,7 +42,7 @@ def evm_facts(swaps: DataFrame, network: str, order: Sequence[str] = CHAIN_ORDER
 
 
 def solana_facts(swaps: DataFrame, quotes: list[str] | None = None, stables: list[str] | None = None,
-                 order: Sequence[str] = ("timestamp", "transaction_index", "instruction_address")) -> DataFrame:
+                 order: Sequence[str] = ("timestamp", "block_number", "transaction_index", "instruction_address")) -> DataFrame:
     """Trader-view swaps with prices and positions of token A against quote tokens."""
     priced = price_quote(swaps, quotes, stables, order)
     return extend_positions(priced, buy_sign=1, both_sides=False, order=order, eligible=positionable(quotes))

@@ -33,12 +33,17 @@ def scratch_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tradeweft-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The part of the scratch folder that belongs to this application alone."""
+    return f"{scratch_dir(spark)}/tradeweft/{spark.sparkContext.applicationId}"
+
+
 def written_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
@@ -46,12 +51,12 @@ def written_table(df: DataFrame, label: str) -> DataFrame:
     that are not a pure function of the row (such as the partition a row landed in).
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tradeweft/{label}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every table written by :func:`written_table` in this scratch folder."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tradeweft")
+    """Delete every table that :func:`written_table` has written in this application."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

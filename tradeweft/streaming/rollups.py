@@ -142,7 +142,9 @@ def pools_in_stream(logs: DataFrame, network: str, pools_path: str, swaps_path:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         decode_pools(batch, network).write.mode("overwrite").parquet(f"{pools_path}/batch={batch_id}")
-        known = batch.sparkSession.read.parquet(pools_path).drop("batch").dropDuplicates(["network", "pool"])
+        known = batch.sparkSession.read.parquet(pools_path).drop("batch")
+        first = F.min_by(F.struct(*known.columns), F.struct("block_number", "transaction_index", "log_index"))
+        known = known.groupBy("network", "pool").agg(first.alias("first")).select("first.*")
         with_pool(decode_swaps(batch), known).write.mode("overwrite").parquet(f"{swaps_path}/batch={batch_id}")
         batch.unpersist()
 
