@@ -109,12 +109,14 @@ def _chunk_count(df: DataFrame) -> int:
     """Chunks for the size of the input files; more than the shuffle partitions where that is needed.
 
     The sizes of the leaves are added up: the estimate of a join is the product of its
-    sides, which says nothing. A leaf of unknown size counts as large.
+    sides, which says nothing. With a leaf of unknown size, the shuffle partitions it is.
     """
     conf = df.sparkSession.conf
     per_chunk = int(conf.get("tradeweft.chunk.bytes", str(64 << 20)))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= int(conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1))):
+        return int(conf.get("spark.sql.shuffle.partitions"))
     return max(1, -(-size // per_chunk))
 
 
