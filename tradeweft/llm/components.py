@@ -8,36 +8,46 @@ from pyspark.sql import functions as F
 from tradeweft.session import written_table
 
 
-def _print(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _is_flat(pairs: DataFrame) -> bool:
+    """True when every vertex has one root and no root has another: nothing can move any more."""
+    ends = pairs.select(F.col("a").alias("key"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+        pairs.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("key").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return seen.where("out + into > 1 AND out > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) of every vertex: the smallest key of its component.
 
     ``edges`` has columns a and b of one type. Alternates large stars (a vertex's larger neighbours
-    move to its smallest one) and small stars (its smaller neighbours do) until nothing moves; each
-    round is written to the shared folder. Smallest neighbours are aggregates with a map-side step,
-    so that a vertex with very many edges is no single task.
+    move to its smallest one) and small stars (its smaller neighbours do) until each vertex hangs on
+    its root; each round is written to the shared folder. Smallest neighbours are aggregates with a
+    map-side step, so that a vertex with very many edges is no single task.
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         near = pairs.union(pairs.select("b", "a")) if large else pairs
         low = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         moved = near.join(low, "a")
         out = moved.where("b > a" if large else "b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        if not large:
-            out = out.union(low.select("a", F.col("low").alias("b")))
-        return out.where("a <> b").distinct()
+        if large:  # equal pairs go in the small star that follows
+            return out.where("a <> b")
+        return out.union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
 
     pairs = written_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                           .where("a <> b").distinct(), "star")
-    seen = _print(pairs)
-    while seen[0]:
+    while not _is_flat(pairs):
         pairs = written_table(star(star(pairs, True), False), "star")
-        now = _print(pairs)
-        if now == seen:
-            break
-        seen = now
     return pairs.select(F.col("a").alias("key"), F.col("b").alias("root")).union(
         pairs.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct())
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (key, root) after further edges: only the roots that these join are worked on."""
+    def to_root(rows: DataFrame, end: str) -> DataFrame:
+        at = roots.select(F.col("key").alias(end), F.col("root").alias("_root"))
+        return rows.join(at, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+
+    moved = components(to_root(to_root(edges.select("a", "b"), "a"), "b"))
+    new = moved.join(roots.select("key"), "key", "left_anti")
+    there = roots.join(moved.select(F.col("key").alias("root"), F.col("root").alias("_to")), "root", "left")
+    return there.select("key", F.coalesce("_to", "root").alias("root")).union(new.select("key", "root"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweft.llm.common import texts_of
-from tradeweft.llm.components import components
+from tradeweft.llm.components import components, extended
 from tradeweft.llm.hashing import blocks, mix, word_hashes
 from tradeweft.session import written_table
 
@@ -198,11 +198,11 @@ def _confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> Da
 
 
 class _Links:
-    """Confirmed links so far, pairs already compared, and the components they make."""
+    """Pairs already compared, and the components that the confirmed ones make."""
 
     def __init__(self, documents: DataFrame, classes: DataFrame):
         self.documents, self.classes = documents, classes
-        self.links = self.tried = self.roots = None
+        self.tried = self.roots = None
 
     def add(self, pairs: DataFrame) -> None:
         if self.tried is not None:
@@ -214,8 +214,7 @@ class _Links:
         new = _confirmed(self.documents, self.classes, pairs)
         if new.isEmpty():
             return
-        self.links = new if self.links is None else self.links.union(new)
-        self.roots = written_table(components(self.links), "roots")
+        self.roots = written_table(components(new) if self.roots is None else extended(self.roots, new), "roots")
 
     def rooted(self, rows: DataFrame) -> DataFrame:
         """Rows with the present root of their class."""
