@@ -2,27 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeweft.session import written_table
 
+#: Edges that a task contracts together.
+TOGETHER = 1 << 20
+
+
+def _smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices that are not the smallest of their component, and the smallest, of a few edges."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    root = np.arange(len(ids))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+    moved = root != np.arange(len(ids))
+    return ids[moved], ids[root[moved]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Stars (a, its smallest vertex b) of the components within blocks of edges, without a shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def made() -> pa.RecordBatch:
+            ends = [np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("a", "b")]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in _smallest(*ends)], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= TOGETHER:
+                yield made()
+        if held:
+            yield made()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
 
 def _is_flat(pairs: DataFrame) -> bool:
     """True when every vertex has one root and no root has another: nothing can move any more."""
-    ends = pairs.select(F.col("a").alias("key"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
-        pairs.select("b", F.lit(0), F.lit(1)))
-    seen = ends.groupBy("key").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-    return seen.where("out + into > 1 AND out > 0").isEmpty()
+    ends = pairs.select(F.col("a").alias("key"), "b").union(pairs.select("b", F.lit(None).cast("long")))
+    seen = ends.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high"),
+                                   F.max(F.col("b").isNull()).alias("into"))
+    return seen.where("low <> high OR (into AND low IS NOT NULL)").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(key, root) of every vertex: the smallest key of its component.
+def joined_roots(edges: DataFrame) -> DataFrame:
+    """(key, root) of every vertex that is not the smallest of its component: that one is its root.
 
-    ``edges`` has columns a and b of one type. Alternates large stars (a vertex's larger neighbours
-    move to its smallest one) and small stars (its smaller neighbours do) until each vertex hangs on
-    its root; each round is written to the shared folder. Smallest neighbours are aggregates with a
-    map-side step, so that a vertex with very many edges is no single task.
+    ``edges`` has columns a and b of type long. Blocks of edges are contracted first. Then large stars (a
+    vertex's larger neighbours move to its smallest one) and small stars (its smaller neighbours do) take
+    turns until each vertex hangs on its root; each round is written to the shared folder. Smallest
+    neighbours are aggregates with a map-side step, so that a vertex with very many edges is no single task.
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         near = pairs.union(pairs.select("b", "a")) if large else pairs
@@ -33,21 +75,13 @@ def components(edges: DataFrame) -> DataFrame:
             return out.where("a <> b")
         return out.union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
 
-    pairs = written_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                          .where("a <> b").distinct(), "star")
+    pairs = written_table(_contracted(edges).distinct(), "star")
     while not _is_flat(pairs):
         pairs = written_table(star(star(pairs, True), False), "star")
-    return pairs.select(F.col("a").alias("key"), F.col("b").alias("root")).union(
-        pairs.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct())
-
+    return pairs.select(F.col("a").alias("key"), F.col("b").alias("root"))
 
-def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """``roots`` (key, root) after further edges: only the roots that these join are worked on."""
-    def to_root(rows: DataFrame, end: str) -> DataFrame:
-        at = roots.select(F.col("key").alias(end), F.col("root").alias("_root"))
-        return rows.join(at, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
 
-    moved = components(to_root(to_root(edges.select("a", "b"), "a"), "b"))
-    new = moved.join(roots.select("key"), "key", "left_anti")
-    there = roots.join(moved.select(F.col("key").alias("root"), F.col("root").alias("_to")), "root", "left")
-    return there.select("key", F.coalesce("_to", "root").alias("root")).union(new.select("key", "root"))
+def components(edges: DataFrame) -> DataFrame:
+    """(key, root) of every vertex, with the smallest vertices themselves."""
+    joined = joined_roots(edges)
+    return joined.union(joined.select(F.col("root").alias("key"), "root").distinct())

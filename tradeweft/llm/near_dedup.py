@@ -3,12 +3,13 @@
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set is its
 distinct five-word shingles. Equal sets are one class first. Classes then go down ``TREES``
 independent trees: a node chooses one or two of the ``TOKENS`` minwise positions (1 / LAMBDA on
-average) by the hash of its own key, and every class moves to the child of its value there. In every
-node the classes are compared with the node's first class, in nodes of up to ``NODE`` classes all
-pairs are compared; larger nodes branch again. Comparing means: a 128-bit sketch that all but
-one in a hundred thousand true pairs pass, then the full sets. Pairs already in one component
-need no comparison, and nodes within one component end there. What is still large after ``DEPTH``
-levels is compared exhaustively in blocks.
+average) by the hash of its own key, and every class moves to the child of its value there. First
+the classes of each node are compared with the node's first class, so that dense groups become one
+component; nodes within one component end there. Then in nodes of up to ``NODE`` classes all pairs
+are compared; larger nodes branch again and compare with their first class. What is still large
+after ``DEPTH`` levels and not one component is compared exhaustively in blocks. Comparing means: a
+128-bit sketch that all but one in a hundred thousand true pairs pass, then the full sets. Pairs
+already in one component need no comparison. A class goes by its smallest doc_id (rep).
 
 A pair of similarity 0.75 shares a leaf at depth 1, 2, 3, 4 of one tree with probability 0.81,
 0.69, 0.60, 0.53 (the branching recursion), so ten trees miss 5e-8, 9e-6, 1e-4, 5e-4 of them.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweft.llm.common import texts_of
-from tradeweft.llm.components import components, extended
+from tradeweft.llm.components import joined_roots
 from tradeweft.llm.hashing import blocks, mix, word_hashes
 from tradeweft.session import written_table
 
@@ -124,13 +125,15 @@ def _alike(a1, a2, b1, b2) -> Column:
     return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2)) <= SKETCH_BITS
 
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _pair(x, y) -> list[Column]:
+    """Two classes, and the roots that their link would join."""
+    return [F.least(x["rep"], y["rep"]).alias("a"), F.greatest(x["rep"], y["rep"]).alias("b"),
+            F.least(x["root"], y["root"]).alias("low"), F.greatest(x["root"], y["root"]).alias("high")]
 
 
 def _with_first(members: DataFrame) -> DataFrame:
     """Members of nodes with two components or more, with the node's size and first class."""
-    first = F.struct("rep", "class", "s1", "s2", "root")
+    first = F.struct("rep", "s1", "s2", "root")
     nodes = (members.groupBy("node").agg(F.count("*").alias("size"), F.min(first).alias("first"),
                                          F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low <> high").drop("low", "high"))
@@ -138,24 +141,24 @@ def _with_first(members: DataFrame) -> DataFrame:
 
 
 def _star_pairs(live: DataFrame) -> DataFrame:
-    ok = (F.col("root") != F.col("first.root")) & _alike(F.col("s1"), F.col("s2"), F.col("first.s1"), F.col("first.s2"))
-    return live.where(ok).select(*_pair(F.col("class"), F.col("first.class"))).distinct()
+    x, y = {c: F.col(c) for c in ("rep", "s1", "s2", "root")}, F.col("first")
+    return live.where((x["root"] != y.root) & _alike(x["s1"], x["s2"], y.s1, y.s2)).select(*_pair(x, y))
 
 
 def _node_pairs(live: DataFrame) -> DataFrame:
     """All pairs of different components that the sketch passes, in nodes of bounded size."""
-    rows = live.groupBy("node").agg(F.collect_list(F.struct("class", "root", "s1", "s2")).alias("m"))
+    rows = live.groupBy("node").agg(F.collect_list(F.struct("rep", "root", "s1", "s2")).alias("m"))
 
     def against(x: Column, i: Column) -> Column:
         later = F.slice("m", i + 2, F.size("m"))
         good = F.filter(later, lambda y: (x.root != y.root) & _alike(x.s1, x.s2, y.s1, y.s2))
-        return F.transform(good, lambda y: F.struct(*_pair(x["class"], y["class"])))
+        return F.transform(good, lambda y: F.struct(*_pair(x, y)))
 
-    return rows.select(F.inline(F.flatten(F.transform("m", against)))).distinct()
+    return rows.select(F.inline(F.flatten(F.transform("m", against))))
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, own) of the classes in ``wanted`` (class, rep): sets computed again from their texts.
+    """(rep, own) of the documents in ``wanted`` (rep): sets computed again from their texts.
 
     Texts are filtered before any shuffle by a bitmap of fixed size over the hashes of their ids.
     """
@@ -170,20 +173,18 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [s.tobytes() for s in shingle_sets(texts_of(batch, "text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in own], pa.binary()),
-                 pa.array(own, pa.binary())], ["rep", "class", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], ["rep", "own"])
 
-    made = texts.mapInArrow(run, "rep long, class binary, own binary")
-    return made.join(wanted, ["rep", "class"], "left_semi").dropDuplicates(["class"]).select("class", "own")
+    made = texts.mapInArrow(run, "rep long, own binary").join(wanted, "rep", "left_semi")
+    return made.withColumn("class", F.xxhash64("own")).dropDuplicates(["rep", "class"]).drop("class")
 
 
-def _confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= 75 * union."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = written_table(_sets(documents, written_table(classes.select("class", "rep").join(ends, "class"), "ends")), "sets")
-    both = (pairs.join(sets.select(F.col("class").alias("a"), F.col("own").alias("x")), "a")
-            .join(sets.select(F.col("class").alias("b"), F.col("own").alias("y")), "b"))
+def _confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Roots (a, b) of the pairs whose full sets have 100 * intersection >= 75 * union."""
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = written_table(_sets(documents, written_table(ends, "ends")), "sets")
+    both = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a")
+            .join(sets.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,42 +193,32 @@ def _confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> Da
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(100 * both >= round(100 * LAMBDA) * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return written_table(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "links")
+            yield pa.RecordBatch.from_arrays([batch.column("low"), batch.column("high")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    return written_table(both.select("low", "high", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
-class _Links:
-    """Pairs already compared, and the components that the confirmed ones make."""
 
-    def __init__(self, documents: DataFrame, classes: DataFrame):
-        self.documents, self.classes = documents, classes
-        self.tried = self.roots = None
+def _joined(documents: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """(key, root) of the roots that confirmed pairs join to smaller ones; None if there are none."""
+    pairs = written_table(pairs.distinct(), "pairs")
+    if pairs.isEmpty():
+        return None
+    links = _confirmed(documents, pairs)
+    return None if links.isEmpty() else joined_roots(links)
 
-    def add(self, pairs: DataFrame) -> None:
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = written_table(pairs, "pairs")
-        self.tried = pairs if self.tried is None else self.tried.union(pairs)
-        if pairs.isEmpty():
-            return
-        new = _confirmed(self.documents, self.classes, pairs)
-        if new.isEmpty():
-            return
-        self.roots = written_table(components(new) if self.roots is None else extended(self.roots, new), "roots")
 
-    def rooted(self, rows: DataFrame) -> DataFrame:
-        """Rows with the present root of their class."""
-        if self.roots is None:
-            return rows.withColumn("root", F.col("class"))
-        return (rows.drop("root").join(self.roots.withColumnRenamed("key", "class"), "class", "left")
-                .withColumn("root", F.coalesce("root", "class")))
+def _moved(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Rows with the root that their root was joined to."""
+    if joined is None:
+        return rows
+    to = joined.select(F.col("key").alias("root"), F.col("root").alias("_to"))
+    return rows.join(to, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
 
 
 def _in_blocks(live: DataFrame) -> DataFrame:
     """Members of large nodes dealt to every pair of blocks of their node, so that each two meet."""
     n = F.ceil(F.col("size") * 2 / NODE).cast("int")
-    own = F.pmod(F.xxhash64("class", "node"), n).cast("int")
+    own = F.pmod(F.xxhash64("rep", "s1", "node"), n).cast("int")
     return (live.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
             .withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))))
 
@@ -238,33 +229,31 @@ def link(documents: DataFrame) -> DataFrame:
     classes = written_table(made.where("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("s1").alias("s1"),
         F.first("s2").alias("s2")), "classes")
-    found = _Links(documents, classes)
-    fields = ["class", "rep", "s1", "s2"]
-    roots = F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda t: F.xxhash64(F.lit("tree"), t))
-    rows = classes.withColumn("node", F.explode(roots))
-    for depth in range(1, DEPTH + 1):
-        members = found.rooted(_branch(rows, fields))
-        live = written_table(_with_first(members), "live")
-        if live.isEmpty():
-            break
-        if depth == 1:  # dense groups become one component before any pairs are taken
-            found.add(_star_pairs(live))
-            live = written_table(_with_first(found.rooted(live.drop("size", "first"))), "live")
-            found.add(_node_pairs(live.where(F.col("size") <= NODE)))
-        else:
-            found.add(_star_pairs(live).union(_node_pairs(live.where(F.col("size") <= NODE))).distinct())
-        large = _with_first(found.rooted(live.where(F.col("size") > NODE).drop("size", "first"))).where(F.col("size") > NODE)
-        large = written_table(large, "large")
+    fields = ["rep", "s1", "s2"]
+    trees = F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda t: F.xxhash64(F.lit("tree"), t))
+    members = _branch(classes.withColumn("node", F.explode(trees)), fields).withColumn("root", F.col("rep"))
+    live = written_table(_with_first(members), "live")
+    # Dense groups become one component before any other pairs are taken.
+    joins = [_joined(documents, _star_pairs(live))]
+    live = written_table(_with_first(_moved(live.drop("size", "first"), joins[0])), "live")
+    pairs = _node_pairs(live.where(F.col("size") <= NODE))
+    large = live.where(F.col("size") > NODE)
+    for _ in range(1, DEPTH):
         if large.isEmpty():
             break
-        if depth == DEPTH:
-            found.add(_node_pairs(_in_blocks(large)))
-        rows = large.select("node", *fields).join(classes.select("class", "tokens"), "class")
-    named = found.rooted(classes.select("class", "rep"))
-    ids = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    whole = made.select("doc_id", "n_shingles", "class").join(
-        named.join(ids, "root").select("class", "component_id"), "class", "left")
-    component = F.coalesce("component_id", "doc_id")
+        rows = large.select("node", "root", *fields).join(classes.select(*fields, "tokens"), fields)
+        live = written_table(_with_first(_branch(rows, [*fields, "root"])), "live")
+        small, large = live.where(F.col("size") <= NODE), live.where(F.col("size") > NODE)
+        pairs = pairs.union(_node_pairs(small)).union(_star_pairs(large))
+    joins.append(_joined(documents, pairs))
+    if not large.isEmpty():
+        large = written_table(_with_first(_moved(large.drop("size", "first"), joins[-1])), "large")
+        joins.append(_joined(documents, _node_pairs(_in_blocks(large))))
+    named = classes.select("class", F.col("rep").alias("root"))
+    for joined in joins:
+        named = _moved(named, joined)
+    whole = made.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+    component = F.coalesce("root", "doc_id")
     return whole.select("doc_id", "n_shingles", component.alias("component_id"),
                         (F.col("doc_id") == component).alias("kept"))
 
