@@ -15,7 +15,7 @@ from tradeweft.session import written_table
 TOGETHER = 1 << 20
 
 
-def _smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The vertices that are not the smallest of their component, and the smallest, of a few edges."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = at[:len(a)], at[len(a):]
@@ -38,7 +38,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         def made() -> pa.RecordBatch:
             ends = [np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("a", "b")]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in _smallest(*ends)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in smallest(*ends)], ["a", "b"])
 
         for batch in batches:
             held.append(batch)

@@ -7,16 +7,16 @@ average) by the hash of its own key, and every class moves to the child of its v
 the classes of each node are compared with the node's first class, so that dense groups become one
 component; nodes within one component end there. Then in nodes of up to ``NODE`` classes all pairs
 are compared; larger nodes branch again and compare with their first class. What is still large
-after ``DEPTH`` levels and not one component is compared exhaustively in blocks. Comparing means: a
-128-bit sketch that all but one in a hundred thousand true pairs pass, then the full sets. Pairs
-already in one component need no comparison. A class goes by its smallest doc_id (rep).
+after ``DEPTH`` levels and not one component is compared exhaustively: full sets meet in blocks of
+bounded size. Elsewhere comparing means: a 128-bit sketch that all but one in a hundred thousand
+true pairs pass, then the full sets. Pairs already in one component need no comparison. A class goes by its smallest doc_id (rep).
 
 A pair of similarity 0.75 shares a leaf at depth 1, 2, 3, 4 of one tree with probability 0.81,
 0.69, 0.60, 0.53 (the branching recursion), so ten trees miss 5e-8, 9e-6, 1e-4, 5e-4 of them.
 
 Defined results: a null, empty or wordless text has n_shingles 0 and is linked with nothing; a text
-of fewer than five words is one shingle; rows without doc_id take no part; repeated rows with
-one doc_id are each returned and share a component; ties go to the smallest doc_id.
+of fewer than five words is one shingle; rows without doc_id take no part; repeated rows are
+each returned, those of equal texts in one component; ties go to the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweft.llm.common import texts_of
-from tradeweft.llm.components import joined_roots
+from tradeweft.llm.components import joined_roots, smallest
 from tradeweft.llm.hashing import blocks, mix, word_hashes
 from tradeweft.session import written_table
 
 WORDS, LAMBDA = 5, 0.75
 TOKENS, TREES, DEPTH, NODE = 128, 10, 5, 32
+#: Members and shingles of a block of a large node.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Bits of 128 in which sketches of a true pair may differ: 16 expected at 0.75, and 4.5 deviations.
 SKETCH_BITS = 33
 #: Words of 64 bits in the bitmap of documents whose sets are wanted: 2 MB.
@@ -134,7 +136,7 @@ def _pair(x, y) -> list[Column]:
 def _with_first(members: DataFrame) -> DataFrame:
     """Members of nodes with two components or more, with the node's size and first class."""
     first = F.struct("rep", "s1", "s2", "root")
-    nodes = (members.groupBy("node").agg(F.count("*").alias("size"), F.min(first).alias("first"),
+    nodes = (members.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min(first).alias("first"),
                                          F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low <> high").drop("low", "high"))
     return members.join(nodes, "node")
@@ -201,9 +203,10 @@ def _confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 def _joined(documents: DataFrame, pairs: DataFrame) -> DataFrame | None:
     """(key, root) of the roots that confirmed pairs join to smaller ones; None if there are none."""
     pairs = written_table(pairs.distinct(), "pairs")
-    if pairs.isEmpty():
-        return None
-    links = _confirmed(documents, pairs)
+    return None if pairs.isEmpty() else _roots(_confirmed(documents, pairs))
+
+
+def _roots(links: DataFrame) -> DataFrame | None:
     return None if links.isEmpty() else joined_roots(links)
 
 
@@ -215,27 +218,57 @@ def _moved(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
     return rows.join(to, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
 
 
-def _in_blocks(live: DataFrame) -> DataFrame:
+def _in_blocks(large: DataFrame) -> DataFrame:
     """Members of large nodes dealt to every pair of blocks of their node, so that each two meet."""
-    n = F.ceil(F.col("size") * 2 / NODE).cast("int")
+    n = (F.ceil(F.col("size") / BLOCK) + F.floor(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("rep", "s1", "node"), n).cast("int")
-    return (live.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-            .withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))))
+    return (large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+            .select("rep", "root", F.col("own").alias("block"),
+                    F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node")))
+
+
+def _exhaustive(documents: DataFrame, large: DataFrame) -> DataFrame:
+    """Roots (a, b) of links within large nodes: full sets meet in blocks, and only links come out."""
+    ends = written_table(large.select("rep").distinct(), "ends")
+    sets = written_table(_sets(documents, ends), "sets")
+
+    def run(group: pa.Table) -> pa.Table:
+        rep, root, block = (group.column(c).to_numpy() for c in ("rep", "root", "block"))
+        parts = [np.frombuffer(v.as_buffer(), np.uint64) for v in group.column("own")]
+        sizes = np.array([len(p) for p in parts])
+        words, flat = np.unique(np.concatenate(parts), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        held, found = np.zeros(len(words), np.int64), []
+        crossing = block.min() != block.max()
+        for i in np.flatnonzero(block == block.min()):
+            mine = flat[starts[i]:starts[i] + sizes[i]]
+            held[mine] = 1
+            both = np.add.reduceat(held[flat], starts)
+            held[mine] = 0
+            good = (100 * both >= round(100 * LAMBDA) * (sizes + sizes[i] - both)) & (root != root[i])
+            good &= (block != block[i]) if crossing else (rep > rep[i])
+            if good.any():
+                found.append(smallest(np.append(root[good], root[i]), np.full(good.sum() + 1, root[i])))
+        ends = [np.concatenate(x) for x in zip(*found)] or [np.zeros(0, np.int64)] * 2
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    rows = _in_blocks(large).join(sets, "rep")
+    return written_table(rows.groupBy("node").applyInArrow(run, "a long, b long"), "links")
 
 
 def link(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row with a doc_id."""
     made = written_table(signatures(documents), "signatures")
     classes = written_table(made.where("n_shingles > 0").groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("s1").alias("s1"),
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("s1").alias("s1"),
         F.first("s2").alias("s2")), "classes")
-    fields = ["rep", "s1", "s2"]
+    fields = ["rep", "n", "s1", "s2"]
     trees = F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda t: F.xxhash64(F.lit("tree"), t))
     members = _branch(classes.withColumn("node", F.explode(trees)), fields).withColumn("root", F.col("rep"))
     live = written_table(_with_first(members), "live")
     # Dense groups become one component before any other pairs are taken.
     joins = [_joined(documents, _star_pairs(live))]
-    live = written_table(_with_first(_moved(live.drop("size", "first"), joins[0])), "live")
+    live = written_table(_with_first(_moved(live.drop("size", "weight", "first"), joins[0])), "live")
     pairs = _node_pairs(live.where(F.col("size") <= NODE))
     large = live.where(F.col("size") > NODE)
     for _ in range(1, DEPTH):
@@ -247,8 +280,8 @@ def link(documents: DataFrame) -> DataFrame:
         pairs = pairs.union(_node_pairs(small)).union(_star_pairs(large))
     joins.append(_joined(documents, pairs))
     if not large.isEmpty():
-        large = written_table(_with_first(_moved(large.drop("size", "first"), joins[-1])), "large")
-        joins.append(_joined(documents, _node_pairs(_in_blocks(large))))
+        large = written_table(_with_first(_moved(large.drop("size", "weight", "first"), joins[-1])), "large")
+        joins.append(_roots(_exhaustive(documents, large)))
     named = classes.select("class", F.col("rep").alias("root"))
     for joined in joins:
         named = _moved(named, joined)
