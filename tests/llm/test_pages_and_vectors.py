@@ -94,6 +94,23 @@ def test_posting_lists_of_odd_vectors(spark):
     assert posting_lists.search(vectors(spark, [])).count() == 0
 
 
+def test_posting_lists_fill_tight_groups_and_outliers(spark):
+    rng = np.random.default_rng(7)
+    x = np.eye(16)[0] + 0.1 * rng.standard_normal((640, 16))
+    first = np.random.default_rng(1).permutation(640)  # the first five become centroids
+    x[first[[0, *range(5, 13)]]] = -np.eye(16)[0] + 1e-9 * rng.standard_normal((9, 16))  # nine nearly equal vectors
+    x[first[1]] = -np.eye(16)[1]  # one alone
+    x[first[[2, *range(13, 18)]]] = -np.eye(16)[2]  # six equal ones
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v, 0) for i, v in enumerate(x.tolist())]
+    got = {}
+    for r in posting_lists.search(vectors(spark, rows), every=1).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 640 and all(len(set(ids)) == 20 for ids in got.values())
+    few = posting_lists.search(vectors(spark, rows[:14]), every=1)
+    assert {r["count"] for r in few.groupBy("query_id").count().collect()} == {13}
+
+
 def test_hamming_search_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(64).tolist(), 0) for i in range(300)] + [(i, [1.0] * 64, 0) for i in range(300, 500)]
