@@ -111,6 +111,16 @@ def test_posting_lists_fill_tight_groups_and_outliers(spark):
     assert {r["count"] for r in few.groupBy("query_id").count().collect()} == {13}
 
 
+def test_posting_lists_search_every_list_within_the_ratio():
+    c = np.random.default_rng(2).standard_normal((400, 64))
+    index = posting_lists.Index(np.concatenate([c / np.linalg.norm(c, axis=1, keepdims=True), np.zeros((400, 1))], axis=1), 1.0)
+    q = index.centroids[:1] * 0.1
+    d = np.linalg.norm(index.centroids - q, axis=1)
+    lists, first = index.probes(q, np.full(400, 128), 21)
+    within = set(np.flatnonzero(d <= posting_lists.PROBE * d.min()).tolist())
+    assert set(lists[0].tolist()) == within and len(within) > 300 and first == [1]
+
+
 def test_hamming_search_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(64).tolist(), 0) for i in range(300)] + [(i, [1.0] * 64, 0) for i in range(300, 500)]

@@ -7,8 +7,8 @@ memory. A vector goes to its nearest list and, near a boundary, to all others wh
 ``REPLICATE`` of it. Lists are kept balanced: one above ``LIST`` rows is split into parts by a hash,
 and all its parts are searched, so that equal vectors in any number are spread. A query
 searches its nearest lists until they are the own (nearest) lists of enough vectors, one more than asked
-for, and all lists whose centroid is within ``PROBE`` of the last one's distance. Every part gives its best
-rows, which are merged.
+for, and all lists whose centroid is within ``PROBE`` of the last one's distance, however many. The first of
+them give a score that the rows of the others must reach. Every part gives its best rows, which are merged.
 
 Defined results: vectors that are null, zero, of another dimension than most, or that hold a null or
 non-finite component take no part, and rows without vec_id neither; ties go to the smaller vec_id;
@@ -32,8 +32,10 @@ from tradeweft.session import written_table
 #: Most vectors of the sample the centroids are fitted on, and most centroids: the index in memory has a bound.
 MAX_SAMPLE, MAX_CENTROIDS = 20_000, 4_096
 LIST, REPLICATE, MAX_COPIES = 512, 1.04, 4
-PROBE, MAX_PROBES = 1.25, 48
+PROBE = 1.25
 DEGREE, WIDTH = 24, 96
+#: Queries that a list answers in one task; with more, several tasks read the list.
+BLOCK = 4_096
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -91,16 +93,16 @@ class Index:
         got = sorted((-a, i) for a, i in best)[:n]
         return np.array([i for _, i in got]), np.array([a for a, _ in got])
 
-    def probes(self, x: np.ndarray, own: np.ndarray, least: int, most: int) -> list[np.ndarray]:
-        """The lists to search for each row of x, nearest first. ``own`` counts the vectors nearest to each list: every
-        vector counts once, so lists with ``least`` of them hold as many distinct vectors at least."""
+    def probes(self, x: np.ndarray, own: np.ndarray, least: int) -> tuple[list[np.ndarray], list[int]]:
+        """The lists to search for each row of x, nearest first, and how many of them hold ``least`` vectors. ``own`` counts
+        the vectors nearest to each list: every vector counts once, so that no copies are counted."""
         d = _distances(x, self.centroids)
         order = np.argsort(d, axis=1, kind="stable")
         d = np.take_along_axis(d, order, 1)
         held = np.minimum((own[order].cumsum(1) < least).sum(1), d.shape[1] - 1)
         base = d[np.arange(len(x)), held]
         n = (d <= np.maximum(base * PROBE, base + 1e-6 * self.length)[:, None]).sum(1)  # rounding of d is below 1e-6
-        return [lists[:max(min(many, most), last + 1)] for lists, many, last in zip(order, n.tolist(), held.tolist())]
+        return [lists[:many] for lists, many in zip(order, n.tolist())], (held + 1).tolist()
 
 
 def fit(rows: list[dict], lists: int, length: float, rounds: int = 12) -> np.ndarray:
@@ -134,8 +136,8 @@ def build(vectors: DataFrame) -> Index | None:
     return Index(fit_in_task(sample, lambda rows: fit(rows, lists, length)), length)
 
 
-def _lists(rows: DataFrame, index: Index, choose: Callable[[Index, np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """vec_id, v, list and place: a row for each list that ``choose`` gives, with its place among them from 0."""
+def _lists(rows: DataFrame, index: Index, choose: Callable[[Index, np.ndarray], tuple[list[np.ndarray], list[int]]]) -> DataFrame:
+    """The rows with ``lists``, nearest first, and ``first``: how many of them come first."""
     packed, length = base64.b85encode(index.centroids.tobytes()), index.length
     width = index.centroids.shape[1]
 
@@ -146,20 +148,58 @@ def _lists(rows: DataFrame, index: Index, choose: Callable[[Index, np.ndarray],
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 x = _lift(batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1), length)
-                chosen = choose(own, x)
-                many = [len(c) for c in chosen]
-                at = pa.array(np.repeat(np.arange(len(x)), many))
+                lists, first = choose(own, x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(np.concatenate(chosen), pa.int32()),
-                     pa.array(np.concatenate([np.arange(m) for m in many]), pa.int32())], ["vec_id", "v", "list", "place"])
+                    [batch.column("vec_id"), batch.column("v"), pa.array(lists, pa.list_(pa.int32())), pa.array(first, pa.int32())],
+                    ["vec_id", "v", "lists", "first"])
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, list int, place int")
+    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, lists array<int>, first int")
 
 
-def _near_boundary(index: Index, x: np.ndarray) -> list[np.ndarray]:
+def _near_boundary(index: Index, x: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
     """The nearest list of each row of x, and others within ``REPLICATE`` of its distance."""
-    found = (index.search(q, MAX_COPIES) for q in x)
-    return [lists[d <= max(d[0] * REPLICATE, d[0] + 1e-9)] for lists, d in found]
+    found = [index.search(q, MAX_COPIES) for q in x]
+    return [lists[d <= max(d[0] * REPLICATE, d[0] + 1e-9)] for lists, d in found], [1] * len(found)
+
+
+def _answers(asked: DataFrame, dealt: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """rep, vec_id, score: the k best of each part of each list for the queries (vec_id, v, bound, list) that ask it, without
+    those below ``bound``, unless it is null."""
+    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # one row for each list
+    asked = (asked.join(F.broadcast(parts), "list").join(F.broadcast(blocks), "list")
+             .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    dealt = dealt.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        reps, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if right.num_rows and left.num_rows:
+            ids = right.column("vec_id").to_numpy()
+            x = right.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            rep = left.column("vec_id").to_numpy()
+            asking = left.column("v").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+            bound = np.nan_to_num(left.column("bound").to_numpy().astype(float), nan=-np.inf)
+            # products of matrices choose the rows, with room for their rounding; scores that count are summed alike everywhere
+            room = 1e-13 * x.shape[1] * np.sqrt((asking ** 2).sum(1) * (x ** 2).sum(1).max())
+            for at in range(0, len(rep), 128):
+                q, low = asking[at:at + 128], bound[at:at + 128]
+                s = q @ x.T
+                if len(ids) > k:
+                    low = np.maximum(low, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] - room[at:at + 128])
+                i, j = np.nonzero(s >= (low - room[at:at + 128])[:, None])
+                s = (x[j] * q[i]).sum(1)
+                i, j, s = (a[s >= bound[at:at + 128][i]] for a in (i, j, s))
+                order = np.lexsort((ids[j], -s, i))
+                i, j, s = i[order], j[order], s[order]
+                good = np.arange(len(i)) - np.searchsorted(i, i) < k
+                reps.append(rep[at:at + 128][i[good]])
+                found.append(ids[j[good]])
+                scores.append(s[good])
+        return pa.table({"rep": pa.array(np.concatenate(reps)), "vec_id": pa.array(np.concatenate(found)), "score": pa.array(np.concatenate(scores))})
+
+    keys = ["list", "part", "block"]
+    return asked.select(*keys, "vec_id", "v", "bound").groupBy(*keys).cogroup(
+        dealt.select(*keys, "vec_id", "v").groupBy(*keys)).applyInArrow(run, "rep long, vec_id long, score double")
 
 
 def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
@@ -172,35 +212,24 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             "query_id", F.lit(1).alias("rank"), "vec_id", "score")
     placed = written_table(_lists(vectors, index, _near_boundary), "placed")
     own = np.zeros(len(index.centroids), np.int64)
-    for row in placed.where("place = 0").groupBy("list").count().collect():  # one row for each list
+    for row in placed.groupBy(F.col("lists")[0].alias("list")).count().collect():  # one row for each list
         own[row["list"]] = row["count"]
+    placed = placed.select("vec_id", "v", F.explode("lists").alias("list"))
     parts = placed.groupBy("list").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts"))  # one row for each list
     dealt = placed.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     # equal query vectors are searched once, for one row more, since each of them leaves itself out
     queries = vectors.where(F.col("vec_id") % every == 0)
-    reps = written_table(queries.groupBy("v").agg(F.min("vec_id").alias("rep")), "queries")
-    asked = _lists(reps.select(F.col("rep").alias("vec_id"), "v"), index, lambda i, x: i.probes(x, own, k + 1, MAX_PROBES))
-    asked = asked.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        at, found, scores = [], [], []
-        if right.num_rows and left.num_rows:
-            ids = right.column("vec_id").to_numpy()
-            x = right.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            asking = left.column("v").combine_chunks().flatten().to_numpy().reshape(left.num_rows, -1)
-            for rep, q in zip(left.column("vec_id").to_pylist(), asking):
-                s = (x * q).sum(1)
-                order = np.lexsort((ids, -s))[:k + 1]
-                at += [rep] * len(order)
-                found.append(ids[order])
-                scores.append(s[order])
-        return pa.table({"rep": pa.array(at, pa.int64()), "vec_id": pa.array(np.concatenate(found) if found else [], pa.int64()),
-                         "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
-
-    keys = ["list", "part"]
-    found = asked.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(
-        dealt.select(*keys, "vec_id", "v").groupBy(*keys)).applyInArrow(run, "rep long, vec_id long, score double").distinct()
+    reps = queries.groupBy("v").agg(F.min("vec_id").alias("vec_id"))
+    reps = written_table(_lists(reps, index, lambda i, x: i.probes(x, own, k + 1)), "queries")
+    near = reps.select("vec_id", "v", F.lit(None).cast("double").alias("bound"), F.explode(F.slice("lists", F.lit(1), F.col("first"))).alias("list"))
+    near = written_table(_answers(near, dealt, parts, k + 1).distinct(), "near")
     order = lambda key: Window.partitionBy(key).orderBy(F.desc("score"), "vec_id")
+    bounds = near.withColumn("at", F.row_number().over(order("rep"))).where(F.col("at") == k + 1)
+    bounds = bounds.select(F.col("rep").alias("vec_id"), F.col("score").alias("bound"))
+    rest = F.slice("lists", F.col("first") + 1, F.greatest(F.size("lists") - F.col("first"), F.lit(0)))
+    far = reps.join(bounds, "vec_id", "left").select("vec_id", "v", "bound", F.explode(rest).alias("list"))
+    found = near.union(_answers(far, dealt, parts, k + 1)).distinct()
+    reps = reps.select("v", F.col("vec_id").alias("rep"))
     top = found.withColumn("at", F.row_number().over(order("rep"))).where(F.col("at") <= k + 1)
     named = queries.join(reps, "v").select(F.col("vec_id").alias("query_id"), "rep").join(top, "rep").where("vec_id <> query_id")
     return (named.withColumn("rank", F.row_number().over(order("query_id"))).where(F.col("rank") <= k)
