@@ -55,6 +55,23 @@ def test_main_text_of_real_and_odd_pages(spark, small):
     assert main_text.extract(spark.createDataFrame([], PAGE_SCHEMA), None).count() == 0
 
 
+def test_main_text_of_a_page_with_many_siblings(spark, small):
+    model = main_text.train(spark.read.parquet(f"{small}/pages.parquet"))
+    menu = "<nav><ul>" + "".join(f"<li><a href={i}>Part {i}</a></li>" for i in range(12)) + "</ul></nav>"
+    said = [f"Paragraph {i} of the article, with a good number of words in it so that it looks like text." for i in range(300)]
+    page = f"<html><body>{menu}<article>{''.join(f'<p>{t}</p>' for t in said)}</article>{menu}<footer>Copyright</footer></body></html>"
+    got = main_text.extract(spark.createDataFrame([(1, "u", page)], PAGE_SCHEMA), model).first()
+    assert got.text.split("\n") == said
+
+
+def test_sibling_features_do_not_depend_on_the_number_of_siblings():
+    for n in (150, 300):
+        nodes = main_text.in_order(main_text.parse("<p>one two</p><div>x</div>" * (n // 2)))
+        own = main_text.features(nodes)[[i for i, node in enumerate(nodes) if node.parent is nodes[0]]]
+        assert np.allclose(own[:, 10], np.arange(n) / n) and np.allclose(own[:, 11], 0.5)
+        assert own[0, 15] == -1 and own[1:5, 15].tolist() == [7, 1, 7, 1]
+
+
 def test_decoding_never_keeps_a_node_below_a_dropped_one():
     nodes = main_text.in_order(main_text.parse("<div><p>a</p><p>b</p></div><div><p>c</p></div>"))
     assert main_text.decode(nodes, np.array([9, -9, 1, 1, 1, 1, 2, 3, 3, 3.0])[:len(nodes)]) == ["c"]

@@ -182,14 +182,19 @@ def features(nodes: list[Node]) -> np.ndarray:
             node.parent.tags += node.tags
     total = nodes[0].chars or 1
     above: dict[int, int] = {}
+    places: dict[int, int] = {}
+    alike: dict[tuple[int, str], int] = {}
+    for node in nodes:
+        for i, child in enumerate(node.children):
+            places[id(child)] = i
+            alike[id(node), child.tag] = alike.get((id(node), child.tag), 0) + 1
     rows, before = [], 0
     for node in nodes:
         up = node.parent
         flags, outer = node.flags, above[id(up)] if up else 0
         above[id(node)] = outer | flags
         near = up.children if up else [node]
-        place = near.index(node) if len(near) < 200 else 0
-        same = sum(x.tag == node.tag for x in near) if len(near) < 200 else len(near)
+        place, same = places.get(id(node), 0), alike[id(up), node.tag] if up else 1
         last = near[place - 1] if place else None
         text = node.text
         rows.append([
