@@ -72,6 +72,20 @@ def test_sibling_features_do_not_depend_on_the_number_of_siblings():
         assert own[0, 15] == -1 and own[1:5, 15].tolist() == [7, 1, 7, 1]
 
 
+@pytest.mark.parametrize("before", ["<button>Menu", "<svg><path d=1>", "<header><button>Menu</header>", "<button>A<button>B<select><option>c"])
+def test_an_unclosed_button_does_not_drop_the_article(before):
+    runs = lambda html: [n.text for n in main_text.in_order(main_text.parse(html)) if n.text]
+    article = "<article><p>one</p><p>two <b>three</b></p></article><p>four</p>"
+    assert runs(f"<html><body>{before}{article}</body></html>") == ["one", "two three", "four"]
+    assert runs(f"{article}<div>five {before}<p>six</p></div>seven") == ["one", "two three", "four", "five", "six", "seven"]
+
+
+def test_closed_buttons_and_nested_objects_are_dropped():
+    runs = lambda html: [n.text for n in main_text.in_order(main_text.parse(html)) if n.text]
+    assert runs("<p>a <button><p>x</p></button>b</p>c<object><object>y</object>z</object>d</svg>") == ["a b", "c d"]
+    assert runs("<ul><li>a<button>x<li>b</ul><template><p>no<button>n</template><p>c") == ["a", "b", "c"]
+
+
 def test_decoding_never_keeps_a_node_below_a_dropped_one():
     nodes = main_text.in_order(main_text.parse("<div><p>a</p><p>b</p></div><div><p>c</p></div>"))
     assert main_text.decode(nodes, np.array([9, -9, 1, 1, 1, 1, 2, 3, 3, 3.0])[:len(nodes)]) == ["c"]

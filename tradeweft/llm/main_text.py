@@ -12,7 +12,8 @@ anew in other wrappers, with and without telling names, among menus, adverts, no
 reader comments made from other blocks.
 
 Defined results: null or empty html gives the empty text; a page without blocks is one run of text;
-unclosed tags end where their parent ends; repeated rows give repeated results; without any page to
+unclosed tags end where their parent ends; buttons, selections, drawings, objects and templates are dropped,
+but blocks in one without an end tag are kept as its parent's; repeated rows give repeated results; without any page to
 learn from there is no output, as there is no input.
 """
 
@@ -39,7 +40,8 @@ _BLOCKS = set("""address article aside blockquote body center dd details dialog
  footer form h1 h2 h3 h4 h5 h6 head header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th
  thead tr ul""".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style template noscript textarea select button svg iframe object title".split())
+_RAW = set("script style noscript textarea iframe title".split())  # text up to their end tag, or to the end of the page
+_DROPPED = set("template select button svg object".split())  # markup that is no text of the page
 _CLOSED_BY_BLOCK = {"p"}
 _SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 # Tokens that name the part of a page.
@@ -97,6 +99,7 @@ def parse(html: str) -> Node:
     """The tree of blocks and text runs."""
     root = here = Node("html", None)
     held: list[str] = []
+    outer: list[tuple[list[str], list[int]]] = []  # the runs that the open elements of _DROPPED stand in
     linked = [0, 0]  # open links, and characters inside links of the run so far
     at = 0
 
@@ -109,6 +112,25 @@ def parse(html: str) -> Node:
                 run.text, run.links = text, min(linked[1], len(text))
         linked[1] = 0
 
+    def leave(to: Node) -> None:
+        """Close all nodes below ``to``. Blocks in an element of _DROPPED without an end tag belong to its parent."""
+        nonlocal here, held, linked
+        late: list[list[Node]] = []
+        while here is not to or late:
+            if here is not to and here.tag in _DROPPED:
+                late.append([c for c in here.children if c.tag != "#run"])
+                here = here.parent
+                held, linked = outer.pop()
+                flush()
+                continue
+            for kids in reversed(late):
+                for kid in kids:
+                    kid.parent = here
+                here.children.extend(kids)
+            late.clear()
+            if here is not to:
+                here = here.parent
+
     def put(text: str) -> None:
         held.append(text)
         if linked[0]:
@@ -133,6 +155,22 @@ def parse(html: str) -> Node:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else n
                 held.append(" ")
+        elif tag in _DROPPED:
+            if not closing and not m[3].endswith("/"):
+                outer.append((held, linked))
+                held, linked = [], [0, 0]
+                inner = Node(tag, None)  # not among the children of its parent, so nobody visits it
+                inner.parent, here = here, inner
+            elif closing:
+                up = here
+                while up and up.tag != tag:
+                    up = up.parent
+                if up:
+                    flush()
+                    leave(up)
+                    here = up.parent
+                    held, linked = outer.pop()
+                    held.append(" ")
         elif tag == "br" or tag in _VOID:
             held.append(" ")
         elif tag not in _BLOCKS:
@@ -144,7 +182,7 @@ def parse(html: str) -> Node:
             while up and up.tag != tag:
                 up = up.parent
             if up and up.parent:
-                here = up.parent
+                leave(up.parent)
         else:
             flush()
             linked[0] = 0
@@ -155,10 +193,13 @@ def parse(html: str) -> Node:
                 while up and up.tag != tag and up.tag not in _SAME_CLOSES[tag]:
                     up = up.parent
                 if up and up.tag == tag and up.parent:
-                    here = up.parent
+                    leave(up.parent)
             if tag not in ("html", "body") or here.tag != tag:
                 here = Node(tag, here, _flags(tag, m[3]))
     flush()
+    leave(root)
+    for node in in_order(root):
+        node.depth = node.parent.depth + 1 if node.parent else 0
     return root
 
 
