@@ -26,4 +26,7 @@ def folder():
     return tempfile.mkdtemp(prefix="tradeweft-test-")
 
 
-SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+@pytest.fixture(scope="session")
+def tables():
+    """The folder of the given tables."""
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

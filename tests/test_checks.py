@@ -7,7 +7,6 @@ import os
 
 import duckdb
 import pytest
-from conftest import SMALL
 
 import tradeweft.checks as checks
 
@@ -16,10 +15,10 @@ SAMPLE = [n for i, n in enumerate(NAMES) if i % 6 == 0 and not n.startswith(("m1
 
 
 @pytest.fixture(scope="module")
-def con():
+def con(tables):
     db = duckdb.connect()
-    for f in sorted(os.listdir(SMALL)):
-        db.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{SMALL}/{f}'")
+    for f in sorted(os.listdir(tables)):
+        db.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{tables}/{f}'")
     return db
 
 
@@ -28,8 +27,8 @@ def text(v):
 
 
 @pytest.mark.parametrize("name", NAMES if os.environ.get("ALL_CHECKS") else SAMPLE)
-def test_query_equals_sql(spark, con, name):
-    df = checks.run(name, spark, SMALL)
+def test_query_equals_sql(spark, con, tables, name):
+    df = checks.run(name, spark, tables)
     cols = sorted(df.columns)
     got = sorted(tuple(text(r[c]) for c in cols) for r in df.collect())
     sql = checks.oracle(name)

@@ -1,7 +1,6 @@
 """A stream over all available input gives the batch result."""
 
 import pytest
-from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tradeweft.operators import candles as C
@@ -13,9 +12,9 @@ from tradeweft.streaming import state as S
 
 
 @pytest.fixture(scope="module")
-def source(spark, tmp_path_factory):
+def source(spark, tables, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("swaps"))
-    s = X.swaps(spark, SMALL).withColumns({"token_a_symbol": F.concat(F.lit("S_"), "token_a"),
+    s = X.swaps(spark, tables).withColumns({"token_a_symbol": F.concat(F.lit("S_"), "token_a"),
                                            "token_a_creation_date": F.lit("2023-01-01").cast("timestamp")})
     for lo, hi in ((0, 300), (300, 700), (700, 10 ** 9)):
         s.filter(F.col("block_number").between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(path)
@@ -61,8 +60,8 @@ def test_positions(source, folder):
     assert same(got, want.select(*got.columns))
 
 
-def test_holders_and_first_transfers(spark, folder):
-    t = X.transfers(spark, SMALL).withColumn("order_no", F.unix_seconds("timestamp") * 1_000_000 + F.col("transaction_index") * 10 + F.col("log_index"))
+def test_holders_and_first_transfers(spark, tables, folder):
+    t = X.transfers(spark, tables).withColumn("order_no", F.unix_seconds("timestamp") * 1_000_000 + F.col("transaction_index") * 10 + F.col("log_index"))
     for lo, hi in ((0, 7e14), (7e14, 1e18)):
         t.filter((F.col("order_no") >= lo) & (F.col("order_no") < hi)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = lambda: spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
