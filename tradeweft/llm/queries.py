@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweft.llm import byte_bpe, hamming, lang_id, main_text, near_dedup, packing, posting_lists, quality, rans, warc
+from tradeweft.llm import (
+    byte_bpe, hamming, lang_id, main_text, near_dedup, packing, posting_lists, quality, rans, token_counts, warc)
 from tradeweft.llm.common import table
 
 #: Id put after each document by queries 3 and 5.
@@ -61,8 +62,12 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_hamming_top_k, op3_token_files, op4_byte_bpe, op5_best_fit_packing,
-                                   op6_warc, op7_language_id, op8_main_text, op9_posting_lists, op10_quality)}
+                                   op6_warc, op7_language_id, op8_main_text, op9_posting_lists, op10_quality, op11_token_counts)}
 
 ORACLES = {
     "op1_near_dedup": r"""
