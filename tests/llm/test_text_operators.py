@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tradeweft.llm import byte_bpe, lang_id, near_dedup, packing, quality, rans
+from tradeweft.llm import byte_bpe, hashing, lang_id, near_dedup, packing, quality, rans, tokens
 from tradeweft.llm.components import components
 from tradeweft.llm.tokens import Encoder
 
@@ -248,3 +248,40 @@ def test_one_pass_equals_plain_follow_the_regularised_leader():
             z[i], n[i] = z.get(i, 0.0) + g - s * w[i], n.get(i, 0.0) + g * g
     state = quality.ftrl_pass(texts, labels, np.zeros((2, 1 << quality.BITS)))
     assert all(abs(state[0][i] - v) < 1e-6 for i, v in z.items())
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_that_agree_in_polynomial_hashes(name):
+    """Polynomials modulo a power of two hash these words alike, whatever their base."""
+    path = public_tokenizers.path(name)
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    for n in (64, 256, 1024, 4096):
+        text = f"x {thue_morse(n, 0)} {thue_morse(n, 1)}"
+        assert np.frombuffer(Encoder(path).encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    a, b = (near_dedup.word_hashes([thue_morse(1024, flip).encode()])[0] for flip in (0, 1))
+    assert a[0] != b[0]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """With hashes that say nothing, the bytes decide."""
+    monkeypatch.setattr(hashing, "hashes_of", lambda raw, starts, ends: np.zeros(len(starts), np.uint64) + (starts % 2).astype(np.uint64))
+    text = " ".join(random.Random(4).choices(["a", "b", "ab", "abcdefgh", "abcdefghi", "abcdefghj", "Abcdefgh" * 40], k=200))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        whole = Tokenizer.from_file(path)
+        assert np.frombuffer(Encoder(path).encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_start_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "HELD", 2000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = " ".join(WORDS * 3)
+    encoder = Encoder(path)
+    whole = Tokenizer.from_file(path)
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert encoder.words.held <= 2000 and len(encoder.words) < 20

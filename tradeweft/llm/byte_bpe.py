@@ -30,8 +30,8 @@ from tradeweft.llm.tokens import units
 #: Ranks are below 2 ** 17; a pair of them is one number.
 SHIFT = 1 << 17
 _NONE = 2**31 - 1
-#: Characters of text whose pieces are made distinct together.
-GROUP = 24 << 20
+#: Characters of text whose pieces are made distinct together, and pieces in a row.
+GROUP, ROW = 16 << 20, 2048
 #: Two coprime moduli whose product is above every pair: no two pairs agree in both.
 _COARSE, _FINE = 65_537, 524_287
 
@@ -152,29 +152,34 @@ def encode(documents: DataFrame, ranks: RankMap, pattern: str) -> DataFrame:
             for group in units(batch.column("text").to_pylist(), breaks, True, GROUP):
                 numbers: dict[str, int] = {}
                 made = []
-                for _, (word, first) in group.words():
-                    text = word() if first else " " + word()
-                    made.append(np.array([numbers.setdefault(p, len(numbers)) for p in split.findall(text)], "<u4").tobytes())
+                for word in group.words():
+                    made.append(np.array([numbers.setdefault(p, len(numbers)) for p in split.findall(word.decode())], "<u4").tobytes())
                 runs = group.laid_out(made)
                 pieces = [missed.get(p) or byte_ids[np.frombuffer(p.encode(), np.uint8)] for p in numbers]
+                rows = [pieces[i:i + ROW] for i in range(0, len(pieces), ROW)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([None, *doc_ids.slice(at, len(runs)).to_pylist()], pa.int64()),
-                     pa.array([None, *runs], pa.binary()), pa.array([pieces, *[None] * len(runs)], pa.list_(pa.list_(pa.int32())))],
+                    [pa.array([None] * len(rows) + doc_ids.slice(at, len(runs)).to_pylist(), pa.int64()),
+                     pa.array([None] * len(rows) + runs, pa.binary()),
+                     pa.array(rows + [None] * len(runs), pa.list_(pa.list_(pa.int32())))],
                     ["doc_id", "run", "pieces"])
                 at += len(runs)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = begins = sizes = None
+        flat, sizes, held, fresh = np.empty(0, np.int32), np.empty(0, np.int64), [], False
+        begins = sizes
         for batch in batches:
             doc_ids, ids = [], []
             runs, codes = batch.column("run"), batch.column("codes")
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                if codes[i].is_valid:
+                if codes[i].is_valid:  # a row of the pieces of a group; the first one begins a new group
                     own = codes[i].values
-                    sizes = np.diff(own.offsets.to_numpy())
-                    begins = np.cumsum(sizes) - sizes
-                    flat = own.flatten().to_numpy(zero_copy_only=False)
+                    held = [] if not fresh else held
+                    held.append((own.flatten().to_numpy(zero_copy_only=False), np.diff(own.offsets.to_numpy())))
+                    fresh = True
                     continue
+                if fresh:
+                    flat, sizes = (np.concatenate(x) for x in zip(*held))
+                    begins, fresh = np.cumsum(sizes) - sizes, False
                 run = np.frombuffer(runs[i].as_buffer(), "<u4")
                 counts = sizes[run]
                 stops = np.cumsum(counts)

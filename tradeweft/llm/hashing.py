@@ -1,23 +1,25 @@
-"""64-bit hashes of all words of many texts at once, with numpy prefix sums.
+"""64-bit hashes of all words of many texts at once, with numpy, and their exact comparison.
 
-A word is a run of bytes other than space and 0x09-0x0D. Its hash is a polynomial over random
-byte values: the difference of two prefix sums times the inverse power of its start, mixed.
+A word is a run of bytes other than the breaks. It is read eight bytes at a time; each step mixes
+the bytes into the hash of what came before, so no structure of the word makes two words agree. Long
+words are hashed one by one. Equal hashes are only a hint: :func:`distinct` compares the bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-_SEED = np.random.default_rng(20240131)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_VALUES = _SEED.integers(1, 2**63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Keeps the lowest 0 to 8 bytes of eight.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,15 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def blocks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``size`` bytes; a longer text has a run of its own."""
     start = total = 0
@@ -48,26 +41,67 @@ def blocks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; ``raw`` needs eight more bytes than are used."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
+def hashes_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words ``raw[start:end]``; ``raw`` goes on for eight bytes behind the last."""
+    eights, sizes = _eights(raw), ends - starts
+    out = mix(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    open_, at = np.flatnonzero(sizes <= _LONG), 0
+    while len(open_):
+        left = np.minimum(sizes[open_] - at, 8)
+        out[open_] = mix(out[open_] ^ (eights[starts[open_] + at] & _KEEP[left]))
+        at += 8
+        open_ = open_[sizes[open_] > at]
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def equal_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each word has the same bytes as the word whose number is in ``other``."""
+    eights, sizes = _eights(raw), ends - starts
+    same = sizes == sizes[other]
+    open_, at = np.flatnonzero(same & (other != np.arange(len(other)))), 0
+    while len(open_):
+        left = np.minimum(sizes[open_] - at, 8)
+        good = (eights[starts[open_] + at] ^ eights[starts[other[open_]] + at]) & _KEEP[left] == 0
+        same[open_[~good]] = False
+        at += 8
+        open_ = open_[good & (sizes[open_] > at)]
+    return same
+
+
+def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the first word of each kind, and the kind of every word. Words of one hash but
+    with other bytes are kinds of their own."""
+    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~equal_words(raw, starts, ends, first[kind]))
+    if len(odd):
+        more: dict[tuple[int, bytes], int] = {}
+        for i in odd.tolist():
+            key = int(hashes[i]), raw[starts[i]:ends[i]].tobytes()
+            kind[i] = len(first) + more.setdefault(key, len(more))
+        at = np.full(len(more), len(hashes), np.int64)
+        np.minimum.at(at, kind[odd] - len(first), odd)
+        first = np.concatenate([first, at])
+    return first, kind
+
+
 def cut_words(texts: list[bytes], breaks: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Bytes of all texts, start, end and hash of each word, and the bounds of each text's words.
+    """Folded bytes of all texts, start, end and hash of each word, and the bounds of each text's words.
 
     ``breaks`` marks the bytes between words, among them the space; ``fold`` maps bytes first.
     """
-    raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    raw = fold[np.frombuffer(b" ".join([b"", *texts, b" " * 8]), np.uint8)]
     gap = breaks[raw]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
     begin = np.cumsum([1] + [len(t) + 1 for t in texts])
-    bounds = np.searchsorted(starts, begin)
-    hashes = np.empty(len(starts), np.uint64)
-    for i, j in blocks(texts):  # in pieces, for the sake of memory
-        lo, hi, at = bounds[i], bounds[j], begin[i]
-        up, down = _powers(int(begin[j] - at) + 1)
-        sums = np.zeros(int(begin[j] - at) + 1, np.uint64)
-        np.cumsum(_VALUES[fold[raw[at:begin[j]]]] * up[:-1], out=sums[1:])
-        first, last = starts[lo:hi] - at, ends[lo:hi] - at
-        hashes[lo:hi] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-    return raw, starts, ends, hashes, bounds
+    return raw, starts, ends, hashes_of(raw, starts, ends), np.searchsorted(starts, begin)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

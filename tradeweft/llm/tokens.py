@@ -3,8 +3,8 @@
 Both tokenizers used here cut a text at white space before they merge, so the ids of a text are
 those of its words one after the other. A word of Latin characters goes through the library's
 merge model by the pieces of the tokenizer's own pattern; any other word, and any text with
-unusual white space, goes through the whole tokenizer. The words of many texts are hashed and made
-distinct by numpy; only distinct ones are looked up, by 64-bit hash, and encoded where new.
+unusual white space, goes through the whole tokenizer. The words of many texts are made distinct by
+numpy, by hash and then by their bytes; only distinct ones are looked up and encoded where new.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from tradeweft.llm.hashing import cut_words
+from tradeweft.llm.hashing import cut_words, distinct
 
-#: Words and word pieces remembered by one Python worker, about 250 MB together; then they start anew.
-MAX_WORDS, MAX_PIECES = 700_000, 700_000
+#: Bytes that one Python worker remembers of words and of word pieces, each; then they start anew.
+HELD = 20 << 20
 #: Bytes of text whose words are made distinct together.
-GROUP = 8 << 20
+GROUP = 2 << 20
 #: White space of Unicode, as the tokenizers' patterns see it.
 _SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = regex.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
@@ -39,17 +39,20 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class _Pieces(dict):
-    """Word piece -> its ids as little-endian 32-bit integers."""
+class _Known(dict):
+    """Word or word piece -> its ids as little-endian 32-bit integers, of at most ``HELD`` bytes."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
+    def __missing__(self, key) -> bytes:
+        ids = self.make(key)
+        self.held += len(key) + len(ids) + 200  # two objects and a slot
+        if self.held > HELD:
             self.clear()
-        self[piece] = ids = self.make(piece)
+            self.held = len(key) + len(ids) + 200
+        self[key] = ids
         return ids
 
 
@@ -70,8 +73,8 @@ class Encoder:
         self.lead = "" if self.drops_space else " "
         self.breaks = np.zeros(256, bool)
         self.breaks[[32, 10] if self.drops_space else [32]] = True
-        self.pieces = _Pieces(self._piece)
-        self.words: dict[int, bytes] = {}
+        self.pieces = _Known(self._piece)
+        self.words = _Known(lambda word: self._led(word[1:].decode()) if word[:1] == b" " else self._word(word.decode()))
 
     def _piece(self, piece: str) -> bytes:
         text = piece.encode().decode("latin-1").translate(self.letters)
@@ -100,17 +103,7 @@ class Encoder:
         """Ids of each whole text as little-endian unsigned 32-bit integers; none for null."""
         out: list[bytes] = []
         for group in units(texts, self.breaks, not self.drops_space):
-            ids, known = [], self.words
-            for key, (word, first) in group.words():
-                own = known.get(key)
-                if own is None:
-                    text = word()
-                    own = self._word(text) if first else self._led(text)
-                    if len(known) >= MAX_WORDS:
-                        known.clear()
-                    known[key] = own
-                ids.append(own)
-            out += group.laid_out(ids)
+            out += group.laid_out([self.words[word] for word in group.words()])
         return out
 
 
@@ -123,14 +116,13 @@ class Group:
         if spaced:  # the first word of a text has no space before it
             self.first[self.bounds[:-1][self.bounds[:-1] < self.bounds[1:]]] = True
             hashes = hashes ^ (self.first * np.uint64(0xA5A5A5A5A5A5A5A5))
-        self.keys, self.at, self.inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        self.at, self.inverse = distinct(self.raw, self.starts, self.ends, hashes)
 
-    def words(self):
-        """(hash, (function that gives the word, whether no space stands before it)) of each."""
-        buffer = self.raw.tobytes()
-        first = self.first[self.at].tolist()
-        for key, a, b, alone in zip(self.keys.tolist(), self.starts[self.at].tolist(), self.ends[self.at].tolist(), first):
-            yield key, ((lambda a=a, b=b: buffer[a:b].decode()), alone)
+    def words(self) -> list[bytes]:
+        """The distinct words, with the space that stands before all but the first of a text."""
+        buffer, alone = self.raw.tobytes(), self.first[self.at].tolist()
+        return [buffer[a:b] if f else b" " + buffer[a:b]
+                for a, b, f in zip(self.starts[self.at].tolist(), self.ends[self.at].tolist(), alone)]
 
     def laid_out(self, made: list[bytes]) -> list[bytes]:
         """For each text what was made of its words (32-bit integers), one after the other."""
@@ -151,9 +143,8 @@ class OddText:
     def __init__(self, text: str):
         self.parts = _UNIT.findall(text)
 
-    def words(self):
-        for part in self.parts:
-            yield ("odd", part), ((lambda part=part: part), True)
+    def words(self) -> list[bytes]:
+        return [part.encode() for part in self.parts]
 
     @staticmethod
     def laid_out(made: list[bytes]) -> list[bytes]:
