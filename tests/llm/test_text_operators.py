@@ -284,4 +284,4 @@ def test_caches_start_anew(monkeypatch):
     encoder = Encoder(path)
     whole = Tokenizer.from_file(path)
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
-    assert encoder.words.held <= 2000 and len(encoder.words) < 20
+    assert encoder.words.held <= 1000 and len(encoder.words) < 10

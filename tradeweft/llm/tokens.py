@@ -21,9 +21,9 @@ from tokenizers import Tokenizer
 from tradeweft.llm.hashing import cut_words, distinct
 
 #: Bytes that one Python worker remembers of words and of word pieces, each; then they start anew.
-HELD = 20 << 20
+HELD = 128 << 20
 #: Bytes of text whose words are made distinct together.
-GROUP = 2 << 20
+GROUP = 4 << 20
 #: White space of Unicode, as the tokenizers' patterns see it.
 _SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = regex.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
@@ -40,16 +40,22 @@ def byte_letters() -> list[str]:
 
 
 class _Known(dict):
-    """Word or word piece -> its ids as little-endian 32-bit integers, of at most ``HELD`` bytes."""
+    """Word or word piece -> its ids as little-endian 32-bit integers, of at most ``HELD`` bytes.
+
+    When half of that is full, what was not asked for since the last time is forgotten.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.held = make, 0
+        self.make, self.held, self.before = make, 0, {}
 
     def __missing__(self, key) -> bytes:
-        ids = self.make(key)
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.make(key)
         self.held += len(key) + len(ids) + 200  # two objects and a slot
-        if self.held > HELD:
+        if self.held > HELD // 2:
+            self.before = self.copy()
             self.clear()
             self.held = len(key) + len(ids) + 200
         self[key] = ids
