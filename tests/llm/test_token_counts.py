@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 from tradeweft.llm import token_counts
 
 ODD = ["", None, "a  b", " lead", "trail ", "tab\tb \t c", "日本語 テキスト", "it's we'LL 'S", "\x00 \x01", "x <|endoftext|>y <|startoftext|>",
-       "x" * 900, "💩👍🏽 é" * 40, "İstanbul ẞ Σας " * 20, "one two  three\n\nfour " * 60, "a ́b " * 50, "12 34, 5-6. " * 80, " \n" * 90]
+       "x" * 900, "💩👍🏽 é" * 40, "İstanbul ẞ Σας " * 20, "one two  three\n\nfour " * 60, "a ́b " * 50, "12 34, 5-6. " * 80, " \n" * 90,
+       "a \ue000 b\ue000c", "\ue000\ue000 d \uf8ff \ue001"]
 
 
 def brute(name, texts):
@@ -25,8 +26,10 @@ def test_counts_equal_the_library(spark, monkeypatch, name):
     counter = token_counts.Counter(public_tokenizers.path(name))
     monkeypatch.setattr(token_counts, "PIECE", 7)
     monkeypatch.setattr(token_counts, "BATCH", 64)
-    assert sum(1 for _ in counter.pieces("one two three four " * 20)) > 10
-    assert counter.count([t or "" for t in ODD]).tolist() == brute(name, ODD)
+    monkeypatch.setattr(token_counts, "KNOWN", 40)
+    if name != "word_bpe_49k.json":
+        assert sum(1 for _ in counter.pieces("one two three four " * 20)) > 10
+    assert counter.count([(t or "").encode() for t in ODD]).tolist() == brute(name, ODD)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)], "doc_id long, text string, n_tokens int")
     got = {r.doc_id: r for r in token_counts.count_tokens(docs, public_tokenizers.path(name), 100).collect()}
     want = brute(name, ODD)

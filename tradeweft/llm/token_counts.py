@@ -1,8 +1,10 @@
 """Numbers of tokens of whole texts, by the tokenizers or the sentencepiece library.
 
-Every Arrow batch of texts is cut into batches of nearly equal bytes for the library, and only the
-lengths of what it returns are kept. A long text is cut before that, at places where the tokenizer
-never joins both sides:
+Arrow batches of texts are cut into groups of bounded bytes, and only the lengths of what the library
+returns are kept. Texts are cut before that, at places where the tokenizer never
+joins both sides. Where white space is dropped, the parts are words, and of equal ones only one is
+encoded (a worker remembers the lengths of ``KNOWN`` words, and of as many parts of words); elsewhere
+long texts alone are cut, and parts go to the library in batches of nearly equal bytes. The places are:
 
 * a tokenizer that drops white space: behind any ASCII white space;
 * one that keeps it (byte level): between an ASCII letter and a single space before a letter;
@@ -31,10 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeweft.llm.common import texts_of
+from tradeweft.llm.hashing import blocks, cut_words, distinct
+from tradeweft.llm.tokens import Encoder
 
-#: Characters after which a text is cut at the next safe place, and bytes in one call of the library.
+#: Characters after which a text is cut at the next safe place, and characters in one call of the library.
 PIECE, BATCH = 1 << 15, 1 << 18
-_DROPS = re.compile(r"(?<=[ \t\n\r])(?=[^ \t\n\r])")
+#: Bytes of text whose words are made distinct together; words remembered by a worker, and parts (about 40 MB each).
+WORDS, KNOWN = 4 << 20, 300_000
+_DROPS = "white space"
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 13, 32]] = True
+_SAME = np.arange(256, dtype=np.uint8)
 _KEEPS = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 _LED = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
@@ -59,20 +68,63 @@ class Counter:
                 steps = (json.load(f)["pre_tokenizer"] or {}).get("pretokenizers", [])
             drops = any(s["type"] == "Split" and s["invert"] and s["behavior"] == "Removed" for s in steps)
             self.safe = _DROPS if drops else _KEEPS
+            self.known: dict[bytes, int] = {}
+            self.parts: dict[str, int] = {}
+            self.own = Encoder(path)
+            self.special = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or "(?!)")
             self.lengths = lambda texts: [len(e) for e in whole.encode_batch(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> Iterator[str]:
-        """The text in pieces whose tokens, one piece after the other, are those of the whole."""
+        """A long text in pieces whose tokens, one piece after the other, are those of the whole."""
         start = 0
         while len(text) - start > PIECE and (cut := self.safe.search(text, start + PIECE)):
             yield text[start:cut.start()]
             start = cut.end()
         yield text[start:]
 
-    def count(self, texts: list[str]) -> np.ndarray:
+    def count(self, texts: list[bytes]) -> np.ndarray:
+        if self.safe is not _DROPS:
+            return self._count_pieces(texts)
+        out = np.zeros(len(texts), np.int64)
+        for a, b in blocks(texts, WORDS):
+            raw, starts, ends, hashes, bounds = cut_words(texts[a:b], _WHITE, _SAME)
+            first, kind = distinct(raw, starts, ends, hashes)
+            data = raw.tobytes()
+            words = [data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+            new = [w for w in words if w not in self.known]
+            if len(self.known) + len(new) > KNOWN:
+                self.known, new = {}, words
+            self.known.update(zip(new, map(self._word, new)))
+            made = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            sums = np.concatenate([[0], np.cumsum(made[kind])])
+            out[a:b] = np.diff(sums[bounds])
+        return out
+
+    def _word(self, word: bytes) -> int:
+        """Length of a word: of Latin letters, by the library's merges of the parts that the pattern finds;
+        else, or with the string of a special token, by the whole tokenizer."""
+        text = word.decode()
+        if self.special.search(text) or max(text) >= "\u0250":
+            return self.lengths([text])[0]
+        core = text.rstrip(".,!")
+        low = core.lower() if self.own.lower else core
+        if low.isalpha() and max(low) < "\u0250":
+            return self._part(low) + (self._part(text[len(core):]) if len(core) < len(text) else 0)
+        return sum(map(self._part, self.own.pattern.findall(text.lower() if self.own.lower else text)))
+
+    def _part(self, part: str) -> int:
+        n = self.parts.get(part)
+        if n is None:
+            if len(self.parts) >= KNOWN:
+                self.parts = {}
+            letters = part.encode().decode("latin-1").translate(self.own.letters)
+            self.parts[part] = n = len(self.own.model.tokenize(letters))
+        return n
+
+    def _count_pieces(self, texts: list[bytes]) -> np.ndarray:
         owners, parts = [], []
         for i, text in enumerate(texts):
-            for part in self.pieces(text):
+            for part in self.pieces(text.decode()):
                 owners.append(i)
                 parts.append(part)
         made: list[int] = []
@@ -103,7 +155,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int, text: str = "text"
         count = counter(path).count
         for batch in batches:
             data = texts_of(batch, "text")
-            tokens = count([t.decode() for t in data])
+            tokens = count(data)
             yield pa.RecordBatch.from_pydict({
                 "key": batch.column("key"), "n_bytes": pa.array(map(len, data), pa.int64()), "n_tokens": pa.array(tokens, pa.int64())})
 
