@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeweft.llm import (
-    byte_bpe, hamming, lang_id, main_text, near_dedup, packing, posting_lists, quality, rans, token_counts, warc)
+    byte_bpe, collocations, hamming, lang_id, main_text, near_dedup, packing, posting_lists, quality, rans, token_counts, warc)
 from tradeweft.llm.common import table
 
 #: Id put after each document by queries 3 and 5.
@@ -66,8 +66,13 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), words=3, least=10, inside=50, top=2000)
+
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_hamming_top_k, op3_token_files, op4_byte_bpe, op5_best_fit_packing,
-                                   op6_warc, op7_language_id, op8_main_text, op9_posting_lists, op10_quality, op11_token_counts)}
+                                   op6_warc, op7_language_id, op8_main_text, op9_posting_lists, op10_quality, op11_token_counts,
+                                   op12_collocations)}
 
 ORACLES = {
     "op1_near_dedup": r"""
@@ -96,6 +101,35 @@ d AS (
   FROM c q JOIN c v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
 FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10""",
+    "op12_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f1 AS (SELECT lang, w[i] AS w1, count(*) AS a FROM t GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS a FROM t WHERE i + 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS a FROM t WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT p.lang, concat_ws(' ', p.w1, p.w2) AS phrase, p.a, 1 AS k, x.a AS l, y.a AS r
+  FROM f2 p JOIN f1 x ON p.lang = x.lang AND p.w1 = x.w1 JOIN f1 y ON p.lang = y.lang AND p.w2 = y.w1
+  LEFT JOIN (SELECT lang, w1, w2, max(a) AS a FROM (
+    SELECT lang, w1, w2, a FROM f3 UNION ALL SELECT lang, w2, w3, a FROM f3) GROUP BY ALL) z
+    ON p.lang = z.lang AND p.w1 = z.w1 AND p.w2 = z.w2
+  WHERE z.a IS NULL OR 100 * z.a < 50 * p.a
+  UNION ALL
+  SELECT p.lang, concat_ws(' ', p.w1, p.w2, p.w3), p.a, 1, x.a, y.a
+  FROM f3 p JOIN f1 x ON p.lang = x.lang AND p.w1 = x.w1 JOIN f2 y ON p.lang = y.lang AND p.w2 = y.w1 AND p.w3 = y.w2
+  UNION ALL
+  SELECT p.lang, concat_ws(' ', p.w1, p.w2, p.w3), p.a, 2, x.a, y.a
+  FROM f3 p JOIN f2 x ON p.lang = x.lang AND p.w1 = x.w1 AND p.w2 = x.w2 JOIN f1 y ON p.lang = y.lang AND p.w3 = y.w1),
+s AS (SELECT *, CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT one.lang, row_number() OVER (PARTITION BY one.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score
+FROM one JOIN n ON one.lang = n.lang
+QUALIFY row_number() OVER (PARTITION BY one.lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
     "op6_warc": """
 WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
