@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeweft.llm import (
-    byte_bpe, collocations, hamming, lang_id, main_text, near_dedup, packing, posting_lists, quality, rans, token_counts, warc)
+    byte_bpe, collocations, hamming, lang_id, main_text, near_dedup, packing, posting_lists, quality, rans, repair,
+    token_counts, warc)
 from tradeweft.llm.common import table
 
 #: Id put after each document by queries 3 and 5.
@@ -70,9 +71,13 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"), words=3, least=10, inside=50, top=2000)
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(table(spark, folder, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_hamming_top_k, op3_token_files, op4_byte_bpe, op5_best_fit_packing,
                                    op6_warc, op7_language_id, op8_main_text, op9_posting_lists, op10_quality, op11_token_counts,
-                                   op12_collocations)}
+                                   op12_collocations, op13_conversation_repair)}
 
 ORACLES = {
     "op1_near_dedup": r"""
