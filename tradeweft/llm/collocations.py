@@ -35,7 +35,7 @@ from tradeweft.llm.hashing import cut_words, distinct, mix
 from tradeweft.session import written_table
 
 #: Bytes of text in a shard, and phrases in a bucket.
-SHARD, BUCKET = 24 << 20, 2_000_000
+SHARD, BUCKET = 10 << 20, 2_000_000
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
