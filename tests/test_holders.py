@@ -1,6 +1,7 @@
 """Holder counts against a sequential replay, with overdraws and burns."""
 
 import random
+from decimal import Decimal
 
 import pytest
 
@@ -32,9 +33,34 @@ def replay(rows):
     return out
 
 
-def frame(spark, rows):
-    return spark.createDataFrame([(t, s, d, a, n) for t, s, d, a, n in rows],
-                                 "token string, from_address string, to_address string, amount int, n int")
+def frame(spark, rows, kind="int"):
+    cast = {"int": int, "string": str, "decimal(38,0)": Decimal}[kind]
+    return spark.createDataFrame([(t, s, d, cast(a), n) for t, s, d, a, n in rows],
+                                 f"token string, from_address string, to_address string, amount {kind}, n int")
+
+
+@pytest.mark.parametrize("kind,scale", [("string", 10**60 + 7), ("decimal(38,0)", 10**36 + 3), ("string", 1)])
+def test_wide_amounts(spark, kind, scale):
+    """Amounts of up to 256 bits, with rejections and balances that reach zero exactly."""
+    rng = random.Random(scale)
+    rows = []
+    for n in range(120):
+        src = ZERO if n < 10 or rng.random() < 0.15 else f"a{rng.randint(0, 5)}"
+        dst = ZERO if rng.random() < 0.1 else f"a{rng.randint(0, 5)}"
+        rows.append((f"t{n % 2}", src, dst, rng.randint(0, 4) * scale + (rng.random() < 0.1), n))
+    got = {(r.token, r.n): r.holders for r in H.holder_counts(frame(spark, rows, kind), order=ORDER).collect()}
+    assert got == replay(rows)
+
+
+def test_replay_over_chunk_borders(spark):
+    """One address with most rows, rejections that flip each other, many chunks."""
+    rng = random.Random(5)
+    rows = [("t", ZERO, "hub", 40, 0)]
+    for n in range(1, 200):
+        src, dst = ("hub", f"a{rng.randint(0, 3)}") if rng.random() < 0.5 else (f"a{rng.randint(0, 3)}", "hub")
+        rows.append(("t", src, dst, rng.randint(1, 30), n))
+    got = {(r.token, r.n): r.holders for r in H.holder_counts(frame(spark, rows), order=ORDER).collect()}
+    assert got == replay(rows) and len(got) < 190
 
 
 @pytest.mark.parametrize("seed", [2])

@@ -4,23 +4,26 @@ Fast path: running balance per (token, address), +1 / -1 where it leaves or reac
 running sum per token. It is exact for every token in which no transfer overdraws its
 sender. An overdrawing transfer is rejected whole, which changes later balances; such
 tokens go through :func:`rejected_transfers` first, and the same windows count the rest.
+Amounts are summed as limbs (:mod:`tradeweft.functions.wide`), so they may have 256 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeweft.constants import ZERO_ADDRESS
+from tradeweft.functions import wide as W
 from tradeweft.functions.keys import CHAIN_ORDER
 from tradeweft.functions.time import bucket
-from tradeweft.operators.ordered import Scan, chunk, cumulative, scan
+from tradeweft.operators.ordered import CHUNK, POS, Scan, chunk, cumulative, scan
 from tradeweft.session import written_table
 
-_AMOUNT = "decimal(38,0)"
+_AMOUNT, _LIMB = "decimal(38,0)", "decimal(27,0)"
 
 
 def first_transfers(transfers: DataFrame, order: Sequence[str] = CHAIN_ORDER) -> DataFrame:
@@ -36,109 +39,194 @@ def _tracked(transfers: DataFrame, order: Sequence[str]) -> DataFrame:
     return transfers.join(first.filter(F.col("_from") == ZERO_ADDRESS).select("token"), "token", "left_semi")
 
 
-def _legs(transfers: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Debit then credit of each transfer, without the zero address."""
-    amount = F.col("amount").cast(_AMOUNT)
-    legs = F.array(
-        F.struct(F.col("from_address").alias("address"), (-amount).alias("delta"), F.lit(0).alias("leg")),
-        F.struct(F.col("to_address").alias("address"), amount.alias("delta"), F.lit(1).alias("leg")))
+def _legs(transfers: DataFrame, order: Sequence[str], amount: str) -> tuple[DataFrame, int]:
+    """Debit then credit of each transfer, without the zero address; limbs d0, d1, ... and their number."""
+    count = W.limb_count(transfers.schema[amount].dataType)
+    parts = W.limbs(F.col(amount), count)
+    legs = F.array(*[
+        F.struct(F.col(side).alias("address"), *[(-p if leg == 0 else p).cast(_LIMB).alias(f"d{i}") for i, p in enumerate(parts)],
+                 F.lit(leg).alias("leg")) for leg, side in enumerate(("from_address", "to_address"))])
     return transfers.select("token", *order, F.explode(legs).alias("_x")).select("token", *order, "_x.*") \
-        .filter(F.col("address") != ZERO_ADDRESS)
+        .filter(F.col("address") != ZERO_ADDRESS), count
 
 
-def _balances(transfers: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Balance of the address after each leg."""
-    return cumulative(_legs(transfers, order), "delta", ["token", "address"], [*order, "leg"], "balance")
+def _deltas(legs: DataFrame, count: int, order: Sequence[str]) -> DataFrame:
+    """Legs with ``change`` and ``overdrawn``, from the running balance of their address."""
+    rows = scan(chunk(legs, ["token", "address"], [*order, "leg"]),
+                *[Scan(f"b{i}", "sum", F.col(f"d{i}")) for i in range(count)]).rows()
+    after = W.sign([F.col(f"b{i}") for i in range(count)])
+    before = W.sign([F.col(f"b{i}") - F.col(f"d{i}") for i in range(count)])
+    signs = rows.withColumns({"_after": after, "_before": before})
+    change = F.when((F.col("_before") > 0) & (F.col("_after") == 0) & (F.col("leg") == 0), -1) \
+        .when((F.col("_before") == 0) & (F.col("_after") > 0) & (F.col("leg") == 1), 1).otherwise(0)
+    return signs.select("token", "address", *order, "leg", change.alias("change"),
+                        ((F.col("leg") == 0) & (F.col("_after") < 0)).alias("overdrawn"))
 
 
-def holder_deltas(transfers: DataFrame, order: Sequence[str] = CHAIN_ORDER) -> DataFrame:
+def holder_deltas(transfers: DataFrame, order: Sequence[str] = CHAIN_ORDER, amount: str = "amount") -> DataFrame:
     """Change of the holder count by each leg: -1 when a balance reaches zero, +1 when one
-    leaves zero."""
-    after = F.col("balance")
-    before = after - F.col("delta")
-    change = F.when((before > 0) & (after == 0) & (F.col("leg") == 0), -1) \
-        .when((before == 0) & (after > 0) & (F.col("leg") == 1), 1).otherwise(0)
-    return _balances(transfers, order).withColumn("change", change)
+    leaves zero. ``amount`` may be a number or decimal text of up to 256 bits."""
+    return _deltas(*_legs(transfers, order, amount), order).drop("overdrawn")
 
 
-def overdrawn_tokens(transfers: DataFrame, order: Sequence[str] = CHAIN_ORDER) -> DataFrame:
-    return _balances(transfers, order).filter((F.col("leg") == 0) & (F.col("balance") < 0)) \
-        .select("token").distinct()
+def overdrawn_tokens(transfers: DataFrame, order: Sequence[str] = CHAIN_ORDER, amount: str = "amount") -> DataFrame:
+    return _deltas(*_legs(transfers, order, amount), order).filter("overdrawn").select("token").distinct()
 
 
-def rejected_transfers(transfers: DataFrame, order: Sequence[str] = CHAIN_ORDER,
-                       max_rounds: int = 1000) -> DataFrame:
+def rejected_transfers(transfers: DataFrame, order: Sequence[str] = CHAIN_ORDER, amount: str = "amount") -> DataFrame:
     """Keys of the transfers that a sequential replay rejects because they overdraw.
 
-    Rounds: replay every sender against the credits accepted by the round before, until
-    nothing changes. A decision is final once the ones it depends on are, so the rounds
-    needed are the longest chain of rejections that flip each other; the fixed point is
-    the sequential result. A replay streams the sorted rows of an address through one
-    running balance, so its memory does not grow with the address. ``max_rounds`` only
-    guards against an endless loop: reaching it raises.
+    Legs are range-partitioned by token, address and order, and every chunk is replayed at once:
+    debits against a balance that starts from what the chunk before is believed to hand on, credits
+    as far as the last round accepted them. A chunk reports, for the addresses that cross its borders,
+    what they entered with, the least of their running total, what they leave with and whether
+    anything was rejected: an address with no rejection and a least total that the new balance still
+    covers only shifts by the difference. Tokens where a balance or a rejection changed otherwise go
+    round again, until none is left. The fixed point is the sequential result, since a decision
+    depends on earlier ones only; each round settles at least the earliest open one.
     """
-    legs = written_table(_legs(transfers, order), "legs")
-    spark, key = transfers.sparkSession, ["token", *order]
-    rejected = spark.createDataFrame([], legs.select(*key).schema)
-    count = 0
-    for _ in range(max_rounds):
-        flagged = legs.join(rejected.withColumn("_no", F.lit(True)), key, "left")
-        # Credits of rejected transfers vanish; debits are decided again.
-        rows = flagged.filter((F.col("leg") == 0) | F.col("_no").isNull()).drop("_no")
-        part = rows.repartition("token", "address").sortWithinPartitions("token", "address", *order, "leg") \
-            .withColumn("delta", F.col("delta").cast("string"))
-        schema = legs.select(*key).schema
-        found = written_table(part.mapInPandas(_replay(key), schema), "rejected")
-        n = found.count()
-        same = n == count and found.join(rejected, key, "left_anti").isEmpty()
-        if same:
-            return found
-        rejected, count = found, n
-    raise RuntimeError("rejections did not settle")
-
-
-def _replay(key: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, balance = None, 0
-        for pdf in batches:
-            bad = []
-            for token, address, delta in zip(pdf["token"], pdf["address"], pdf["delta"]):
-                if (token, address) != who:
-                    who, balance = (token, address), 0
-                after = balance + int(delta)
-                bad.append(after < 0)
-                if after >= 0:
-                    balance = after
-            yield pdf.loc[bad, key]
+    legs, count = _legs(transfers, order, amount)
+    return _settled(legs, count, order)
+
+
+def _settled(legs: DataFrame, count: int, order: Sequence[str]) -> DataFrame:
+    spark, key = legs.sparkSession, ["token", *order]
+    texts = legs.select(*key, "address", "leg", W.text([F.col(f"d{i}") for i in range(count)]).alias("delta"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = chunk(texts, ["token", "address"], [*order, "leg"], max(2, parts))
+    border = {tuple(r) for r in placed.border.collect()} if placed.border is not None else set()  # two per chunk
+    none = spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in legs.select(*key).schema]))
+    rejected, tokens, carries, edges = none, None, {}, {}
+    while True:
+        rows = placed.df if tokens is None else placed.df.join(tokens, "token", "left_semi")
+        # a rejected credit stays as nothing, so that every border address reports from each of its chunks
+        rows = rows.join(rejected.withColumn("_no", F.lit(True)), key, "left").withColumn(
+            "delta", F.when((F.col("leg") == 1) & F.col("_no"), "0").otherwise(F.col("delta"))).drop("_no")
+        rows = rows.repartition(parts, CHUNK).sortWithinPartitions(CHUNK, POS)
+        schema = T.StructType([*none.schema.fields, *(T.StructField(n, k) for n, k in _EDGE)])
+        round_ = written_table(rows.mapInArrow(_replay(key, border, carries), schema), "replay")
+        found = round_.filter("part IS NULL").select(*key)
+        for e in round_.filter("part IS NOT NULL").collect():  # two per chunk at most
+            edges[e.token, e.address, e.part] = [int(e.entered), int(e.least), int(e.left), e.bad]
+        carries, moved = _handed_on(edges)
+        kept = rejected if tokens is None else rejected.join(tokens, "token", "left_anti")
+        before = rejected if tokens is None else rejected.join(tokens, "token", "left_semi")
+        changed = before.unionByName(found).groupBy(*key).count().filter("count = 1").select("token")
+        if moved:
+            changed = changed.unionByName(spark.createDataFrame([(t,) for t in moved], changed.schema))
+        rejected = written_table(kept.unionByName(found), "rejected")
+        tokens = written_table(changed.distinct(), "again")
+        if tokens.isEmpty():
+            return rejected
+
+
+#: What a chunk says of an address that crosses its border.
+_EDGE = (("address", T.StringType()), ("part", T.IntegerType()), ("entered", T.StringType()), ("least", T.StringType()),
+         ("left", T.StringType()), ("bad", T.BooleanType()))
+
+
+def _handed_on(edges: dict) -> tuple[dict, set]:
+    """Balances that border addresses enter their chunks with, and tokens where a chunk has to be replayed."""
+    carries, moved, last, held = {}, set(), None, 0
+    for token, address, part in sorted(edges):
+        if (token, address) != last:
+            last, held = (token, address), 0
+        edge = edges[token, address, part]
+        entered, least, left, bad = edge
+        if entered != held:
+            if bad or held + least < 0:
+                moved.add(token)
+            else:
+                edge[0], edge[2] = held, left + held - entered
+            left += held - entered
+        carries[token, address, part] = held
+        held = left
+    return carries, moved
+
+
+def _replay(key: list[str], border: set, carries: dict):
+    """Streams the sorted legs of its chunks: keys of rejected transfers, and edges (with null order columns)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, balance, entered, total, least, any_bad = None, 0, 0, 0, 0, False
+        kinds = {"part": pa.int32(), "bad": pa.bool_()}
+
+        def report() -> list[dict]:
+            if who is None or who[:2] not in border:
+                return []
+            token, address, part = who
+            return [{"token": token, "address": address, "part": part, "entered": str(entered), "least": str(least),
+                     "left": str(balance), "bad": any_bad}]
+
+        fields = None
+        for batch in batches:
+            if fields is None:
+                fields = [batch.schema.field(k).with_nullable(True) for k in key]
+                schema = pa.schema([*fields, *(pa.field(n, kinds.get(n, pa.string())) for n, _ in _EDGE)])
+            bad, reports = [], []
+            for now in zip(*(batch.column(c).to_pylist() for c in ("token", "address", CHUNK, "delta"))):
+                if now[:3] != who:
+                    reports += report()
+                    who = now[:3]
+                    balance = entered = carries.get(who, 0)
+                    total, least, any_bad = 0, 0, False
+                delta = int(now[3])
+                good = balance + delta >= 0
+                bad.append(not good)
+                if good:
+                    balance, total = balance + delta, total + delta
+                    least = min(least, total)
+                else:
+                    any_bad = True
+            lost = batch.select(key).filter(pa.array(bad, pa.bool_()))
+            empty = [pa.nulls(len(lost), f.type) for f in list(schema)[len(key):]]
+            yield pa.RecordBatch.from_arrays([*lost.columns, *empty], schema=schema)
+            if reports:
+                yield pa.RecordBatch.from_pylist(reports, schema)
+        if last := report():
+            yield pa.RecordBatch.from_pylist(last, schema)
     return run
 
 
-def holder_counts(transfers: DataFrame, strict: bool = True,
-                  order: Sequence[str] = CHAIN_ORDER, compat: bool = False) -> DataFrame:
+def holder_counts(transfers: DataFrame, strict: bool = True, order: Sequence[str] = CHAIN_ORDER, compat: bool = False,
+                  amount: str = "amount") -> DataFrame:
     """Holder count of a token after each of its accepted transfers.
 
     ``strict`` looks for overdrawing transfers and leaves the rejected ones out; without
     it the input is taken as clean. ``compat``: a burn that empties a holder does not lower
-    the stored count (the count moves on only with transfers to a real address).
+    the stored count (the count moves on only with transfers to a real address). ``amount``
+    is a number or decimal text of up to 256 bits.
     """
+    key = ["token", *order]
     rows = _tracked(transfers, order)
+    legs, count = _legs(rows, order, amount)
+    rejected = None
     if strict:
-        tokens = overdrawn_tokens(rows, order)
-        suspects = rows.join(tokens, "token", "left_semi")
+        legs = written_table(legs, "legs")
+    deltas = _summed(_deltas(legs, count, order), key)
+    if strict:
+        deltas = written_table(deltas, "deltas")
+        tokens = deltas.filter("overdrawn").select("token").distinct()
         if not tokens.isEmpty():
-            rows = rows.join(rejected_transfers(suspects, order), ["token", *order], "left_anti")
-    change = F.col("change")
-    deltas = holder_deltas(rows, order).groupBy("token", *order).agg(F.sum(change).alias("change"))
+            suspects = legs.join(tokens, "token", "left_semi")
+            rejected = _settled(suspects, count, order)
+            again = _summed(_deltas(suspects.join(rejected, key, "left_anti"), count, order), key)
+            deltas = deltas.join(tokens, "token", "left_anti").unionByName(again)
+    deltas = deltas.drop("overdrawn")
     # A transfer from the zero address to itself has no leg, but it is a transfer.
     idle = rows.filter((F.col("from_address") == ZERO_ADDRESS) & (F.col("to_address") == ZERO_ADDRESS))
-    deltas = deltas.unionByName(idle.select("token", *order, F.lit(0).cast("long").alias("change")))
+    deltas = deltas.unionByName(idle.select(*key, F.lit(0).cast("long").alias("change")))
     if compat:
-        burns = rows.filter(F.col("to_address") == ZERO_ADDRESS).select("token", *order)
-        deltas = deltas.join(burns, ["token", *order], "left_anti").unionByName(
-            burns.withColumn("change", F.lit(0).cast("long")))
+        burns = rows.filter(F.col("to_address") == ZERO_ADDRESS).select(*key)
+        if rejected is not None:
+            burns = burns.join(rejected, key, "left_anti")
+        deltas = deltas.join(burns, key, "left_anti").unionByName(burns.withColumn("change", F.lit(0).cast("long")))
     return cumulative(deltas, "change", ["token"], list(order), "holders").drop("change")
 
 
+def _summed(deltas: DataFrame, key: Sequence[str]) -> DataFrame:
+    return deltas.groupBy(*key).agg(F.sum("change").alias("change"), F.max("overdrawn").alias("overdrawn"))
+
+
 def holder_snapshots(counts: DataFrame, interval: str = "5 minutes", closed_only: bool = True,
                      order: Sequence[str] = CHAIN_ORDER) -> DataFrame:
     """Last count per (token, bucket) in which the token moved. ``closed_only``: a bucket

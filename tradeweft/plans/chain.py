@@ -51,6 +51,6 @@ def solana_facts(swaps: DataFrame, quotes: list[str] | None = None, stables: lis
 def transfer_facts(logs: DataFrame, interval: str = "5 minutes") -> dict[str, DataFrame]:
     """Transfers, first transfers and holder snapshots from event logs."""
     transfers = decode_transfers(logs)
-    counts = holder_counts(transfers.filter(F.col("amount").isNotNull()))
+    counts = holder_counts(transfers, amount="amount_text")
     return {"transfers": transfers, "first_transfers": first_transfers(transfers),
             "holders": holder_snapshots(counts, interval)}
