@@ -19,3 +19,16 @@ def test_sums_signs_and_texts(spark):
     assert all(abs(r.d - float(int(r.s))) <= 1e-12 * max(abs(float(int(r.s))), 1e54) for r in rows)
     totals = df.select(*[F.sum(x).alias(f"l{i}") for i, x in enumerate(W.limbs(F.col("a"), 3))])
     assert totals.select(W.text([F.col(f"l{i}") for i in range(3)])).first()[0] == str(sum(a for a, _ in pairs))
+
+
+def test_issuance_of_any_width(spark):
+    from tradeweft.operators.tokens import issuance, issuance_history
+    rows = [("a", "mint", 10**40 + 1, 1), ("a", "burn", 10**40, 2), ("b", "burn", 25, 1), ("c", "mint", 2**256 - 1, 1), ("d", "mint", 7 * 10**6, 1)]
+    events = spark.createDataFrame([(m, k, str(a), n) for m, k, a, n in rows], "mint string, kind string, amount string, n int")
+    decimals = spark.createDataFrame([("a", 18), ("b", 3), ("c", 0), ("d", 6)], "mint string, decimals int")
+    got = {r.mint: r.issuance for r in issuance(events, decimals, exact=True).collect()}
+    assert got == {"a": "0.000000000000000001", "b": "-0.025", "c": str(2**256 - 1), "d": "7"}
+    history = {(r.mint, r.n): r.issuance for r in issuance_history(events, decimals, ["n"], exact=True).collect()}
+    assert history["a", 1] == "10000000000000000000000.000000000000000001" and history["a", 2] == got["a"]
+    plain = {r.mint: r.issuance for r in issuance(events, decimals).collect()}
+    assert plain["c"] is None and float(plain["b"]) == -0.025

@@ -250,6 +250,8 @@ check("a20_issuance", lambda t: TK.issuance(_mints(t), _decimals(t)),
 check("a20_issuance_history", lambda t: TK.issuance_history(_mints(t), _decimals(t), ["block_number"]).select("mint", "block_number", "issuance"),
       """SELECT token_a AS mint, block_number, sum(amount_a) OVER (PARTITION BY token_a ORDER BY block_number) / if(token_a = 'T1', 1e9, 1e3) AS issuance FROM swaps""",
       "issuance")
+check("a20_wide", lambda t: TK.issuance(_wide(t, _mints(t)), _decimals(t), exact=True),
+      """SELECT token_a AS mint, CAST(CAST(sum(amount_a) AS BIGINT) AS VARCHAR) || repeat('0', if(token_a = 'T1', 31, 37)) AS issuance FROM swaps GROUP BY 1""")
 _MD = """SELECT token_a AS mint, block_number AS seq, concat('meta_', token_a) AS metadata_acc, account AS name, concat('S', CAST(log_index AS STRING)) AS symbol,
   amount_a > 0 AS mutable FROM {s} WHERE block_number % 10 = 4"""
 _UP = """SELECT concat('meta_', token_a) AS metadata_acc, block_number AS seq, concat('new_', account) AS name,

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = 27
-_BASE = 10 ** DIGITS
+_BASE, _LIMB = 10 ** DIGITS, "decimal(38,0)"
 _SMALL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _dec(value: int) -> Column:
-    return F.lit(str(value)).cast("decimal(38,0)")
+    return F.lit(str(value)).cast(_LIMB)
 
 
 def limb_count(kind: T.DataType) -> int:
@@ -42,43 +42,56 @@ def limbs(value: Column, count: int) -> list[Column]:
     return out
 
 
-def carried(sums: Sequence[Column]) -> list[Column]:
-    """Limbs from 0 to the base, the highest one signed, of limbs of any size and sign."""
-    out, carry = [], None
-    for i, limb in enumerate(sums):
-        total = limb.cast("decimal(38,0)") if carry is None else (limb + carry).cast("decimal(38,0)")
-        if i == len(sums) - 1:
-            return [*out, total]
-        rest = F.pmod(total, _dec(_BASE)).cast("decimal(38,0)")
-        # a multiple of the base: shifting the point by text keeps it exact
-        carry = _shifted((total - rest).cast("decimal(38,0)").cast("string"))
-        out.append(rest)
-    return out
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def carried(sums: Column, count: int) -> Column:
+    """An array of limbs of any size and sign, carried: from 0 to the base, the highest one signed."""
+    def step(state: Column, limb: Column) -> Column:
+        def split(total: Column) -> Column:
+            # a multiple of the base: shifting the point by text keeps it exact
+            return _let(F.pmod(total, _dec(_BASE)).cast(_LIMB), lambda rest: F.struct(
+                _shifted((total - rest).cast(_LIMB).cast("string")).alias("carry"),
+                F.concat(state["done"], F.array(rest)).alias("done")))
+        return _let((limb + state["carry"]).cast(_LIMB), split)
+
+    start = F.struct(_dec(0).alias("carry"), F.array().cast(f"array<{_LIMB}>").alias("done"))
+    return _let(sums, lambda own: F.aggregate(
+        F.slice(own, 1, count - 1), start, step,
+        lambda s: F.concat(s["done"], F.array((F.get(own, count - 1) + s["carry"]).cast(_LIMB)))))
 
 
 def _shifted(text: Column) -> Column:
-    return F.when(F.length(text) <= DIGITS, F.lit(0)).otherwise(F.substring(text, F.lit(1), F.length(text) - DIGITS)).cast("decimal(38,0)")
+    return F.when(F.length(text) <= DIGITS, F.lit(0)).otherwise(F.substring(text, F.lit(1), F.length(text) - DIGITS)).cast(_LIMB)
+
+
+def _array(sums: Sequence[Column]) -> Column:
+    return F.array(*[s.cast(_LIMB) for s in sums])
 
 
 def sign(sums: Sequence[Column]) -> Column:
     """-1, 0 or 1."""
     if len(sums) == 1:
         return F.signum(sums[0]).cast("int")
-    flat = carried(sums)
-    rest = flat[0] != 0
-    for limb in flat[1:-1]:
-        rest = rest | (limb != 0)
-    top = flat[-1]
-    return F.when(top < 0, -1).when((top > 0) | rest, 1).otherwise(0)
+    return _let(carried(_array(sums), len(sums)), lambda flat: F.when(F.get(flat, len(sums) - 1) < 0, -1).when(
+        F.exists(flat, lambda limb: limb != 0), 1).otherwise(0))
 
 
 def text(sums: Sequence[Column]) -> Column:
     """Canonical decimal text."""
-    negative = sign(sums) < 0
-    flat = carried([F.when(negative, -s).otherwise(s) for s in sums])
-    digits = F.concat(*[flat[-1].cast("string"), *[F.lpad(limb.cast("string"), DIGITS, "0") for limb in reversed(flat[:-1])]])
-    plain = F.regexp_replace(digits, "^0+(?=[0-9])", "")
-    return F.when(negative, F.concat(F.lit("-"), plain)).otherwise(plain)
+    if len(sums) == 1:
+        return sums[0].cast(_LIMB).cast("string")
+    count = len(sums)
+
+    def of(row: Column) -> Column:
+        plain = _let(carried(F.transform(row["limbs"], lambda limb: (limb * row["sign"]).cast(_LIMB)), count), lambda flat: F.concat(
+            F.get(flat, count - 1).cast("string"),
+            F.array_join(F.reverse(F.transform(F.slice(flat, 1, count - 1), lambda limb: F.lpad(limb.cast("string"), DIGITS, "0"))), "")))
+        return F.concat(F.when(row["sign"] < 0, "-").otherwise(""), F.regexp_replace(plain, "^0+(?=[0-9])", ""))
+
+    return _let(F.struct(_array(sums).alias("limbs"), sign(sums).alias("sign")), of)
 
 
 def to_double(sums: Sequence[Column]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeweft.functions import wide as W
 from tradeweft.operators.ordered import Scan, chunk, scan
 
 
@@ -13,35 +14,44 @@ def load_token_dim(listed: DataFrame) -> DataFrame:
     return listed.filter(F.col("decimals") != 18).withColumn("address", F.lower("address"))
 
 
-def _signed(events: DataFrame) -> DataFrame:
-    sign = F.when(F.col("kind") == "burn", F.lit(-1)).otherwise(F.lit(1))
-    return events.withColumn("_delta", (F.col("amount").cast("decimal(37,0)") * sign).cast("decimal(38,0)"))
+def _signed(events: DataFrame) -> tuple[DataFrame, int]:
+    """Events with the limbs m0, m1, ... of their signed amount, and how many there are."""
+    count = W.limb_count(events.schema["amount"].dataType)
+    burn = F.col("kind") == "burn"
+    parts = W.limbs(F.col("amount"), count)
+    return events.withColumns({f"_m{i}": F.when(burn, -p).otherwise(p).cast("decimal(27,0)") for i, p in enumerate(parts)}), count
 
 
-def _scaled(raw: Column, decimals: Column) -> Column:
-    # Shift the point in text: exact for every amount that fits DECIMAL(38,18).
-    digits = F.lpad(F.abs(raw).cast("string"), 40, "0")
-    text = F.concat(F.substring(digits, F.lit(1), 40 - decimals), F.lit("."),
-                    F.substring(digits, 41 - decimals, decimals))
-    value = text.cast("decimal(38,18)")
-    return F.when(raw < 0, -value).otherwise(value)
+def _units(total: str, decimals: Column, exact: bool) -> Column:
+    """Decimal text of raw units, with the point shifted; as DECIMAL(38,18) unless ``exact`` (null where it does not fit)."""
+    plain = F.regexp_replace(total, "^-", "")
+    digits = F.lpad(plain, F.greatest(F.length(plain), decimals + 1), F.lit("0"))
+    point = F.length(digits) - decimals
+    text = F.concat(F.when(F.col(total).startswith("-"), "-").otherwise(""), F.substring(digits, F.lit(1), point), F.lit("."),
+                    F.substring(digits, point + 1, decimals))
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return short if exact else text.try_cast("decimal(38,18)")
 
 
-def issuance(events: DataFrame, decimals: DataFrame) -> DataFrame:
-    """Minted minus burned units per tracked mint, as DECIMAL(38,18).
+def issuance(events: DataFrame, decimals: DataFrame, exact: bool = False) -> DataFrame:
+    """Minted minus burned units per tracked mint, as DECIMAL(38,18), or as text of any width if ``exact``.
 
-    ``events``: mint, kind (mint / burn), amount. ``decimals``: mint, decimals.
+    ``events``: mint, kind (mint / burn), amount (a number or decimal text of up to 256 bits).
+    ``decimals``: mint, decimals.
     """
-    total = _signed(events).groupBy("mint").agg(F.sum("_delta").alias("_raw"))
-    return total.join(decimals, "mint").select(
-        "mint", _scaled(F.col("_raw").cast("decimal(38,0)"), F.col("decimals")).alias("issuance"))
+    rows, count = _signed(events)
+    total = rows.groupBy("mint").agg(*[F.sum(f"_m{i}").alias(f"_t{i}") for i in range(count)])
+    total = total.withColumn("_raw", W.text([F.col(f"_t{i}") for i in range(count)]))
+    return total.join(decimals, "mint").select("mint", _units("_raw", F.col("decimals"), exact).alias("issuance"))
 
 
-def issuance_history(events: DataFrame, decimals: DataFrame, order: list[str]) -> DataFrame:
+def issuance_history(events: DataFrame, decimals: DataFrame, order: list[str], exact: bool = False) -> DataFrame:
     """Issuance after each event, for as-of lookups."""
-    run = scan(chunk(_signed(events), ["mint"], order), Scan("_raw", "sum", F.col("_delta"))).rows()
-    return run.join(decimals, "mint").withColumn(
-        "issuance", _scaled(F.col("_raw").cast("decimal(38,0)"), F.col("decimals"))).drop("_raw", "_delta")
+    rows, count = _signed(events)
+    run = scan(chunk(rows, ["mint"], order), *[Scan(f"_t{i}", "sum", F.col(f"_m{i}")) for i in range(count)]).rows()
+    run = run.withColumn("_raw", W.text([F.col(f"_t{i}") for i in range(count)]))
+    return run.join(decimals, "mint").withColumn("issuance", _units("_raw", F.col("decimals"), exact)) \
+        .drop("_raw", *[f"_{c}{i}" for c in "mt" for i in range(count)])
 
 
 def token_dim(inits: DataFrame, metadata: DataFrame, updates: DataFrame, order: str = "seq") -> DataFrame:
