@@ -8,7 +8,7 @@ of one or two limbs take a short cut.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BASE = 10 ** 18
@@ -69,15 +69,12 @@ def int_double(w: Column) -> Column:
     return _as_double(w, True)
 
 
-def _as_string(w: Column, signed: bool) -> Column:
-    m, plus, neg = _magnitude(w, signed)
-    limbs = [_limb(m, i).cast("decimal(38,0)") for i in range(4)]
-    one = _limb(m, 0)
-    if signed:
-        one = F.when(neg, (limbs[0] + plus).cast("decimal(38,0)").cast("string")).otherwise(one)
+def _text_of(limbs: list[Column], plus: Column) -> Column:
+    """Decimal text of four 64-bit limbs, the lowest first, plus a small number."""
+    high = limbs[2] + limbs[3]
     # Below 5 * 10^18 * 2^64 two limbs fit DECIMAL(38,0): true for nearly all amounts.
     two = (limbs[1] * _dec(2 ** 64) + limbs[0] + plus).cast("decimal(38,0)").cast("string")
-    fits_two = _fits(m, 2) & (limbs[1] < _dec(5 * 10 ** 18))
+    one = (limbs[0] + plus).cast("decimal(38,0)").cast("string")
     # Otherwise: weighted limb sums per base-10^18 digit, then one carry pass over them.
     sums = []
     for d in range(_DIGITS):
@@ -98,10 +95,50 @@ def _as_string(w: Column, signed: bool) -> Column:
 
     start = F.struct(_dec(0).alias("carry"), F.lit("").alias("text"))
     long = F.regexp_replace(F.aggregate(F.array(*sums), start, carry_on)["text"], "^0+(?=[0-9])", "")
-    text = F.when(_fits(m, 1), one).when(fits_two, two).otherwise(long)
+    return F.when((high == 0) & (limbs[1] == 0), one).when((high == 0) & (limbs[1] < _dec(5 * 10 ** 18)), two).otherwise(long)
+
+
+def _as_string(w: Column, signed: bool) -> Column:
+    m, plus, neg = _magnitude(w, signed)
+    text = _text_of([_limb(m, i).cast("decimal(38,0)") for i in range(4)], plus)
     return F.when(neg & (text != "0"), F.concat(F.lit("-"), text)).otherwise(text) if signed else text
 
 
+def decoded(df: DataFrame, words: dict[str, tuple[str, str | None]], doubles: bool = True) -> DataFrame:
+    """Adds ``<name>_text`` (exact) and ``<name>_raw`` (double) for words that are columns of ``df``.
+
+    ``words`` maps a name to the column of its word and to that of its sign: null or 0 for a plain
+    number, 1 for one to be negated, 2 for two's complement, -2 for two's complement to be negated.
+    Magnitude, limbs and values are projections one above the other, so that each is worked out once.
+    """
+    first, limbs, last = {}, {}, {}
+    for name, (w, sign) in words.items():
+        kind = F.lit(0) if sign is None else F.coalesce(F.col(sign), F.lit(0))
+        below = (F.abs(kind) == 2) & is_negative(F.col(w))
+        flipped = F.translate(F.lower(F.col(w)), "0123456789abcdef", "fedcba9876543210")
+        first[f"_{name}_m"] = F.when(below, flipped).otherwise(F.col(w))
+        first[f"_{name}_p"] = F.when(below, 1).otherwise(0)
+        first[f"_{name}_n"] = F.when(kind == 2, below).when(kind == -2, ~below).otherwise(kind == 1)
+        limbs |= {f"_{name}_{i}": _limb(F.col(f"_{name}_m"), i).cast("decimal(38,0)") for i in range(4)}
+    df = df.withColumns(first).withColumns(limbs)
+    for name in words:
+        own, plus = [F.col(f"_{name}_{i}") for i in range(4)], F.col(f"_{name}_p")
+        last[f"_{name}_t"] = _text_of(own, plus)
+        if doubles:
+            total = own[0].cast("double") + plus
+            for i in range(1, 4):
+                total = total + own[i].cast("double") * F.lit(2.0 ** (64 * i))
+            last[f"_{name}_d"] = total
+    df = df.withColumns(last)
+    out = {}
+    for name in words:
+        neg = F.col(f"_{name}_n")
+        out[f"{name}_text"] = F.when(neg & (F.col(f"_{name}_t") != "0"), F.concat(F.lit("-"), F.col(f"_{name}_t"))).otherwise(F.col(f"_{name}_t"))
+        if doubles:
+            out[f"{name}_raw"] = F.when(neg & (F.col(f"_{name}_d") != 0), -F.col(f"_{name}_d")).otherwise(F.col(f"_{name}_d"))
+    return df.withColumns(out).drop(*[f"_{n}_{c}" for n in words for c in (*"mpntd", *range(4))])
+
+
 def uint_string(w: Column) -> Column:
     """Exact unsigned 256-bit value as a decimal string."""
     return _as_string(w, False)

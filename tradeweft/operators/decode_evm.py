@@ -25,26 +25,21 @@ def _word(i: int) -> Column:
     return H.word(F.col("data"), i)
 
 
-def _side(side: str, w: Column, signed: bool, negate: bool = False) -> list[Column]:
-    value = H.int_double(w) if signed else H.uint_double(w)
-    text = H.int_string(w) if signed else H.uint_string(w)
-    if negate:
-        value = F.when(value == 0, 0.0).otherwise(-value)
-        text = F.when(text == "0", text).when(text.startswith("-"), F.substring(text, 2, 100)) \
-            .otherwise(F.concat(F.lit("-"), text))
-    return [value.alias(f"amount_{side}_raw"), text.alias(f"amount_{side}_text")]
+def _none(kind: str, name: str) -> Column:
+    return F.lit(None).cast(kind).alias(name)
 
 
-def _either(out: Column, into: Column, side: str) -> list[Column]:
-    """``-out`` where something left the pool on this side, else ``in``."""
-    left = H.uint_double(out) > 0
-    return [F.when(left, -H.uint_double(out)).otherwise(H.uint_double(into)).alias(f"amount_{side}_raw"),
-            F.when(left, F.concat(F.lit("-"), H.uint_string(out))).otherwise(H.uint_string(into))
-            .alias(f"amount_{side}_text")]
+#: What a protocol's event says, as words that are decoded together afterwards: names of the words
+#: and of their signs (see :func:`tradeweft.functions.hexwords.decoded`).
+_AMOUNTS = {"amount_a": ("_a", "_a_sign"), "amount_b": ("_b", "_b_sign")}
+_POOL_STATE = {"pool_sqrt_price_x96": ("_price", None), "pool_liquidity": ("_liquidity", None)}
+_NOTHING = "0" * 64
 
 
-def _none(kind: str, name: str) -> Column:
-    return F.lit(None).cast(kind).alias(name)
+def _either(out: Column, into: Column, side: str) -> list[Column]:
+    """``-out`` where something left the pool on this side, else ``in``."""
+    left = (F.length(out) == 64) & (out != _NOTHING)
+    return [F.when(left, out).otherwise(into).alias(f"_{side}"), left.cast("int").alias(f"_{side}_sign")]
 
 
 def _two_sided(protocol: str) -> list[Column]:
@@ -52,19 +47,24 @@ def _two_sided(protocol: str) -> list[Column]:
             _none("string", "pool_id"), H.address(_topic(1)).alias("sender"),
             H.address(_topic(2)).alias("recipient"),
             *_either(_word(2), _word(0), "a"), *_either(_word(3), _word(1), "b"),
-            _none("string", "pool_sqrt_price_x96"), _none("string", "pool_liquidity"),
-            _none("int", "pool_tick")]
+            _none("string", "_price"), _none("string", "_liquidity"), _none("int", "pool_tick")]
 
 
 def _ticked(protocols: list[str], v4: bool) -> list[Column]:
+    sign = F.lit(-2 if v4 else 2)
     return [*[F.col(c) for c in _BASE], F.array(*[F.lit(p) for p in protocols]).alias("protocols"),
             (F.lower(_topic(1)) if v4 else F.lit(None).cast("string")).alias("pool_id"),
             H.address(_topic(2) if v4 else _topic(1)).alias("sender"),
             (F.lit(None).cast("string") if v4 else H.address(_topic(2))).alias("recipient"),
-            *_side("a", _word(0), True, v4), *_side("b", _word(1), True, v4),
-            H.uint_string(_word(2)).alias("pool_sqrt_price_x96"),
-            H.uint_string(_word(3)).alias("pool_liquidity"),
-            H.small_int(_word(4)).cast("int").alias("pool_tick")]
+            _word(0).alias("_a"), sign.alias("_a_sign"), _word(1).alias("_b"), sign.alias("_b_sign"),
+            _word(2).alias("_price"), _word(3).alias("_liquidity"), H.small_int(_word(4)).cast("int").alias("pool_tick")]
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    """Amounts and pool state from their words."""
+    rows = H.decoded(H.decoded(rows, _AMOUNTS), _POOL_STATE, doubles=False)
+    return rows.select(*_BASE, "protocols", "pool_id", "sender", "recipient", "amount_a_raw", "amount_a_text", "amount_b_raw",
+                       "amount_b_text", *[F.col(f"{c}_text").alias(c) for c in _POOL_STATE], "pool_tick")
 
 
 def _topic_is(protocol: str) -> Column:
@@ -72,31 +72,31 @@ def _topic_is(protocol: str) -> Column:
 
 
 def decode_v2_swaps(logs: DataFrame) -> DataFrame:
-    return logs.filter(_topic_is("uniswap_v2")).select(*_two_sided("uniswap_v2"))
+    return _finished(logs.filter(_topic_is("uniswap_v2")).select(*_two_sided("uniswap_v2")))
 
 
 def decode_aerodrome_basic(logs: DataFrame) -> DataFrame:
-    return logs.filter(_topic_is("aerodrome_basic")).select(*_two_sided("aerodrome_basic"))
+    return _finished(logs.filter(_topic_is("aerodrome_basic")).select(*_two_sided("aerodrome_basic")))
 
 
 def decode_v3_swaps(logs: DataFrame) -> DataFrame:
     """Signed pool-view amounts. The slipstream family emits the same event."""
-    return logs.filter(_topic_is("uniswap_v3")).select(*_ticked(["uniswap_v3", "aerodrome_slipstream"], False))
+    return _finished(logs.filter(_topic_is("uniswap_v3")).select(*_ticked(["uniswap_v3", "aerodrome_slipstream"], False)))
 
 
 def decode_v4_swaps(logs: DataFrame) -> DataFrame:
     """Amounts are negated to the pool view; the pool is the event id."""
-    return logs.filter(_topic_is("uniswap_v4")).select(*_ticked(["uniswap_v4"], True))
+    return _finished(logs.filter(_topic_is("uniswap_v4")).select(*_ticked(["uniswap_v4"], True)))
 
 
 def decode_swaps(logs: DataFrame) -> DataFrame:
-    """Swaps of all protocols in one pass over the logs."""
+    """Swaps of all protocols in one pass over the logs: each event gives its words, and all words are decoded alike."""
     wanted = logs.filter(F.col("topic0").isin(sorted(set(K.TOPIC_SWAP.values()))))
-    return dispatch(wanted, [
+    return _finished(dispatch(wanted, [
         (_topic_is("uniswap_v2"), _two_sided("uniswap_v2")),
         (_topic_is("aerodrome_basic"), _two_sided("aerodrome_basic")),
         (_topic_is("uniswap_v3"), _ticked(["uniswap_v3", "aerodrome_slipstream"], False)),
-        (_topic_is("uniswap_v4"), _ticked(["uniswap_v4"], True))])
+        (_topic_is("uniswap_v4"), _ticked(["uniswap_v4"], True))]))
 
 
 def decode_pools(logs: DataFrame, network: str,
@@ -138,9 +138,9 @@ def decode_transfers(logs: DataFrame) -> DataFrame:
     """ERC-20 transfers; logs of another shape (such as NFT transfers) are dropped."""
     shaped = logs.filter((F.col("topic0") == K.TOPIC_TRANSFER) & (F.size("topics") == 3)
                          & (F.length("data") >= 66) & F.col("data").rlike("^0x[0-9a-fA-F]{64}"))
-    return shaped.select(
+    rows = H.decoded(shaped.withColumn("_amount", _word(0)), {"amount": ("_amount", None)})
+    return rows.select(
         "timestamp", F.col("address").alias("token"), H.address(_topic(1)).alias("from_address"),
-        H.address(_topic(2)).alias("to_address"), H.uint_double(_word(0)).alias("amount_double"),
-        H.uint_string(_word(0)).alias("amount_text"),
-        H.uint_string(_word(0)).try_cast("decimal(38,0)").alias("amount"),
+        H.address(_topic(2)).alias("to_address"), F.col("amount_raw").alias("amount_double"),
+        "amount_text", F.col("amount_text").try_cast("decimal(38,0)").alias("amount"),
         "block_number", "transaction_index", "log_index", "transaction_hash", F.lit(1).alias("sign"))
