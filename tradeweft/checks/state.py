@@ -97,12 +97,10 @@ def _evm_unpriced(t):
 
 _PM = """SELECT token_a AS token, n, if(count(*) OVER w = 10, median(pa) OVER w, NULL) AS m FROM {src}
   WINDOW w AS (PARTITION BY token_a ORDER BY n ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""
-check("t8_price_evm", lambda t: PR.price_evm(_evm_unpriced(t), _REFS, "USDC", order=_BLOCK).select(
-      "block_number", "token_a", "token_b", (F.col("token_a_usdc_price") * 100).alias("token_a_usdc_price_x100"), "token_b_usdc_price", "a_b_swapped"),
-      f"""WITH u AS (SELECT block_number AS n, pool_address, amount_a, amount_b, token_a,
+T8_CTE = f"""u AS (SELECT block_number AS n, timestamp, account, pool_address, amount_a, amount_b, token_a,
         CASE WHEN token_b = 'OTHER' AND token_a <> 'T2' THEN 'T2' ELSE token_b END AS token_b FROM evm),
 o AS (SELECT *, coalesce(list_position(['USDC','SOL','T2'], token_a), 99) < coalesce(list_position(['USDC','SOL','T2'], token_b), 99) AS sw FROM u),
-v AS (SELECT n, pool_address, sw, if(sw, token_b, token_a) AS token_a, if(sw, token_a, token_b) AS token_b,
+v AS (SELECT n, timestamp, account, pool_address, sw, if(sw, amount_b, amount_a) AS amount_a, if(sw, amount_a, amount_b) AS amount_b, if(sw, token_b, token_a) AS token_a, if(sw, token_a, token_b) AS token_b,
         abs(if(sw, amount_a, amount_b)) / abs(if(sw, amount_b, amount_a)) AS ratio, abs(if(sw, amount_a, amount_b)) AS qb FROM o),
 f AS (SELECT * FROM v WHERE token_b IN ('USDC','SOL','T2') AND (token_b <> 'USDC' OR qb BETWEEN 0.1 AND 10000)),
 u1 AS (SELECT token_a, n, ratio AS pa FROM f WHERE token_a = 'SOL' AND pool_address = 'pool_0' AND token_b = 'USDC'),
@@ -110,7 +108,10 @@ m1 AS ({_PM.format(src='u1')}),
 u2 AS (SELECT f.token_a, f.n, f.ratio * m1.m AS pa FROM f ASOF JOIN m1 ON m1.token = f.token_b AND m1.n < f.n
         WHERE f.token_a = 'T2' AND f.pool_address = 'pool_2' AND m1.m IS NOT NULL),
 m2 AS ({_PM.format(src='u2')}), m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2),
-p AS (SELECT f.n, if(token_b = 'USDC', 1.0, m.m) AS pb, ratio FROM f ASOF LEFT JOIN m ON m.token = f.token_b AND m.n < f.n)
+p AS (SELECT f.n, if(token_b = 'USDC', 1.0, m.m) AS pb, ratio FROM f ASOF LEFT JOIN m ON m.token = f.token_b AND m.n < f.n)"""
+check("t8_price_evm", lambda t: PR.price_evm(_evm_unpriced(t), _REFS, "USDC", order=_BLOCK).select(
+      "block_number", "token_a", "token_b", (F.col("token_a_usdc_price") * 100).alias("token_a_usdc_price_x100"), "token_b_usdc_price", "a_b_swapped"),
+      f"""WITH {T8_CTE}
 FINAL SELECT v.n AS block_number, token_a, token_b, coalesce(p.ratio * pb, 0) * 100 AS token_a_usdc_price_x100, coalesce(pb, 0) AS token_b_usdc_price,
         sw AS a_b_swapped FROM v LEFT JOIN p ON p.n = v.n""", "token_a_usdc_price_x100 token_b_usdc_price")
 _UPD = """SELECT q.token_a AS token, q.n, q.pa AS price, q.pool_address AS pool, best.pool_address IS NOT NULL AS best

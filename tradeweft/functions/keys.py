@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Chain order of the rows of a fact table.
@@ -46,6 +46,25 @@ def packed_path(path: Column, depth: int = 5) -> Column:
     return F.when(fits, total).otherwise(F.raise_error(F.lit("instruction path does not fit its key")).cast("long"))
 
 
+def path_order_key(block: str = "block_number", tx: str = "transaction_index", path: str = "instruction_address") -> Column:
+    """Block, transaction and instruction path as one DECIMAL(38,0), for chains whose rows have a path.
+
+    The block comes first: several blocks may share a second. A block stays below 10^17, a
+    transaction's index below 10^6.
+    """
+    def dec(c: Column, digits: int) -> Column:
+        return c.cast(f"decimal({digits},0)")
+
+    return (dec(F.col(block).cast("long"), 17) * F.lit("1000000000000000000000").cast("decimal(22,0)")
+            + dec(F.col(tx).cast("long"), 6) * F.lit("1000000000000000").cast("decimal(16,0)")
+            + dec(packed_path(F.col(path)), 15)).cast("decimal(38,0)")
+
+
+def schema_order_key(swaps: DataFrame) -> Column:
+    """The packed order key that the columns of ``swaps`` allow: by log index, or by instruction path."""
+    return packed_order_key() if "log_index" in swaps.columns else path_order_key()
+
+
 def is_buy(amount_a: Column, buy_sign: int) -> Column:
     """True where the trader buys A. ``buy_sign`` is +1 (trader view) or -1 (pool view)."""
     return (amount_a > 0) if buy_sign > 0 else (amount_a < 0)

@@ -34,7 +34,7 @@ def candles(swaps: DataFrame, interval: str = "1 minute", buy_sign: int = -1,
     if min_usd is not None:
         rows = _min_usd(rows, min_usd)
     price, sign = F.col("token_a_usdc_price"), F.col("sign")
-    key = OK.packed_order_key() if order is None else order
+    key = OK.schema_order_key(swaps) if order is None else order
     buy, sell = OK.is_buy(F.col("amount_a"), buy_sign), OK.is_sell(F.col("amount_a"), buy_sign)
     value = F.abs(F.col("amount_a") * price) * sign
     rows = rows.select(
@@ -71,7 +71,7 @@ def candle_check(swaps: DataFrame, pool: str, start, interval: str = "5 minutes"
     rows = swaps.filter((F.col("pool_address") == pool)
                         & (bucket(F.col("timestamp"), interval) == F.lit(start).cast("timestamp"))
                         & F.abs(F.col("amount_b")).between(low, high))
-    key, p = OK.packed_order_key(), F.col("token_a_usdc_price")
+    key, p = OK.schema_order_key(swaps), F.col("token_a_usdc_price")
     return rows.agg(F.sum(usd_volume() * F.col("sign")).alias("vol"), F.count(F.lit(1)).alias("count"),
                     F.min_by(p, key).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"),
                     F.max_by(p, key).alias("close"))
@@ -82,7 +82,7 @@ def candles10s(swaps: DataFrame, interval: str = "10 seconds", order: Column | N
 
     Average slippage is kept as sum and count, so the table can be merged.
     """
-    key = OK.packed_order_key() if order is None else order
+    key = OK.schema_order_key(swaps) if order is None else order
     rows = quality_filter(swaps).select(
         "pool_address", "token_a", "token_b", "dex", bucket(F.col("timestamp"), interval).alias("bucket_ts"),
         F.col("token_a_usdc_price").alias("_pa"), F.col("token_b_usdc_price").alias("_pb"),

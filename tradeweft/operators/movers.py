@@ -14,7 +14,7 @@ from tradeweft.functions.time import bucket
 def daily_movers(swaps: DataFrame, quotes: list[str] | None = None,
                  order: Column | None = None) -> DataFrame:
     """Open, close and volume per (day, token, pool) of quality trades."""
-    key = OK.packed_order_key() if order is None else order
+    key = OK.schema_order_key(swaps) if order is None else order
     rows = swaps.filter(
         (F.col("token_a_usdc_price") > 0) & is_quote(F.col("token_b"), quotes)
         & (F.coalesce(F.col("slippage_pct"), F.lit(0.0)) < 10) & (usd_volume() >= 0.01)
@@ -59,7 +59,7 @@ def top_movers(movers: DataFrame, stats: DataFrame, now: Column, offset_days: in
 
 def tokens_by_creation(swaps: DataFrame, order: Column | None = None) -> DataFrame:
     """One row per token: symbol and creation date of its first swap, and that swap's time."""
-    key = OK.packed_order_key() if order is None else order
+    key = OK.schema_order_key(swaps) if order is None else order
     return swaps.select(F.col("token_a").alias("token_address"), "token_a_symbol",
                         "token_a_creation_date", "timestamp", key.alias("_key")) \
         .groupBy("token_address").agg(

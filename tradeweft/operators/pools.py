@@ -53,7 +53,7 @@ def rolling_best_pool(stats: DataFrame, days: int = 14, hours: DataFrame | None
 def last_prices(swaps: DataFrame, quotes: list[str] | None = None,
                 order: Column | None = None) -> DataFrame:
     """Last price per (token, quote, pool), with its order key."""
-    key = OK.packed_order_key() if order is None else order
+    key = OK.schema_order_key(swaps) if order is None else order
     rows = swaps.filter((F.col("token_a_usdc_price") > 0) & (F.col("sign") > 0)
                         & is_quote(F.col("token_b"), quotes)) \
         .select("token_a", "token_b", "pool_address", "timestamp",
@@ -82,7 +82,7 @@ def last_best_prices(last: DataFrame, best: DataFrame) -> DataFrame:
 def last_best_prices_legacy(swaps: DataFrame, best: DataFrame, quotes: list[str] | None = None,
                             order: Column | None = None) -> DataFrame:
     """The older form straight from the swaps: one row per token."""
-    key = OK.packed_order_key() if order is None else order
+    key = OK.schema_order_key(swaps) if order is None else order
     # The CASE reads only pool, quote and best pool: aggregate per pool before the join.
     pools = swaps.filter((F.col("token_a_usdc_price") > 0) & (F.col("sign") > 0)).select(
         "token_a", "token_b", "pool_address", F.col("token_a_usdc_price").alias("_p"), key.alias("_key")

@@ -16,6 +16,7 @@ from tradeweft.operators.filters import positionable
 from tradeweft.operators.holders import first_transfers, holder_counts, holder_snapshots
 from tradeweft.operators.positions import extend_positions
 from tradeweft.operators.pricing import price_evm, price_quote
+from tradeweft.session import written_table
 
 
 def evm_swaps(logs: DataFrame, transactions: DataFrame, network: str, tokens: DataFrame | None = None,
@@ -33,18 +34,30 @@ def evm_swaps(logs: DataFrame, transactions: DataFrame, network: str, tokens: Da
     return out
 
 
-def evm_facts(swaps: DataFrame, network: str, order: Sequence[str] = CHAIN_ORDER) -> DataFrame:
-    """Decoded swaps with prices and both-sided positions."""
-    refs = K.REFERENCE_TOKENS[network]
-    priced = price_evm(swaps, refs, refs[0][0], order=order)
+#: Columns that roll-ups read and that a chain may not have.
+_OPTIONAL = {"slippage_pct": "double", "token_a_creation_date": "timestamp", "token_b_creation_date": "timestamp",
+             "pool_token_a_reserve": "double", "pool_token_b_reserve": "double"}
+
+
+def evm_facts(swaps: DataFrame, network: str, order: Sequence[str] = CHAIN_ORDER,
+              refs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Decoded swaps with prices and both-sided positions, and the columns that the roll-ups read.
+
+    Decoded and priced swaps are written once each: several passes read them, and the plan of a pass
+    stays as small as its own work. ``refs``: (token, reference pool), the stablecoin first.
+    """
+    refs = list(refs or K.REFERENCE_TOKENS[network])
+    more = {c: F.lit(None).cast(kind) for c, kind in _OPTIONAL.items()} | {"sign": F.lit(1), "dex": F.col("dex_name")}
+    base = written_table(swaps.withColumns({c: v for c, v in more.items() if c not in swaps.columns}), "swaps")
+    priced = written_table(price_evm(base, refs, refs[0][0], order=order), "priced")
     return extend_positions(priced, buy_sign=-1, both_sides=True, order=order, eps=1e-10,
                             eligible=F.col("token_a_usdc_price") > 0)
 
 
 def solana_facts(swaps: DataFrame, quotes: list[str] | None = None, stables: list[str] | None = None,
-                 order: Sequence[str] = ("timestamp", "block_number", "transaction_index", "instruction_address")) -> DataFrame:
+                 order: Sequence[str] = ("block_number", "transaction_index", "instruction_address")) -> DataFrame:
     """Trader-view swaps with prices and positions of token A against quote tokens."""
-    priced = price_quote(swaps, quotes, stables, order)
+    priced = written_table(price_quote(written_table(swaps, "swaps"), quotes, stables, order), "priced")
     return extend_positions(priced, buy_sign=1, both_sides=False, order=order, eligible=positionable(quotes))
 
 
