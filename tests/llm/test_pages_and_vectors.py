@@ -1,5 +1,6 @@
 """Archives, main text, vector searches, the registered queries and the pipeline."""
 
+import time
 import hashlib
 import os
 
@@ -190,3 +191,20 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert {r.doc_id for r in last} == {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == {r.doc_id for r in last}
+
+
+def test_every_row_of_a_page_id_is_a_record(spark):
+    rows = [(1, "u", "a" * 1200), (1, "u", "b" * 5), (2, "u", "a" * 1200), (2, "v", "a" * 1200), (3, None, None), (3, "u", "b" * 5), (None, "u", "x")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    sizes = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got if r.refers_to is None)
+    assert len(got) == 6 and sizes == [(1, 5, "response", None), (2, 1200, "response", None), (2, 1200, "response", None),
+                                       (3, 0, "response", None), (3, 5, "response", None)]
+    assert [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got if r.refers_to] == [(1, 1200, "revisit", 2)]
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<a '" * 250_000 + '"', "<div>" * 80_000 + "</p>" * 100_000, '<a "' * 250_001, "<td>" * 200_000,
+                                  "<" * 1_000_000, "<button>" * 100_000, "<div><li>" * 90_000])
+def test_a_megabyte_of_broken_markup(page):
+    start = time.process_time()
+    main_text.parse(page)
+    assert time.process_time() - start < 20  # seconds on a loaded machine; a quadratic scan takes hours

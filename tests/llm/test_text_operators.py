@@ -285,3 +285,12 @@ def test_caches_start_anew(monkeypatch):
     whole = Tokenizer.from_file(path)
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
     assert encoder.words.held <= 1000 and len(encoder.words) < 10
+
+
+def test_keep_first_with_null_and_repeated_ids(spark):
+    text = " ".join(WORDS[:40])
+    rows = [(None, text), (None, text), (1, text), (1, text), (2, text), (3, "other words " * 9), (3, "other words " * 9), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, count string")
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in near_dedup.keep_first(docs).collect() if r.text)
+    assert got == [(False, 0, text), (False, 0, text), (True, 1, text), (True, 3, "other words " * 9)]
+    assert near_dedup.keep_first(docs).where("doc_id = 4").count() == 1

@@ -22,6 +22,8 @@ from __future__ import annotations
 import base64
 import pickle
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -65,7 +67,8 @@ for _k, _name in enumerate(_GROUPS):
 _OF_TAG = {"article": 0, "main": 0, "nav": 1, "header": 2, "footer": 3, "aside": 4, "dialog": 5, "form": 7}
 _TAGS = {t: i for i, t in enumerate(["#run", *sorted(_BLOCKS)])}
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -95,11 +98,62 @@ def _flags(tag: str, attributes: str) -> int:
     return out
 
 
+class _Scanner:
+    """Markup of a page from left to right, in time linear in its length however broken it is."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.special = [m.start() for m in _SPECIAL.finditer(html)]
+        self.last = {q: html.rfind(q) for q in "\"'"}
+        self.lost: set[int] = set()  # specials from which no tag end is reached outside quotes
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``; -1 if there is none."""
+        html, special, way = self.html, self.special, []
+        while True:
+            i = bisect_left(special, at)
+            if i == len(special) or i in self.lost:
+                break
+            way.append(i)
+            at = special[i]
+            if html[at] == ">":
+                return at
+            if at >= self.last[html[at]]:
+                break
+            at = html.index(html[at], at + 1) + 1
+        self.lost.update(way)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str]:
+        """The next markup from ``at`` on: start, end, whether it closes, tag (null: none), attributes or CDATA text.
+
+        At the end of the page start and end are its length.
+        """
+        html, n = self.html, len(self.html)
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, n if end < 0 else end + 3, False, None, ""
+            if html.startswith("<![CDATA[", start):
+                end = html.find("]]>", start + 9)
+                return start, n if end < 0 else end + 3, False, None, html[start + 9:n if end < 0 else end]
+            if html.startswith(("<!", "<?"), start):
+                end = html.find(">", start)
+                return start, n if end < 0 else end + 1, False, None, ""
+            name = _NAME.match(html, start)
+            end = self._tag_end(name.end()) if name else -1
+            if end >= 0:
+                return start, end + 1, bool(name[1]), name[2].lower(), html[name.end():end]
+            at = start + 1
+        return n, n, False, None, ""
+
+
 def parse(html: str) -> Node:
     """The tree of blocks and text runs."""
     root = here = Node("html", None)
     held: list[str] = []
     outer: list[tuple[list[str], list[int]]] = []  # the runs that the open elements of _DROPPED stand in
+    opened: Counter[str] = Counter()  # open elements by tag
     linked = [0, 0]  # open links, and characters inside links of the run so far
     at = 0
 
@@ -119,6 +173,7 @@ def parse(html: str) -> Node:
         while here is not to or late:
             if here is not to and here.tag in _DROPPED:
                 late.append([c for c in here.children if c.tag != "#run"])
+                opened[here.tag] -= 1
                 here = here.parent
                 held, linked = outer.pop()
                 flush()
@@ -129,6 +184,7 @@ def parse(html: str) -> Node:
                 here.children.extend(kids)
             late.clear()
             if here is not to:
+                opened[here.tag] -= 1
                 here = here.parent
 
     def put(text: str) -> None:
@@ -136,38 +192,36 @@ def parse(html: str) -> Node:
         if linked[0]:
             linked[1] += len(text.strip())
 
-    n = len(html)
+    n, scanner = len(html), _Scanner(html)
     while at < n:
-        m = _MARKUP.search(html, at)
-        if m is None:
-            put(html[at:])
-            break
-        if m.start() > at:
-            put(html[at:m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                put(m[0][9:].removesuffix("]]>"))
+        start, end, closing, tag, rest = scanner.next(at)
+        if start > at:
+            put(html[at:start])
+        at = end
+        if tag is None:
+            if rest:
+                put(rest)
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if tag in _RAW:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not rest.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else n
                 held.append(" ")
         elif tag in _DROPPED:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not rest.endswith("/"):
                 outer.append((held, linked))
                 held, linked = [], [0, 0]
                 inner = Node(tag, None)  # not among the children of its parent, so nobody visits it
                 inner.parent, here = here, inner
+                opened[tag] += 1
             elif closing:
-                up = here
-                while up and up.tag != tag:
-                    up = up.parent
-                if up:
+                if opened[tag]:
+                    up = here
+                    while up.tag != tag:
+                        up = up.parent
                     flush()
                     leave(up)
+                    opened[tag] -= 1
                     here = up.parent
                     held, linked = outer.pop()
                     held.append(" ")
@@ -178,24 +232,26 @@ def parse(html: str) -> Node:
                 linked[0] = max(0, linked[0] + (-1 if closing else 1))
         elif closing:
             flush()
-            up = here
-            while up and up.tag != tag:
-                up = up.parent
-            if up and up.parent:
+            if opened[tag]:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
                 leave(up.parent)
         else:
             flush()
             linked[0] = 0
             if here.tag in _CLOSED_BY_BLOCK:
+                opened[here.tag] -= 1
                 here = here.parent
-            if tag in _SAME_CLOSES:
+            if opened[tag] and tag in _SAME_CLOSES:
                 up = here
                 while up and up.tag != tag and up.tag not in _SAME_CLOSES[tag]:
                     up = up.parent
                 if up and up.tag == tag and up.parent:
                     leave(up.parent)
             if tag not in ("html", "body") or here.tag != tag:
-                here = Node(tag, here, _flags(tag, m[3]))
+                here = Node(tag, here, _flags(tag, rest))
+                opened[tag] += 1
     flush()
     leave(root)
     for node in in_order(root):

@@ -292,6 +292,16 @@ def link(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, with their columns as they are."""
-    kept = link(documents).where("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").select(documents.columns)
+    """One document of each component, the smallest, with its columns as they are.
+
+    Documents without doc_id are linked with nothing and all stay. Of rows repeated under one doc_id
+    that is kept, one stays: the first by its columns.
+    """
+    named = documents.where("doc_id IS NOT NULL")
+    kept = link(named).where("kept").select("doc_id").distinct()
+    rest = [c for c in documents.columns if c != "doc_id"]
+    one = named.join(kept, "doc_id", "left_semi")
+    repeated = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = one.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    single = one.join(repeated, "doc_id", "left_anti")
+    return single.select(documents.columns).unionByName(again.select(documents.columns)).unionByName(documents.where("doc_id IS NULL"))

@@ -4,14 +4,18 @@ Writing: a payload is cut into chunks of ``CHUNK`` bytes or less at character bo
 row with the record's id, the chunk number, and the size and SHA-1 of the payload so far. A record is
 an HTTP response in chunked transfer coding, so that every chunk is a line of its own and no record
 is ever put together in memory; Spark's text writer ends lines with CR LF, as the format asks.
-Reading goes line by line, in order within each file, through a small state machine that gives the
-chunk rows again; the digest of a record is that of its last chunk.
+Archives are compressed with gzip, which Spark doesn't split, so one task reads a file's lines in
+order, through a small state machine that gives the chunk rows again; the digest of a record is that
+of its last chunk.
 
 Of payloads of ``LEAST`` bytes or more with one digest and size, the page with the largest page_id is
 the response and the others are revisits of it; smaller payloads are all responses.
 
-Defined results: null html is an empty payload; rows without page_id take no part; repeated rows
-with one page_id and one payload are one record; a null url is written as an empty one.
+A record is named by its page_id; where several rows have one page_id, a number of the row follows, so
+that each row stays a record of its own (a revisit then refers to its page, not to one of the rows).
+
+Defined results: null html is an empty payload; rows without page_id take no part; repeated rows and
+rows of one page_id with other payloads are records each; a null url is written as an empty one.
 """
 
 from __future__ import annotations
@@ -22,14 +26,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradeweft.session import scratch_dir
 
 CHUNK, LEAST = 64 * 1024, 1000
 _END = b"\r\n"
-_CHUNKS = "page_id long, chunk int, data binary, bytes_so_far long, sha1_so_far string, record_type string, refers_to long"
+_CHUNKS = "page_id long, number long, chunk int, data binary, bytes_so_far long, sha1_so_far string, record_type string, refers_to long"
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> Iterator[memoryview]:
@@ -56,6 +60,15 @@ def decide(pages: DataFrame) -> DataFrame:
         F.when(other, F.col("first")).alias("refers_to"))
 
 
+def _name(page: int, number: int | None) -> str:
+    return f"<urn:page:{page}>" if number is None else f"<urn:page:{page}:{number}>"
+
+
+def _named(name: str) -> tuple[int, int | None]:
+    page, _, number = name[10:-1].partition(":")
+    return int(page), int(number) if number else None
+
+
 def _head(row: dict, url: str, payload: bytes) -> tuple[bytes, list[memoryview]]:
     """The lines up to the payload, and the payload's chunks (none for a revisit)."""
     views = list(chunked(payload)) if row["record_type"] == "response" else []
@@ -64,11 +77,10 @@ def _head(row: dict, url: str, payload: bytes) -> tuple[bytes, list[memoryview]]
         sha1.update(view)
     http = _END.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Transfer-Encoding: chunked", b"", b""])
     framed = sum(len(b"%x" % len(v)) + len(v) + 4 for v in views) + 5
-    name = "<urn:page:%d>"
-    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {name % row['page_id']}",
+    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_name(row['page_id'], row['number'])}",
              "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}",
              f"WARC-Payload-Digest: sha1:{sha1.hexdigest()}", f"X-Payload-Length: {len(payload)}",
-             *([f"WARC-Refers-To: {name % row['refers_to']}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+             *([f"WARC-Refers-To: {_name(row['refers_to'], None)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
                if row["record_type"] == "revisit" else []),
              "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + framed}", ""]
     return "\r\n".join(lines).encode() + _END + http[:-2], views
@@ -76,31 +88,33 @@ def _head(row: dict, url: str, payload: bytes) -> tuple[bytes, list[memoryview]]
 
 def write_archives(pages: DataFrame, out: str) -> None:
     """Write a record for every page under ``out``."""
-    chosen = decide(pages).select("page_id", "payload_digest", "record_type", "refers_to").distinct()
+    chosen = decide(pages).groupBy("page_id", "payload_digest", "record_type", "refers_to").agg(F.count(F.lit(1)).alias("n"))
+    chosen = chosen.withColumn("alone", F.sum("n").over(Window.partitionBy("page_id")) == 1).drop("n")
     html = F.coalesce("html", F.lit(""))
     rows = (pages.where(F.col("page_id").isNotNull())
             .select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("payload_digest"))
-            .join(chosen, ["page_id", "payload_digest"]).select("page_id", "url", "html", "record_type", "refers_to"))
+            .join(chosen, ["page_id", "payload_digest"]).select(
+                "page_id", F.when(~F.col("alone"), F.monotonically_increasing_id()).alias("number"), "url", "html", "record_type", "refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines: list = []
             held = 0
-            keys = batch.select(["page_id", "record_type", "refers_to"]).to_pylist()
+            keys = batch.select(["page_id", "number", "record_type", "refers_to"]).to_pylist()
             for row, url, html in zip(keys, batch.column("url"), batch.column("html")):
                 head, views = _head(row, url.as_py(), html.as_buffer())
                 lines.append(head)
                 for view in views:
                     lines += [b"%x" % len(view), bytes(view)]
                     held += len(view)
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string())], ["value"])
+                        lines, held = [], 0
                 lines += [b"0", b"", b"", b""]
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string())], ["value"])
-                    lines, held = [], 0
             if lines:
                 yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string())], ["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n").text(out)
+    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").text(out)
 
 
 class _Reader:
@@ -112,7 +126,7 @@ class _Reader:
     def _put(self, data: bytes) -> None:
         self.size += len(data)
         self.sha1.update(data)
-        self.rows.append((self.page, self.chunk, data, self.size, self.sha1.hexdigest(), self.head["warc-type"], self.refers))
+        self.rows.append((self.page, self.number, self.chunk, data, self.size, self.sha1.hexdigest(), self.head["warc-type"], self.refers))
         self.chunk += 1
 
     def line(self, line: bytes) -> None:
@@ -124,8 +138,8 @@ class _Reader:
                 name, _, value = line.decode().partition(": ")
                 self.head[name.lower()] = value
                 return
-            self.page = int(self.head["warc-record-id"][10:-1])
-            self.refers = int(self.head["warc-refers-to"][10:-1]) if "warc-refers-to" in self.head else None
+            self.page, self.number = _named(self.head["warc-record-id"])
+            self.refers = _named(self.head["warc-refers-to"])[0] if "warc-refers-to" in self.head else None
             self.size, self.chunk, self.sha1, self.state = 0, 0, hashlib.sha1(), "http"
         elif self.state == "http":
             if not line:
@@ -134,7 +148,7 @@ class _Reader:
             self.left, self.parts, self.state = int(line, 16), [], "data"
             if not self.left:
                 if not self.chunk:  # a revisit, or an empty payload: a row without data
-                    self.rows.append((self.page, 0, b"", int(self.head["x-payload-length"]),
+                    self.rows.append((self.page, self.number, 0, b"", int(self.head["x-payload-length"]),
                                       self.head["warc-payload-digest"][5:], self.head["warc-type"], self.refers))
                 elif self.sha1.hexdigest() != self.head["warc-payload-digest"][5:]:
                     raise ValueError(f"digest of page {self.page} does not match")
@@ -151,10 +165,8 @@ class _Reader:
 
 def read_chunks(spark: SparkSession, out: str) -> DataFrame:
     """Chunk rows of every record under ``out``, with the size and digest so far."""
-    lines = spark.read.option("lineSep", "\r\n").text(out).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"), F.col("value").cast("binary").alias("value"))
-    ordered = lines.repartition("file").sortWithinPartitions("file", "block", "line")
+    ordered = spark.read.option("lineSep", "\r\n").text(out).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, file = _Reader(), None
@@ -167,17 +179,17 @@ def read_chunks(spark: SparkSession, out: str) -> DataFrame:
                 reader.line(value)
             if reader.rows:
                 columns = [pa.array(c, t) for c, t in zip(zip(*reader.rows), (
-                    pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()))]
+                    pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()))]
                 reader.rows = []
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _CHUNKS.split(", ")])
 
-    return ordered.select("file", "value").mapInArrow(run, _CHUNKS)
+    return ordered.mapInArrow(run, _CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
     """One row for each record: what its last chunk has carried along."""
     last = F.max_by(F.struct("bytes_so_far", "sha1_so_far", "record_type", "refers_to"), "chunk").alias("last")
-    return chunks.groupBy("page_id").agg(last).select(
+    return chunks.groupBy("page_id", "number").agg(last).select(
         "page_id", F.col("last.bytes_so_far").alias("payload_bytes"), F.col("last.sha1_so_far").alias("payload_digest"),
         F.col("last.record_type").alias("record_type"), F.col("last.refers_to").alias("refers_to"))
 
