@@ -294,3 +294,16 @@ def test_keep_first_with_null_and_repeated_ids(spark):
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in near_dedup.keep_first(docs).collect() if r.text)
     assert got == [(False, 0, text), (False, 0, text), (True, 1, text), (True, 3, "other words " * 9)]
     assert near_dedup.keep_first(docs).where("doc_id = 4").count() == 1
+
+
+def test_pieces_are_folded_once_and_numbered_anew(spark, monkeypatch):
+    """Groups of a few texts, and numbers that start anew in between."""
+    monkeypatch.setattr(byte_bpe, "GROUP", 200)
+    monkeypatch.setattr(byte_bpe, "KNOWN", 60)
+    monkeypatch.setattr(byte_bpe, "ROW", 7)
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    texts = ["", None, *(" ".join(rng.choices(WORDS[:120], k=rng.randrange(40))) for _ in range(90)), "  odd \n space"]
+    got = {r.doc_id: list(r.ids) for r in byte_bpe.encode(documents(spark, texts).coalesce(1), byte_bpe.RankMap(ranks), public_tokenizers.PATTERN).collect()}
+    assert got == {i: plain.encode_ordinary(t or "") for i, t in enumerate(texts)}

@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from tradeweft.llm.tokens import units
 #: Ranks are below 2 ** 17; a pair of them is one number.
 SHIFT = 1 << 17
 _NONE = 2**31 - 1
-#: Characters of text whose pieces are made distinct together, and pieces in a row.
-GROUP, ROW = 16 << 20, 2048
+#: Characters of text whose pieces are made distinct together, pieces in a row, and distinct pieces
+#: after which a task forgets which it has had; until then each is folded once per task.
+GROUP, ROW, KNOWN = 4 << 20, 2048, 400_000
 #: Two coprime moduli whose product is above every pair: no two pairs agree in both.
 _COARSE, _FINE = 65_537, 524_287
 
@@ -146,22 +148,24 @@ def encode(documents: DataFrame, ranks: RankMap, pattern: str) -> DataFrame:
     breaks[32] = True
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern)
+        split, numbers = regex.compile(pattern), {}
         for batch in batches:
             doc_ids, at = batch.column("doc_id"), 0
             for group in units(batch.column("text").to_pylist(), breaks, True, GROUP):
-                numbers: dict[str, int] = {}
-                made = []
+                if len(numbers) > KNOWN:
+                    numbers = {}
+                made, before = [], len(numbers)
                 for word in group.words():
                     made.append(np.array([numbers.setdefault(p, len(numbers)) for p in split.findall(word.decode())], "<u4").tobytes())
                 runs = group.laid_out(made)
-                pieces = [missed.get(p) or byte_ids[np.frombuffer(p.encode(), np.uint8)] for p in numbers]
+                pieces = [missed.get(p) or byte_ids[np.frombuffer(p.encode(), np.uint8)] for p in islice(numbers, before, None)]
                 rows = [pieces[i:i + ROW] for i in range(0, len(pieces), ROW)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([None] * len(rows) + doc_ids.slice(at, len(runs)).to_pylist(), pa.int64()),
                      pa.array([None] * len(rows) + runs, pa.binary()),
-                     pa.array(rows + [None] * len(runs), pa.list_(pa.list_(pa.int32())))],
-                    ["doc_id", "run", "pieces"])
+                     pa.array(rows + [None] * len(runs), pa.list_(pa.list_(pa.int32()))),
+                     pa.array([before == 0 and i == 0 for i in range(len(rows) + len(runs))], pa.bool_())],
+                    ["doc_id", "run", "pieces", "anew"])
                 at += len(runs)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +173,17 @@ def encode(documents: DataFrame, ranks: RankMap, pattern: str) -> DataFrame:
         begins = sizes
         for batch in batches:
             doc_ids, ids = [], []
-            runs, codes = batch.column("run"), batch.column("codes")
+            runs, codes, anew = batch.column("run"), batch.column("codes"), batch.column("anew").to_pylist()
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                if codes[i].is_valid:  # a row of the pieces of a group; the first one begins a new group
+                if codes[i].is_valid:  # a row of pieces; numbers go on from the rows before, or start anew
                     own = codes[i].values
-                    held = [] if not fresh else held
+                    held = [] if anew[i] else held
                     held.append((own.flatten().to_numpy(zero_copy_only=False), np.diff(own.offsets.to_numpy())))
                     fresh = True
                     continue
                 if fresh:
                     flat, sizes = (np.concatenate(x) for x in zip(*held))
-                    begins, fresh = np.cumsum(sizes) - sizes, False
+                    begins, fresh, held = np.cumsum(sizes) - sizes, False, [(flat, sizes)]
                 run = np.frombuffer(runs[i].as_buffer(), "<u4")
                 counts = sizes[run]
                 stops = np.cumsum(counts)
@@ -188,8 +192,8 @@ def encode(documents: DataFrame, ranks: RankMap, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
                                              ["doc_id", "ids"])
 
-    pieces = documents.select("doc_id", "text").mapInArrow(cut, "doc_id long, run binary, pieces array<array<int>>")
-    coded = pieces.select("doc_id", "run", F.transform("pieces", lambda p: encode_piece(p, ranks)).alias("codes"))
+    pieces = documents.select("doc_id", "text").mapInArrow(cut, "doc_id long, run binary, pieces array<array<int>>, anew boolean")
+    coded = pieces.select("doc_id", "run", "anew", F.transform("pieces", lambda p: encode_piece(p, ranks)).alias("codes"))
     return coded.mapInArrow(gather, "doc_id long, ids array<int>")
 
 
