@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tradeweft import constants as K
@@ -13,7 +15,9 @@ from tradeweft.operators import candles as C
 from tradeweft.operators import movers as MV
 from tradeweft.operators import pools as PL
 from tradeweft.plans import chain as CH
+from tradeweft.plans import retract as RT
 from tradeweft.plans import rollups as RB
+from tradeweft.session import session_dir
 
 # --- event logs to facts: the swaps of the fixture as logs of two protocols, 6 decimals ------------
 _POOL = "concat('0x', lpad(hex(CAST(substring(pool_address, 6) AS BIGINT) + 256), 40, '0'))"
@@ -124,3 +128,25 @@ UNION ALL SELECT 'pool_stats_1h', count(*), sum(volume_1h_usdc) FROM st UNION AL
 UNION ALL SELECT 'daily_movers', count(*), sum(volume_usdc) FROM mv UNION ALL SELECT 'tokens_by_creation', count(DISTINCT token_a), count(DISTINCT token_a) FROM swaps"""
 check("s17_rebuild_all", lambda t: _totals(RB.rebuild(t.xs, buy_sign=1, quotes=QUOTES)), _TOTALS, "total")
 check("s17_rebuild_all_paths", lambda t: _totals(RB.rebuild(_paths(t.xs), buy_sign=1, quotes=QUOTES)), _TOTALS, "total")
+
+
+# --- roll-ups after a roll-back and a replay: as if built from the rows that count now ---------------
+def _rolled_back(t):
+    """All rows are stored; those of the last two fifths go, and half of them come again with other amounts and prices."""
+    folder = f"{session_dir(t.spark)}/rollups-{uuid.uuid4().hex}"
+    rows = t.xs
+    last = rows.agg(F.max("block_number")).first()[0] * 3 // 5
+    RT.store(rows, folder, 1, QUOTES)
+    replay = rows.filter((F.col("block_number") >= last) & (F.col("block_number") % 2 == 0)).withColumns(
+        {"amount_b": F.col("amount_b") * 2, "token_a_usdc_price": F.col("token_a_usdc_price") / 2})
+    RT.roll_back(rows, folder, last, replay, 1, QUOTES)
+    return _totals({name: RT.stored(t.spark, folder, name) for name in _MEASURE})
+
+
+_NOW = """swaps_now AS (SELECT * REPLACE (if(block_number >= cut, amount_b * 2, amount_b) AS amount_b, if(block_number >= cut, token_a_usdc_price / 2, token_a_usdc_price) AS token_a_usdc_price)
+  FROM swaps, (SELECT max(block_number) * 3 // 5 AS cut FROM swaps) WHERE block_number < cut OR block_number % 2 = 0),
+xs_now AS (SELECT x.* REPLACE (s.amount_b AS amount_b, s.token_a_usdc_price AS token_a_usdc_price) FROM xs x JOIN swaps_now s ON s.block_number = x.block_number),
+tvl_now AS (SELECT *, abs(pool_token_a_reserve * token_a_usdc_price) + abs(pool_token_b_reserve * token_b_usdc_price) AS pool_tvl FROM swaps_now),
+"""
+_AFTER = _TOTALS[5:].replace("FROM swaps", "FROM swaps_now").replace("FROM xs", "FROM xs_now").replace("FROM tvl", "FROM tvl_now")
+check("t11_rollback_rollups", _rolled_back, f"WITH {_NOW}{_AFTER}", "total")
