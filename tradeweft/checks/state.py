@@ -15,6 +15,7 @@ from tradeweft.operators.dedup import replace_latest
 from tradeweft.operators.filters import block_range
 from tradeweft.sources import fixture as X
 from tradeweft.sources.tables import holders_rows
+from tradeweft.session import written_table
 
 # --- positions ------------------------------------------------------------------------------
 # Lots and sells as intervals of units; every overlap is what a sell takes from a lot.
@@ -109,11 +110,26 @@ u2 AS (SELECT f.token_a, f.n, f.ratio * m1.m AS pa FROM f ASOF JOIN m1 ON m1.tok
         WHERE f.token_a = 'T2' AND f.pool_address = 'pool_2' AND m1.m IS NOT NULL),
 m2 AS ({_PM.format(src='u2')}), m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2),
 p AS (SELECT f.n, if(token_b = 'USDC', 1.0, m.m) AS pb, ratio FROM f ASOF LEFT JOIN m ON m.token = f.token_b AND m.n < f.n)"""
-check("t8_price_evm", lambda t: PR.price_evm(_evm_unpriced(t), _REFS, "USDC", order=_BLOCK).select(
-      "block_number", "token_a", "token_b", (F.col("token_a_usdc_price") * 100).alias("token_a_usdc_price_x100"), "token_b_usdc_price", "a_b_swapped"),
-      f"""WITH {T8_CTE}
+_T8_SQL = f"""WITH {T8_CTE}
 FINAL SELECT v.n AS block_number, token_a, token_b, coalesce(p.ratio * pb, 0) * 100 AS token_a_usdc_price_x100, coalesce(pb, 0) AS token_b_usdc_price,
-        sw AS a_b_swapped FROM v LEFT JOIN p ON p.n = v.n""", "token_a_usdc_price_x100 token_b_usdc_price")
+        sw AS a_b_swapped FROM v LEFT JOIN p ON p.n = v.n"""
+_t8 = lambda df: df.select(
+    "block_number", "token_a", "token_b", (F.col("token_a_usdc_price") * 100).alias("token_a_usdc_price_x100"), "token_b_usdc_price", "a_b_swapped")
+check("t8_price_evm", lambda t: _t8(PR.price_evm(_evm_unpriced(t), _REFS, "USDC", order=_BLOCK)), _T8_SQL, "token_a_usdc_price_x100 token_b_usdc_price")
+
+def _t8_resumed(t):
+    """Three runs, each from the last prices that the runs before it have left."""
+    rows, parts, history = _evm_unpriced(t), [], None
+    last = rows.agg(F.max("block_number")).first()[0]
+    for lo, hi in ((0, last // 4), (last // 4, last // 2), (last // 2, last + 1)):
+        piece = rows.filter((F.col("block_number") >= lo) & (F.col("block_number") < hi))
+        priced = written_table(PR.price_evm(piece, _REFS, "USDC", order=_BLOCK, history=history), "priced")
+        history = written_table(PR.reference_history(priced, _REFS, order=_BLOCK, history=history), "history")
+        parts.append(_t8(priced))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+check("t8_resume", _t8_resumed, _T8_SQL, "token_a_usdc_price_x100 token_b_usdc_price")
 _UPD = """SELECT q.token_a AS token, q.n, q.pa AS price, q.pool_address AS pool, best.pool_address IS NOT NULL AS best
   FROM ({src}) q LEFT JOIN ({best}) best ON best.token_a = q.token_a AND best.h = date_trunc('hour', q.ts - INTERVAL 1 HOUR)
   WHERE (best.pool_address IS NULL OR best.pool_address = q.pool_address) AND q.pa IS NOT NULL"""
@@ -130,9 +146,7 @@ def _unpriced(t):
         CASE WHEN block_number % 50 = 7 THEN 'T2' ELSE token_b END AS token_b FROM {e}""", e=t.swaps)
 
 
-check("t9_price_quote", lambda t: PR.price_quote(_unpriced(t), ["USDC", "USDT", "SOL"], X.STABLES, order=["block_number"], days=3).select(
-      "block_number", (F.col("token_a_usdc_price") * 10).alias("token_a_usdc_price_x10"), "token_b_usdc_price", "token_a_pricing_pool", "token_a_best_pricing_pool_selected"),
-      f"""WITH u AS (SELECT block_number AS n, timestamp AS ts, pool_address, amount_a, amount_b, token_a,
+_T9_SQL = f"""WITH u AS (SELECT block_number AS n, timestamp AS ts, pool_address, amount_a, amount_b, token_a,
         CASE WHEN block_number % 50 = 7 THEN 'T2' ELSE token_b END AS token_b, abs(amount_b / amount_a) AS ratio FROM swaps),
 st AS (SELECT *, 1.0 AS pb, ratio AS pa FROM u WHERE token_b IN ('USDC', 'USDT')),
 native AS ({_UPD.format(src=_Q1, best=_RB.format(src=_Q1))}),
@@ -145,8 +159,28 @@ rest AS (SELECT n, token_a, pb FROM ob UNION ALL SELECT n, token_a, pb FROM quot
 ra AS (SELECT rest.n, moves.price AS pa, rest.pb, moves.pool, moves.best FROM rest ASOF LEFT JOIN moves ON moves.token = rest.token_a AND moves.n < rest.n)
 FINAL SELECT n AS block_number, coalesce(pa, 0) * 10 AS token_a_usdc_price_x10, coalesce(pb, 0) AS token_b_usdc_price, '' AS token_a_pricing_pool,
         false AS token_a_best_pricing_pool_selected FROM quoted WHERE pa IS NOT NULL
-      UNION ALL SELECT n, coalesce(pa, 0) * 10, coalesce(pb, 0), coalesce(pool, ''), coalesce(best, false) FROM ra""",
+      UNION ALL SELECT n, coalesce(pa, 0) * 10, coalesce(pb, 0), coalesce(pool, ''), coalesce(best, false) FROM ra"""
+_t9 = lambda df: df.select(
+    "block_number", (F.col("token_a_usdc_price") * 10).alias("token_a_usdc_price_x10"), "token_b_usdc_price", "token_a_pricing_pool", "token_a_best_pricing_pool_selected")
+check("t9_price_quote", lambda t: _t9(PR.price_quote(_unpriced(t), ["USDC", "USDT", "SOL"], X.STABLES, order=["block_number"], days=3)), _T9_SQL,
       "token_a_usdc_price_x10 token_b_usdc_price")
+
+def _t9_resumed(t):
+    """Three runs cut at full hours, each from stored prices and volumes."""
+    rows, parts, state = _unpriced(t), [], None
+    first, last = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)]
+    cuts = [c.replace(minute=0, second=0, microsecond=0) for c in cuts]
+    for lo, hi in ((None, cuts[0]), (cuts[0], cuts[1]), (cuts[1], None)):
+        piece = rows if lo is None else rows.filter(F.col("timestamp") >= F.lit(lo))
+        piece = piece if hi is None else piece.filter(F.col("timestamp") < F.lit(hi))
+        priced, after = PR.price_quote_from(piece, state, ["USDC", "USDT", "SOL"], X.STABLES, ["block_number"], 3)
+        parts.append(_t9(written_table(priced, "priced")))
+        state = {name: written_table(df, f"state-{name}") for name, df in after.items()}
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+check("t9_resume", _t9_resumed, _T9_SQL, "token_a_usdc_price_x10 token_b_usdc_price")
 check("p21_pair_price_series", lambda t: t.swaps.groupBy("pool_address").agg(
       F.avg(pair_price(F.col("amount_a"), F.col("amount_b"))).alias("mean_price")),
       "SELECT pool_address, avg(abs(amount_b / amount_a)) AS mean_price FROM swaps GROUP BY 1", "mean_price")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeweft import constants as K
@@ -18,7 +18,7 @@ from tradeweft.functions.keys import CHAIN_ORDER
 from tradeweft.functions.num import pair_price
 from tradeweft.functions.time import prev_hour
 from tradeweft.operators.filters import orient_pair_evm, priceable_evm
-from tradeweft.operators.ordered import CHUNK, asof_join, chunk, with_history
+from tradeweft.operators.ordered import CHUNK, asof_join, chunk, last_n, with_history
 from tradeweft.operators.pools import pool_stats_1h, rolling_best_pool
 from tradeweft.session import written_table
 
@@ -89,6 +89,23 @@ def price_evm(swaps: DataFrame, refs: list[tuple[str, str]], usdc: str, n: int =
     return priced.unionByName(rest.select(*priced.columns))
 
 
+def reference_history(priced: DataFrame, refs: list[tuple[str, str]], n: int = 10, order: Sequence[str] = CHAIN_ORDER,
+                      history: DataFrame | None = None) -> DataFrame:
+    """What a later run of :func:`price_evm` has to know of this one: the last ``n`` prices of each reference
+    token in its own pool (token, price, order columns). At most ``n`` rows per reference token.
+
+    ``priced`` is the result of the run, ``history`` what that run itself started from.
+    """
+    own = F.lit(False)
+    for token, pool in refs:
+        own = own | ((F.col("token_a") == token) & (F.col("pool_address") == pool))
+    moved = priced.filter(own & (F.col("token_a_usdc_price") > 0)).select(
+        F.col("token_a").alias("token"), *order, F.col("token_a_usdc_price").alias("price"))
+    if history is not None:
+        moved = moved.unionByName(history.select(*moved.columns))
+    return last_n(moved, ["token"], order, n)
+
+
 def _no_medians(moves: DataFrame, order: Sequence[str]) -> DataFrame:
     return moves.filter("false").select(F.col("token_a").alias("token"), *order,
                                         F.lit(0.0).alias("ref_price"))
@@ -105,7 +122,18 @@ def _with_quote(rows: DataFrame, medians: DataFrame, usdc: str, order: Sequence[
 
 def price_quote(swaps: DataFrame, quotes: list[str] | None = None, stables: list[str] | None = None,
                 order: Sequence[str] = CHAIN_ORDER, days: int = 14) -> DataFrame:
-    """Oriented swaps (B is the better quote) with prices and pricing pools.
+    """Oriented swaps (B is the better quote) with prices and pricing pools; see :func:`price_quote_from`."""
+    return price_quote_from(swaps, None, quotes, stables, order, days)[0]
+
+
+def price_quote_from(swaps: DataFrame, opening: dict[str, DataFrame] | None, quotes: list[str] | None = None,
+                     stables: list[str] | None = None, order: Sequence[str] = CHAIN_ORDER,
+                     days: int = 14) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Prices from an earlier state on, and the state after these swaps.
+
+    The state has the last stored price of each token (``prices``: token, order columns, price, pool,
+    is_best) and the hourly volumes of pools in the last ``days`` (``stats``), which choose best pools.
+    Runs have to follow each other in order and in time; a cut may fall anywhere between two hours.
 
     Stablecoins are 1. A token against a priced quote is priced by the ratio. Its stored
     price moves with swaps of its best pool of the previous hour (14-day volume), or of any
@@ -119,9 +147,14 @@ def price_quote(swaps: DataFrame, quotes: list[str] | None = None, stables: list
     live = (F.col("amount_a") != 0) & (F.col("amount_b") != 0)
     b_stable, b_native = F.col("token_b").isin(stables), F.col("token_b").isin(natives)
 
-    def updates(rows: DataFrame) -> DataFrame:
-        """Stored price of A after each swap that may set it."""
+    seen: list[DataFrame] = []
+
+    def updates(rows: DataFrame, level: Column) -> DataFrame:
+        """Stored price of A after each swap that may set it, with the last ones from before."""
         stats = pool_stats_1h(rows.withColumns({"sign": F.lit(1), "dex": F.lit("")}), quotes)
+        if opening is not None:
+            stats = stats.unionByName(opening["stats"].withColumnRenamed("token", "token_a").filter(level).select(*stats.columns))
+        seen.append(stats)
         want = rows.select("token_a", prev_hour(F.col("timestamp")).alias("hour_ts"))
         best = rolling_best_pool(stats, days, want).select("token_a", F.col("hour_ts").alias("_hour"), "best_pool")
         tagged = rows.withColumn("_hour", prev_hour(F.col("timestamp"))).join(best, ["token_a", "_hour"], "left")
@@ -130,20 +163,24 @@ def price_quote(swaps: DataFrame, quotes: list[str] | None = None, stables: list
                              & F.col("token_a_usdc_price").isNotNull()).select(
             F.col("token_a").alias("token"), *order, F.col("token_a_usdc_price").alias("price"),
             F.col("pool_address").alias("pool"), F.col("best_pool").isNotNull().alias("is_best"))
+        if opening is not None:
+            old = opening["prices"].withColumnRenamed("token", "token_a").filter(level).withColumnRenamed("token_a", "token")
+            moved = moved.unionByName(old.select(*moved.columns))
         return written_table(moved, "updates")
 
     by_stable = swaps.filter(b_stable).withColumns(
         {"token_b_usdc_price": F.lit(1.0), "_b_pool": F.lit("[NONE]"), "_b_best": F.lit(True),
          "token_a_usdc_price": F.when(live, ratio)})
     # Level 1: native quote tokens against stablecoins.
-    native = updates(by_stable.filter(F.col("token_a").isin(natives)))
+    is_native = F.col("token_a").isin(natives)
+    native = updates(by_stable.filter(is_native), is_native)
     stored = asof_join(swaps.filter(b_native), native.withColumnRenamed("token", "token_b"),
                        on=list(order), by=["token_b"], values=["price", "pool", "is_best"]) \
         .withColumnsRenamed({"price": "token_b_usdc_price", "pool": "_b_pool", "is_best": "_b_best"})
     by_native = stored.withColumn("token_a_usdc_price", F.when(live, ratio * F.col("token_b_usdc_price")))
     quoted = by_stable.unionByName(by_native)
     # Level 2: everything against a quote token.
-    moves = native.unionByName(updates(quoted.filter(~F.col("token_a").isin(natives))))
+    moves = native.unionByName(updates(quoted.filter(~is_native), ~is_native))
     # Level 3: swaps without a usable quote take stored prices of both tokens.
     done = quoted.filter(F.col("token_a_usdc_price").isNotNull()) \
         .withColumns({"_a_pool": F.lit(None).cast("string"), "_a_best": F.lit(None).cast("boolean")})
@@ -168,7 +205,13 @@ def price_quote(swaps: DataFrame, quotes: list[str] | None = None, stables: list
         fixed[f"token_{s}_usdc_price"] = F.coalesce(f"token_{s}_usdc_price", F.lit(0.0))
         fixed[f"token_{s}_pricing_pool"] = F.coalesce(f"_{s}_pool", F.lit(""))
         fixed[f"token_{s}_best_pricing_pool_selected"] = F.coalesce(f"_{s}_best", F.lit(False))
-    return out.withColumns(fixed).drop("_a_pool", "_a_best", "_b_pool", "_b_best")
+    rest = [c for c in moves.columns if c != "token"]
+    prices = moves.groupBy("token").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_p")).select("token", "_p.*")
+    keys = [c for c in seen[0].columns if c != "volume_1h_usdc"]
+    stats = seen[0].unionByName(seen[1]).groupBy(*keys).agg(F.sum("volume_1h_usdc").alias("volume_1h_usdc"))
+    newest = stats.agg(F.max("hour_ts").alias("_to"))
+    stats = stats.join(F.broadcast(newest), F.col("hour_ts") >= F.col("_to") - F.expr(f"INTERVAL {int(days)} DAY")).drop("_to")
+    return out.withColumns(fixed).drop("_a_pool", "_a_best", "_b_pool", "_b_best"), {"prices": prices, "stats": stats}
 
 
 def latest_before(df: DataFrame, ts, by: Sequence[str], values: Sequence[str],
