@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tradeweft.checks.base import CHECKS, oracle, run
 
-_MODULES = ("rollups", "state", "learning", "chain", "streams", "plans")
+_MODULES = ("rollups", "state", "learning", "chain", "streams", "plans", "sinks")
 
 
 def names() -> list[str]:
