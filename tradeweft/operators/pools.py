@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeweft.functions import keys as OK
@@ -33,21 +33,35 @@ def best_quote_pools(stats: DataFrame, lo, hi) -> DataFrame:
 def rolling_best_pool(stats: DataFrame, days: int = 14, hours: DataFrame | None = None) -> DataFrame:
     """Best pool per token and hour, by volume of the ``days`` up to that hour (inclusive).
 
-    Evaluated at ``hours`` (token_a, hour_ts), by default the hours in which the token
-    traded. Each pool-hour adds its volume to the at most ``24 * days + 1`` hours that look
-    back on it, so the work is linear in pool-hours and no pair of pools meets.
+    Evaluated at ``hours`` (token_a, hour_ts), by default the hours in which the token traded. The volume
+    of a pool changes when an hour enters or leaves its window; between two changes it stands, and the
+    interval is cut into aligned runs of 1, 2, 4, ... hours. The best pool of each run is one aggregate,
+    and an hour asks the runs that hold it. A pool-hour gives two changes and a few runs, whatever the
+    length of the window, and no pair of pools meets. Volumes are summed as decimals, so that what leaves
+    is what has entered.
     """
-    hourly = stats.groupBy("token_a", "pool_address", "hour_ts").agg(F.sum("volume_1h_usdc").alias("_v"))
-    wanted = (stats if hours is None else hours).select("token_a", "hour_ts").distinct()
-    ahead = F.explode(F.sequence(F.lit(0), F.lit(24 * days))).alias("_h")
-    spread = hourly.select("token_a", "pool_address", "_v", F.unix_seconds("hour_ts").alias("_s"), ahead) \
-        .select("token_a", "pool_address", "_v",
-                F.timestamp_seconds(F.col("_s") + F.col("_h") * 3600).alias("hour_ts"))
-    rolled = spread.join(wanted, ["token_a", "hour_ts"], "left_semi") \
-        .groupBy("token_a", "hour_ts", "pool_address").agg(F.sum("_v").alias("volume_usdc"))
-    return rolled.groupBy("token_a", "hour_ts").agg(
-        F.min_by("pool_address", F.struct(-F.col("volume_usdc"), F.col("pool_address"))).alias("best_pool"),
-        F.max("volume_usdc").alias("volume_usdc"))
+    span = 24 * days + 1
+    levels = range(span.bit_length() + 1)
+    hour = F.expr("unix_seconds(hour_ts) DIV 3600")
+    hourly = stats.groupBy("token_a", "pool_address", hour.alias("_h")).agg(F.sum("volume_1h_usdc").cast("decimal(38,12)").alias("_v"))
+    moves = F.array(F.struct(F.col("_h"), F.col("_v"), F.lit(1).alias("_n")), F.struct((F.col("_h") + span).alias("_h"), (-F.col("_v")).alias("_v"), F.lit(-1).alias("_n")))
+    steps = hourly.select("token_a", "pool_address", F.explode(moves).alias("_m")).groupBy("token_a", "pool_address", F.col("_m._h").alias("_h")).agg(
+        F.sum("_m._v").alias("_v"), F.sum("_m._n").alias("_n"))
+    own = Window.partitionBy("token_a", "pool_address").orderBy("_h")  # at most two rows for an hour of the clock
+    level = steps.select("token_a", "pool_address", "_h", F.lead("_h").over(own).alias("_to"), F.sum("_v").over(own).cast("decimal(38,12)").alias("_v"),
+                         F.sum("_n").over(own).alias("_n")).filter(F.col("_n") > 0)
+    runs = []
+    for k in levels:
+        lo, hi = F.shiftright(F.col("_h") + (2 ** k - 1), k), F.shiftright("_to", k)
+        for odd, block in ((lo, lo), (hi, hi - 1)):
+            runs.append(F.when((lo < hi) & (odd % 2 == 1), F.struct(F.lit(k).alias("k"), block.alias("b"))))
+    best = level.select("token_a", "pool_address", "_v", F.explode(F.array_compact(F.array(*runs))).alias("_r")).groupBy(
+        "token_a", F.col("_r.k").alias("_k"), F.col("_r.b").alias("_b")).agg(F.min(F.struct((-F.col("_v")).alias("v"), F.col("pool_address").alias("p"))).alias("_best"))
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(hour, k).alias("b")) for k in levels])
+    wanted = (stats if hours is None else hours).select("token_a", "hour_ts").distinct().select(
+        "token_a", "hour_ts", F.explode(asked).alias("_r")).select("token_a", "hour_ts", F.col("_r.k").alias("_k"), F.col("_r.b").alias("_b"))
+    return wanted.join(best, ["token_a", "_k", "_b"]).groupBy("token_a", "hour_ts").agg(F.min("_best").alias("_best")).select(
+        "token_a", "hour_ts", F.col("_best.p").alias("best_pool"), (-F.col("_best.v")).cast("double").alias("volume_usdc"))
 
 
 def last_prices(swaps: DataFrame, quotes: list[str] | None = None,
