@@ -26,6 +26,8 @@ from tradeweft.llm.tokens import encoder
 from tradeweft.session import written_table
 
 CAPACITY = 1024
+#: Documents encoded before their pieces leave the worker.
+SLICE = 500
 SHARD, ISLANDS, POPULATION = 8192, 2, 4
 EPOCHS, GENERATIONS, ROUNDS = 2, 8, 3
 GOOD = 0.995
@@ -37,7 +39,7 @@ def pieces(documents: DataFrame, path: str, end: int = 2, capacity: int = CAPACI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = encoder(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist())):
                 ids += last
