@@ -26,3 +26,20 @@ def test_fit_save_load(spark, folder):
     a = models.predict(df).agg(F.sum("upside_pred"), F.sum("drawdown_prob")).first()
     b = again.predict(df).agg(F.sum("upside_pred"), F.sum("drawdown_prob")).first()
     assert [round(x, 9) for x in a] == [round(x, 9) for x in b]
+
+
+def test_held_out_rows_end_the_boosting(spark):
+    """Noise as the target: the held-out loss stops falling at once. No held-out row is learned from."""
+    rng = random.Random(5)
+    rows = [(i, f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00", "new_tokens", rng.random(), rng.random(), rng.gauss(0, 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "signal_id int, timestamp string, bucket string, f1 double, f2 double, upside_left double") \
+        .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    train, held = df.filter("signal_id < 300"), df.filter("signal_id >= 300")
+    models = M.fit_upside(train, held, min_rows=100)
+    deep, shallow = models.upside["new_tokens"].stages[1:]
+    assert 1 <= deep.getNumTrees < 100 and 1 <= shallow.getNumTrees < 100
+    other = M.fit_upside(train, held.withColumn("upside_left", F.col("upside_left") + 0.0), rounds=1, min_rows=100)
+    flipped = M.fit_upside(train, held.withColumn("upside_left", -F.col("upside_left")), rounds=1, min_rows=100)
+    first = [m.predict(df).agg(F.sum("upside_pred")).first()[0] for m in (other, flipped)]
+    assert first[0] == first[1]
+    assert set(M.fit_upside(train, held.filter("bucket = 'none'"), rounds=2, min_rows=100).upside) == {"new_tokens"}

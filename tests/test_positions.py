@@ -79,3 +79,42 @@ def test_snapshot_and_restart(spark, history):
 def test_edge_histories(spark, rows):
     data = [("a", "t", *r) for r in rows]
     check(fifo_positions(frame(spark, data), order=["n"]).collect(), replay(data)[0])
+
+
+def test_wide_amounts_and_dust(spark):
+    """10^27 units and 10^-18 units, in tokens of their own, in one token, and beside ordinary ones."""
+    wide = [("a", "w", 1, True, 1e27, 2e-9), ("a", "w", 2, False, 4e26, 3e-9), ("a", "w", 3, False, 6e26, 1e-9)]
+    dust = [("a", "d", 4, True, 3e-18, 2e15), ("a", "d", 5, False, 1e-18, 4e15), ("a", "d", 6, False, 2e-18, 5e15)]
+    both = [("a", "b", 7, True, 2.5, 2.0), ("a", "b", 8, True, 1e-13, 3.0), ("a", "b", 9, False, 2.5, 4.0)]
+    plain = [("a", "p", 10, True, 0.1, 2.0), ("a", "p", 11, True, 0.2, 2.0), ("a", "p", 12, False, 0.3, 3.0)]
+    odd = [("a", "p", 13, True, float("inf"), 2.0), ("a", "p", 14, True, float("nan"), 2.0)]
+    got = {r.n: r for r in fifo_positions(frame(spark, wide + dust + both + plain + odd), order=["n"]).collect()}
+    rel = lambda n: [getattr(got[n], c) for c in COLS]
+    assert rel(1) == pytest.approx([1e27, 0, 0, 0, 0])
+    assert rel(2) == pytest.approx([6e26, 8e17, 4e17, 0, 0])
+    assert rel(3) == pytest.approx([0, 1.2e18, -6e17, 0, 1])      # the lot ends with a loss of 2e17
+    assert rel(4)[0] == pytest.approx(3e-18, rel=1e-12)
+    assert rel(5)[:3] == pytest.approx([2e-18, 0.002, 0.002], rel=1e-9, abs=0)
+    assert rel(6) == pytest.approx([0, 0.004, 0.006, 1, 0], rel=1e-9)
+    assert rel(8)[0] - 2.5 == pytest.approx(1e-13, rel=1e-2)
+    assert rel(9)[0] == pytest.approx(1e-13, rel=1e-12, abs=0) and rel(9)[1:] == pytest.approx([5, 5, 1, 0])
+    assert rel(12) == pytest.approx([0, 0.6, 0.3, 2, 0]) and rel(14)[0] == 0
+    lots = {r.token: r for r in open_lots(frame(spark, wide[:2] + dust[:2] + both), order=["n"]).collect()}
+    assert lots["w"].amount == pytest.approx(6e26) and lots["w"].price == pytest.approx(2e-9, rel=1e-9)
+    assert lots["d"].amount == pytest.approx(2e-18, rel=1e-9) and lots["d"].price == pytest.approx(2e15)
+    assert lots["b"].amount == pytest.approx(1e-13, rel=1e-9)
+
+
+def test_wide_amounts_over_several_chunks(spark):
+    rows = [("a", "w", n, n % 3 > 0, 1e26 * (n % 7 + 1), 1e-9 * (n % 5 + 1)) for n in range(60)]
+    want, _ = replay([(a, t, n, buy, amount / 1e20, price * 1e20) for a, t, n, buy, amount, price in rows])
+    old = spark.conf.get("tradeweft.chunk.bytes", None)
+    spark.conf.set("tradeweft.chunk.bytes", "1")
+    try:
+        got = fifo_positions(frame(spark, rows), order=["n"]).collect()
+    finally:
+        spark.conf.unset("tradeweft.chunk.bytes") if old is None else spark.conf.set("tradeweft.chunk.bytes", old)
+    for r in got:
+        # money is about 1e17, where the doubles of the replay end at 10
+        assert [r.balance / 1e20, r.cost, r.profit] == pytest.approx(want[r.n][:3], rel=1e-9, abs=1e3)
+        assert r.wins + r.losses == sum(want[r.n][3:])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tradeweft.checks.base import END, check
@@ -13,6 +15,7 @@ from tradeweft.operators import features as FE
 from tradeweft.operators import labels as L
 from tradeweft.operators import metrics as MX
 from tradeweft.operators import models as MD
+from tradeweft.session import session_dir, written_table
 
 # --- candle features ---------------------------------------------------------------------------
 _CP = "cd AS (" + _C10.format(w="1 hour") + """),
@@ -163,8 +166,9 @@ check("m10_feature_matrix", lambda t: MX.feature_matrix(FE.log_returns(_cp(t), (
 
 
 def _fit(t):
-    rows = _training(t)
-    models = MD.fit_drawdown(rows, rounds=3, min_rows=20, models=MD.fit_upside(rows, rows, rounds=3, min_rows=20))
+    rows = written_table(_training(t), "training")
+    train, held = L.time_split(rows, END)
+    models = MD.fit_drawdown(train, min_rows=20, models=MD.fit_upside(train, held, min_rows=20), validation=held)
     return models, rows
 
 
@@ -182,6 +186,24 @@ def _metrics_table(t):
 
 check("m11_m13_model_decisions", _predictions)
 check("m12_model_metrics", _metrics_table)
+def _reloaded(t):
+    """Rows per bucket with a model, those that models read back from files score alike, and those that keep the sell rule."""
+    models, rows = _fit(t)
+    path = f"{session_dir(t.spark)}/models-{uuid.uuid4().hex}"
+    models.save(path)
+    again = MD.SellModels.load(path, {"upside": list(models.upside), "drawdown": list(models.drawdown)})
+    key = ["signal_id", "timestamp", "bucket"]
+    before = models.should_sell(rows).select(*key, "upside_pred", "drawdown_prob", "sell")
+    after = again.predict(rows).select(*key, F.col("upside_pred").alias("_u"), F.col("drawdown_prob").alias("_d"))
+    c = F.col
+    return before.join(after, key).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((c("upside_pred") == c("_u")) & (c("drawdown_prob") == c("_d"))).alias("same"),
+        F.count_if((c("sell") == 1) == ((c("_u") < 0.008) & (c("_d") > 0.4))).alias("by_rule"))
+
+
+check("m11_m14_gates_and_reload", _reloaded,
+      f"""WITH {_TS}, g AS (SELECT bucket FROM ts WHERE bucket_ts < TIMESTAMP '{END}' GROUP BY 1 HAVING count(*) >= 20)
+FINAL SELECT bucket, count(*) AS n, count(*) AS same, count(*) AS by_rule FROM ts WHERE bucket IN (SELECT bucket FROM g) GROUP BY 1""")
 check("m13_sell_signals", lambda t: BT.sell_signals(t.signals.select(
       "signal_id", ((F.col("signal_id") % 20) / 1000).alias("upside_pred"), ((F.col("signal_id") % 9) / 10).alias("drawdown_prob"))).select("signal_id", "sell"),
       "SELECT signal_id, CAST(signal_id % 20 / 1000 < 0.008 AND signal_id % 9 / 10 > 0.4 AS BIGINT) AS sell FROM signals")

@@ -156,6 +156,20 @@ check("a7_buyers_sellers", lambda t: C.buyers_sellers(t.evm, "pool_5", now()),
       f"""SELECT count(DISTINCT CASE WHEN amount_a < 0 THEN account END) AS buyers,
       count(DISTINCT CASE WHEN amount_a > 0 THEN account END) AS sellers FROM evm WHERE pool_address = 'pool_5'
       AND timestamp >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR""")
+def _sketched(t):
+    """Exact distinct traders of a day beside the estimates of the stored hourly sketches."""
+    day = C.merged_traders(C.trader_sketches(t.evm, "1 hour"), "1 day").withColumnRenamed("bucket_ts", "day")
+    a, trader = F.col("amount_a"), F.col("account")
+    exact = t.evm.groupBy("pool_address", TM.bucket(F.col("timestamp"), "1 day").alias("day")).agg(
+        F.count_distinct(F.when(a < 0, trader)).alias("buyers"), F.count_distinct(F.when(a > 0, trader)).alias("sellers"))
+    near = lambda c: F.abs(F.col(f"approx_{c}") - F.col(c)) <= F.greatest(F.lit(1.0), 0.05 * F.col(c))
+    return exact.join(day, ["pool_address", "day"], "left").select(
+        "pool_address", "day", "buyers", "sellers", near("buyers").alias("buyers_near"), near("sellers").alias("sellers_near"))
+
+
+check("a7_trader_sketches", _sketched,
+      """SELECT pool_address, CAST(date_trunc('day', timestamp) AS TIMESTAMP) AS day, count(DISTINCT CASE WHEN amount_a < 0 THEN account END) AS buyers,
+      count(DISTINCT CASE WHEN amount_a > 0 THEN account END) AS sellers, true AS buyers_near, true AS sellers_near FROM evm GROUP BY 1, 2""")
 check("a30_swaps_per_bucket", lambda t: C.swaps_per_bucket(t.swaps),
       "SELECT token_a AS token, time_bucket(INTERVAL '5 minutes', timestamp, TIMESTAMP '1970-01-01') AS bucket_ts, count(*) AS swap_count FROM swaps GROUP BY 1, 2")
 
@@ -175,22 +189,21 @@ _LAST = f"""last AS (SELECT token_a, token_b, pool_address, max(timestamp) AS sw
   AND token_b IN {Q_SQL} GROUP BY 1, 2, 3)"""
 check("a10_last_prices", lambda t: PL.last_prices(t.swaps, QUOTES).drop("order_key"),
       f"WITH {_LAST}\nFINAL SELECT token_a, token_b, pool_address, swap_timestamp, price_usdc FROM last", "price_usdc")
-_some_best = "(SELECT * FROM best WHERE token_a IN ('T1', 'T3'))"
 check("a10_last_best_prices", lambda t: PL.last_best_prices(
-      PL.last_prices(t.swaps, QUOTES), _best(t).filter("token_a in ('T1', 'T3')")),
+      PL.last_prices(t.swaps, QUOTES), _best(t)),
       f"""WITH {_STATS}, {_BEST}, {_LAST}, lp AS (SELECT token_a, arg_max(pool_address, k) AS p FROM last GROUP BY 1)
 FINAL SELECT l.token_a AS token, l.pool_address, b.pool_address AS best_pool_address, l.price_usdc
-      FROM last l LEFT JOIN {_some_best} b ON b.token_a = l.token_a JOIN lp ON lp.token_a = l.token_a
+      FROM last l LEFT JOIN best b ON b.token_a = l.token_a JOIN lp ON lp.token_a = l.token_a
       WHERE l.pool_address = coalesce(b.pool_address, lp.p)""", "price_usdc")
 check("j14_last_pool", lambda t: PL.last_prices(t.swaps, QUOTES).groupBy("token_a").agg(
       F.max_by("pool_address", "order_key").alias("pool_address")),
       f"WITH {_LAST}\nFINAL SELECT token_a, arg_max(pool_address, k) AS pool_address FROM last GROUP BY 1")
 check("x3_last_best_prices_legacy", lambda t: PL.last_best_prices_legacy(
-      t.swaps, _best(t).filter("token_a in ('T1', 'T3')"), QUOTES),
+      t.swaps, _best(t), QUOTES),
       f"""WITH {_STATS}, {_BEST}
 FINAL SELECT s.token_a AS token, arg_max(s.pool_address, {KEY}) AS pool_address,
       arg_max(b.pool_address, {KEY}) AS best_pool_address, arg_max(token_a_usdc_price, {KEY}) AS price_usdc
-      FROM swaps s LEFT JOIN {_some_best} b ON b.token_a = s.token_a WHERE token_a_usdc_price > 0 AND sign > 0
+      FROM swaps s LEFT JOIN best b ON b.token_a = s.token_a WHERE token_a_usdc_price > 0 AND sign > 0
       AND CASE WHEN b.pool_address IS NOT NULL THEN s.pool_address = b.pool_address ELSE s.token_b IN {Q_SQL} END GROUP BY 1""",
       "price_usdc")
 check("w13_rolling_best_pool", lambda t: PL.rolling_best_pool(_stats(t), 3),

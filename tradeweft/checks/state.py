@@ -57,6 +57,24 @@ check("t1_fifo_both_sides", lambda t: PO.fifo_positions(
       "account", "token", "block_number", "balance", "cost", "profit", "wins", "losses"),
       f"WITH {_FIFO.format(legs=_TWO)}\nFINAL SELECT account, token, n AS block_number, balance, cost, profit, wins, losses FROM fifo",
       "balance cost profit", "wins losses")
+# The same histories with units of every size: 10^27 units of one token, 10^-18 of the next, as they are for the rest.
+
+
+def _wide_and_dust(t):
+    power = F.when(F.col("token") == "T1", 27).when(F.col("token") == "T2", -18).otherwise(0)
+    size = F.pow(F.lit(10.0), power)
+
+    def moved(value, by):  # the point is moved in the text, so that the digits stay as they are
+        return F.concat(F.col(value).cast("decimal(18,6)").cast("string"), F.lit("E"), by.cast("string")).cast("double")
+
+    legs = _one_leg(t).withColumns({"amount": moved("amount", power), "price": moved("price", -power)})
+    return PO.fifo_positions(legs, order=_BLOCK).select(
+        "account", "token", "block_number", (F.col("balance") / size).alias("balance"), "cost", "profit", "wins", "losses")
+
+
+check("t1_wide_and_dust", _wide_and_dust,
+      f"WITH {_FIFO.format(legs=_ONE)}\nFINAL SELECT account, token, n AS block_number, balance, cost, profit, wins, losses FROM fifo",
+      "balance cost profit", "wins losses")
 _XC = ["balance", "cost_usdc", "profit_usdc", "wins", "loses"]
 check("t2_extend_positions", lambda t: PO.extend_positions(
       t.swaps.select("account", "block_number", "token_a", "token_b", "amount_a", "amount_b", "token_a_usdc_price", "token_b_usdc_price"),

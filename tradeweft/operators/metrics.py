@@ -58,10 +58,12 @@ def quantile_point(df: DataFrame, predictions: str = "quantiles") -> DataFrame:
 def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - median) / IQR with missing values as 0 first; a constant column keeps scale 1."""
     filled = df.fillna(0, list(columns))
-    out, scaled = filled, {}
-    for c in columns:
-        one_row = percentiles(filled.select(F.col(c).cast("double")), c, [0.25, 0.5, 0.75])
-        out = out.crossJoin(F.broadcast(one_row.withColumnRenamed("q", f"_q_{c}")))
+    # One scan for all columns: their values are counted and ranked as groups of one table.
+    values = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(columns)])
+    found = percentiles(filled.select(F.inline(values)), "_x", [0.25, 0.5, 0.75], ["_i"])
+    one_row = found.agg(*[F.first(F.when(F.col("_i") == i, F.col("q")), ignorenulls=True).alias(f"_q_{c}")
+                          for i, c in enumerate(columns)])
+    out, scaled = filled.crossJoin(F.broadcast(one_row)), {}
     for c in columns:
         q = F.col(f"_q_{c}")
         iqr = q[2] - q[0]

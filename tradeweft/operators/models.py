@@ -15,11 +15,25 @@ from pyspark.sql import functions as F
 from tradeweft import constants as K
 from tradeweft.operators.backtest import sell_signals
 from tradeweft.operators.labels import drawdown_labels
-from tradeweft.operators.metrics import binary_metrics, feature_columns, feature_matrix, regression_metrics
+from tradeweft.operators.metrics import METADATA, binary_metrics, feature_columns, feature_matrix, regression_metrics
 from tradeweft.session import written_table
 
 MIN_UPSIDE_ROWS = 1000
 MIN_DRAWDOWN_ROWS = 500
+#: Bounds of the boosting rounds. With held-out rows, boosting ends with the first round that improves their
+#: loss by less than this share.
+UPSIDE_ROUNDS, DRAWDOWN_ROUNDS, LEAST_GAIN = 1000, 500, 0.002
+
+
+def _with_held(train: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Training rows and held-out rows in one frame, told apart by ``_held``."""
+    rows = train.withColumn("_held", F.lit(False))
+    return rows if held is None else rows.unionByName(held.select(*train.columns).withColumn("_held", F.lit(True)))
+
+
+def _stops(booster, held: DataFrame | None):
+    """The booster, stopping early where there are held-out rows."""
+    return booster if held is None else booster.setValidationIndicatorCol("_held")
 
 
 def _assembler(features: list[str]) -> VectorAssembler:
@@ -79,36 +93,50 @@ class SellModels:
         return out
 
 
-def fit_upside(train: DataFrame, validation: DataFrame | None = None, rounds: int = 20,
+def fit_upside(train: DataFrame, validation: DataFrame | None = None, rounds: int = UPSIDE_ROUNDS,
                min_rows: int = MIN_UPSIDE_ROWS, models: SellModels | None = None) -> SellModels:
-    """Two boosted regressors per bucket of enough rows; their mean is the prediction."""
+    """Two boosted regressors per bucket of enough rows; their mean is the prediction.
+
+    ``rounds`` bounds the trees of a regressor. Rows of ``validation`` are never learned from: they end the
+    boosting early and give the metrics. A bucket without such rows is boosted for all rounds.
+    """
     out = models or SellModels(feature_columns(train))
     # Boosting makes many passes over its input.
     train = written_table(train, "train")
+    validation = None if validation is None else written_table(validation, "validation")
+    held_buckets = set() if validation is None else {r["bucket"] for r in validation.select("bucket").distinct().collect()}
     counts = {r["bucket"]: r["count"] for r in train.groupBy("bucket").count().collect()}
     for bucket in K.HORIZON_HOURS:
         if counts.get(bucket, 0) < min_rows:
             continue
-        rows = feature_matrix(train.filter(F.col("bucket") == bucket)).fillna(0, ["upside_left"])
+        own = F.col("bucket") == bucket
+        held = validation.filter(own) if bucket in held_buckets else None
+        rows = feature_matrix(_with_held(train.filter(own), held), [*METADATA, "_held"]).fillna(0, ["upside_left"])
         stages = [_assembler(out.features),
-                  GBTRegressor(labelCol="upside_left", predictionCol="_deep", maxDepth=5, maxIter=rounds,
-                               stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="onethird", seed=7),
-                  GBTRegressor(labelCol="upside_left", predictionCol="_shallow", maxDepth=3, maxIter=rounds,
-                               stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=10, seed=11)]
+                  _stops(GBTRegressor(labelCol="upside_left", predictionCol="_deep", maxDepth=5, maxIter=rounds,
+                               stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="onethird", seed=7,
+                               validationTol=LEAST_GAIN), held),
+                  _stops(GBTRegressor(labelCol="upside_left", predictionCol="_shallow", maxDepth=3, maxIter=rounds,
+                               stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=10, seed=11, validationTol=LEAST_GAIN), held)]
         out.upside[bucket] = Pipeline(stages=stages).fit(rows)
-        if validation is not None:
-            held = out.upside[bucket].transform(feature_matrix(validation.filter(F.col("bucket") == bucket)))
-            m = regression_metrics(held.select(F.col("upside_left").alias("label"),
+        if held is not None:
+            scored = out.upside[bucket].transform(feature_matrix(held))
+            m = regression_metrics(scored.select(F.col("upside_left").alias("label"),
                                                ((F.col("_deep") + F.col("_shallow")) / 2).alias("prediction"))).first()
             out.metrics.setdefault(bucket, {}).update(rmse=m["rmse"], mae=m["mae"])
     return out
 
 
-def fit_drawdown(train: DataFrame, rounds: int = 20, min_rows: int = MIN_DRAWDOWN_ROWS,
-                 models: SellModels | None = None) -> SellModels:
-    """A boosted classifier per bucket of enough rows and balance, with class weights."""
-    labelled = train if "drawdown_label" in train.columns else drawdown_labels(train)
-    labelled = written_table(labelled, "labelled")
+def fit_drawdown(train: DataFrame, rounds: int = DRAWDOWN_ROUNDS, min_rows: int = MIN_DRAWDOWN_ROWS,
+                 models: SellModels | None = None, validation: DataFrame | None = None) -> SellModels:
+    """A boosted classifier per bucket of enough rows and balance, with class weights; rows of ``validation``
+    end the boosting early. Accuracy and area under the curve are those of the training rows."""
+    def labels(df: DataFrame) -> DataFrame:
+        return df if "drawdown_label" in df.columns else drawdown_labels(df)
+
+    labelled = written_table(labels(train), "labelled")
+    validation = None if validation is None else written_table(labels(validation), "validation")
+    held_buckets = set() if validation is None else {r["bucket"] for r in validation.select("bucket").distinct().collect()}
     out = models or SellModels(feature_columns(train))
     stats = {r["bucket"]: r for r in labelled.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.avg("drawdown_label").alias("share")).collect()}
@@ -117,12 +145,14 @@ def fit_drawdown(train: DataFrame, rounds: int = 20, min_rows: int = MIN_DRAWDOW
         if s is None or s["n"] < min_rows or not 0.05 <= s["share"] <= 0.95:
             continue
         weight = F.when(F.col("drawdown_label") == 1, (1 - s["share"]) / s["share"]).otherwise(1.0)
-        rows = feature_matrix(labelled.filter(F.col("bucket") == bucket)).withColumn("_weight", weight)
+        own = F.col("bucket") == bucket
+        held = validation.filter(own) if bucket in held_buckets else None
+        rows = feature_matrix(_with_held(labelled.filter(own), held), [*METADATA, "_held"]).withColumn("_weight", weight)
         gbt = GBTClassifier(labelCol="drawdown_label", weightCol="_weight", predictionCol="_class",
-                            maxDepth=5, maxIter=rounds, stepSize=0.05, seed=13)
-        gbt = gbt.setProbabilityCol("_proba").setRawPredictionCol("_raw")
+                            maxDepth=5, maxIter=rounds, stepSize=0.05, seed=13, validationTol=LEAST_GAIN)
+        gbt = _stops(gbt, held).setProbabilityCol("_proba").setRawPredictionCol("_raw")
         out.drawdown[bucket] = Pipeline(stages=[_assembler(out.features), gbt]).fit(rows)
-        scored = out.drawdown[bucket].transform(rows).select(
+        scored = out.drawdown[bucket].transform(rows.filter(~F.col("_held"))).select(
             F.col("drawdown_label").alias("label"), vector_to_array("_proba")[1].alias("score"))
         m = binary_metrics(scored).first()
         out.metrics.setdefault(bucket, {}).update(accuracy=m["accuracy"], auc=m["auc"])

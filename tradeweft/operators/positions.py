@@ -9,9 +9,11 @@ first ``x`` units (over buys) and their revenue (over sells) are piecewise linea
 * profit of a lot = revenue(B) - revenue(B before it) - its cost; it closes at the first
   sell with ``E >= B`` and is a win when the profit is positive, else a loss.
 
-Units are DECIMAL(38,12) and money DECIMAL(38,18), so differences of running sums are
-exact. All running values come from :mod:`tradeweft.operators.ordered`: one account may
-hold any share of the rows.
+Units and money are DECIMAL(38,18), so that running sums don't drift. A token whose amounts leave the
+range of that type (a total of 10^18 units or more, or amounts below 10^-12) is counted in units of a power
+of ten, which puts its total just below 10^18: 34 digits from the total of a token down to its smallest
+amount count. Amounts that are no finite number change nothing. All running values come from
+:mod:`tradeweft.operators.ordered`: one account may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -23,26 +25,58 @@ from pyspark.sql import functions as F
 
 from tradeweft.functions import keys as OK
 from tradeweft.operators.ordered import Chunks, Scan, chunk, scan
+from tradeweft.session import written_table
 
 KEYS = ("account", "token")
-QTY = "decimal(38,12)"
+QTY = "decimal(38,18)"
 MONEY = "decimal(38,18)"
 # A lot whose profit is below this share of its cost counts as closed at zero profit.
 _ZERO_PROFIT = 1e-12
 _RESULT = ("balance", "cost", "profit", "wins", "losses")
+# Totals below 10^_TOP and amounts from _LEAST on need no unit of their own.
+_TOP, _LEAST = 18, 1e-12
+_FINITE = 1.7976931348623157e308
 
 
 def _money(c: Column) -> Column:
     return c.cast(MONEY)
 
 
+def _with_unit(t: Chunks, token: str) -> Chunks:
+    """Add ``_k``: amounts of the row's token are counted in units of 10 ** ``_k``, mostly 1.
+
+    Only tokens out of range are kept, written first: Spark then knows their size and broadcasts them when
+    they are few.
+    """
+    total = F.sum("_qty")
+    odd = (t.df.filter("_qty > 0").groupBy(F.col(token).alias("_unit_of"))
+           .agg((F.ceil(F.log10(total)) - _TOP).cast("int").alias("_k"),
+                ((total >= 10.0 ** _TOP) | (F.min("_qty") < _LEAST)).alias("_odd")))
+    odd = written_table(odd.filter("_odd").drop("_odd"), "units")
+    rows = t.df.join(odd, F.col(token).eqNullSafe(F.col("_unit_of")), "left")
+    return t.map(rows.select(*t.df.columns, F.coalesce("_k", F.lit(0)).alias("_k")))
+
+
+def _in_units(amount: Column, k: Column) -> Column:
+    """``amount / 10 ** k``, by moving the exponent of its text: decimal digits stay as they are."""
+    parts = F.split(amount.cast("string"), "E")
+    exponent = F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0)) - k
+    moved = F.concat(F.get(parts, F.lit(0)), F.lit("E"), exponent.cast("string"))
+    return F.when(k == 0, amount.cast(QTY)).otherwise(moved.cast(QTY))
+
+
+def _size_of_unit(k: Column) -> Column:
+    return F.pow(F.lit(10.0), k)
+
+
 def _running(legs: DataFrame, keys: Sequence[str], order: Sequence[str], eps: float) -> Chunks:
     """Rows in time order with bought, sold and effective units and running money."""
-    qty = F.abs(F.col("amount"))
-    valid = (qty > eps) & (F.col("price") > eps) if eps else (qty > 0) & (F.col("price") > 0)
-    q = F.when(valid, qty.cast(QTY)).otherwise(F.lit(0).cast(QTY))
-    rows = legs.withColumn("_q", q).withColumn("_p", F.col("price").cast("double"))
-    t = chunk(rows, keys, order)
+    qty = F.abs(F.col("amount")).cast("double")
+    valid = (qty > eps) & (qty <= _FINITE) & (F.col("price") > eps)
+    rows = legs.withColumn("_qty", F.when(valid, qty).otherwise(0.0))
+    t = _with_unit(chunk(rows, keys, order), keys[-1])
+    t = t.map(t.df.withColumn("_q", _in_units(F.col("_qty"), F.col("_k"))).withColumn(
+        "_p", F.col("price").cast("double") * _size_of_unit(F.col("_k"))))
     b = F.when(F.col("is_buy"), F.col("_q")).otherwise(F.lit(0).cast(QTY))
     s = F.when(F.col("is_buy"), F.lit(0).cast(QTY)).otherwise(F.col("_q"))
     t = t.map(t.df.withColumn("_bq", b).withColumn("_sq", s))
@@ -67,7 +101,7 @@ def _axis(t: Chunks, payload: Sequence[str]) -> Chunks:
     keys = t.keys
     lots = t.df.filter(F.col("_bq") > 0).select(
         *keys, F.col("_bt").alias("_x"),
-        F.struct(F.col("_p").alias("p"), F.col("_cost").alias("cost"),
+        F.struct(F.col("_p").alias("p"), F.col("_k").alias("k"), F.col("_cost").alias("cost"),
                  F.col("_carry_pnl").alias("pnl0")).alias("_lot"))
     sells = t.df.filter(F.col("_eff") > 0).select(
         *keys, F.col("_et").alias("_x"),
@@ -133,7 +167,7 @@ def fifo_positions(legs: DataFrame, keys: Sequence[str] = KEYS,
     columns = [c for c in legs.columns]
     t = _running(_prepare(legs, opening, keys, order), keys, ["_opening", *order], eps)
     keep = [c for c in columns if c not in keys]
-    state = [*keep, "_opening", "_bt", "_et", "_rev", "_wins0", "_losses0", "_chunk", "_pos"]
+    state = [*keep, "_opening", "_bt", "_et", "_rev", "_wins0", "_losses0", "_k", "_chunk", "_pos"]
     a = _axis(t, [F.col(c) for c in state])
     zero = F.lit(0).cast(MONEY)
     cost = F.col("_cost_at") - F.coalesce(F.col("_cost_before"), zero)
@@ -148,7 +182,8 @@ def fifo_positions(legs: DataFrame, keys: Sequence[str] = KEYS,
                 Scan("_ww", "last", F.col("_w")), Scan("_ll", "last", F.col("_l")),
                 Scan("_w0", "max", F.col("_wins0")), Scan("_l0", "max", F.col("_losses0")))
     return done.df.filter(F.col("_opening") == 0).select(
-        *columns, (F.col("_bt") - F.col("_et")).cast("double").alias("balance"), "cost", "profit",
+        *columns, ((F.col("_bt") - F.col("_et")).cast("double") * _size_of_unit(F.col("_k"))).alias("balance"),
+        "cost", "profit",
         (F.coalesce(F.col("_ww"), F.lit(0)) + F.col("_w0")).cast("long").alias("wins"),
         (F.coalesce(F.col("_ll"), F.lit(0)) + F.col("_l0")).cast("long").alias("losses"))
 
@@ -167,7 +202,7 @@ def open_lots(legs: DataFrame, keys: Sequence[str] = KEYS,
         F.max("_wins0").alias("_w0"), F.max("_losses0").alias("_l0"))
     counts = a.df.groupBy(*keys).agg(F.sum("_won").alias("_w"), F.sum("_lost").alias("_l"))
     lots = a.df.filter(F.col("_lot").isNotNull() & F.col("_rev_at").isNull()).select(
-        *keys, F.col("_x"), F.col("_lot.p").alias("price"), F.col("_lot.pnl0").alias("_pnl0"),
+        *keys, F.col("_x"), F.col("_lot.p").alias("price"), _size_of_unit(F.col("_lot.k")).alias("_unit"), F.col("_lot.pnl0").alias("_pnl0"),
         F.coalesce(F.col("_x_before"), F.lit(0).cast(QTY)).alias("_from"),
         F.coalesce(F.col("_rev_before"), F.lit(0).cast(MONEY)).alias("_rev_from"))
     state = totals.join(counts, list(keys), "left").join(lots, list(keys), "left")
@@ -176,8 +211,8 @@ def open_lots(legs: DataFrame, keys: Sequence[str] = KEYS,
     realized = F.when(used > 0, F.col("_revenue") - F.col("_rev_from")
                       - _money(used.cast("double") * F.col("price"))).otherwise(F.lit(0).cast(MONEY))
     rows = state.select(
-        *keys, F.coalesce((F.col("_x") - start).cast("double"), F.lit(0.0)).alias("amount"),
-        F.coalesce(F.col("price"), F.lit(0.0)).alias("price"),
+        *keys, F.coalesce((F.col("_x") - start).cast("double") * F.col("_unit"), F.lit(0.0)).alias("amount"),
+        F.coalesce(F.col("price") / F.col("_unit"), F.lit(0.0)).alias("price"),
         F.coalesce((realized + F.col("_pnl0")).cast("double"), F.lit(0.0)).alias("realized_profit"),
         (F.coalesce(F.col("_w"), F.lit(0)) + F.col("_w0")).alias("wins"),
         (F.coalesce(F.col("_l"), F.lit(0)) + F.col("_l0")).alias("losses"),
