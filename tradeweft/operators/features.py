@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from tradeweft.functions.market import bucket_of, dex_fee, pool_tvl, usd_volume
 from tradeweft.functions.num import pct_change, safe_div
 from tradeweft.functions.time import boundary_diff, bucket
 from tradeweft.operators.ordered import CHUNK, asof_join, chunk, with_history
+from tradeweft.operators.range_quantiles import range_quantiles
 from tradeweft.operators.traders import order_flow, smart_flows
 
 _BY = ("token", "pool")
@@ -152,23 +155,33 @@ def liquidity_bucket(signals: DataFrame, swaps: DataFrame) -> DataFrame:
 def slippage_profile(signals: DataFrame, swaps: DataFrame, low: float = 0.2, high: float = 0.5) -> DataFrame:
     """Slippage quantiles of trades of half to twice the size, in the hour before.
 
-    ``signals``: signal_id, token, pool, timestamp, size_usdc. Equal trades (second, size,
-    slippage) are counted first, and the percentile takes the counts as weights.
+    ``signals``: signal_id, token, pool, timestamp, size_usdc. Signals of a pool-hour meet the trades of that
+    hour and the one before as ranges over one sorted sequence, so the work of a pool-hour is in proportion to
+    signals plus trades (times log^2), and its task holds two hours of one pool. Signals without such trades,
+    or without a size, give no row; missing slippage counts as 0.
     """
-    hour = bucket(F.col("timestamp"), "1 hour")
-    left = signals.select("signal_id", "token", "pool", "size_usdc", F.col("timestamp").alias("_at"),
-                          F.explode(F.array(hour, hour - F.expr("INTERVAL 1 HOUR"))).alias("_h"))
-    right = swaps.select(F.col("token_a").alias("token"), F.col("pool_address").alias("pool"),
-                         F.col("timestamp").alias("_ts"), usd_volume().alias("_size"),
-                         F.abs(F.coalesce("slippage_pct", F.lit(0.0))).alias("_slip")) \
-        .groupBy("token", "pool", "_ts", "_size", "_slip").agg(F.count(F.lit(1)).alias("_n")) \
-        .withColumn("_h", bucket(F.col("_ts"), "1 hour"))
-    near = left.join(right, ["token", "pool", "_h"]).filter(
-        (F.col("_ts") <= F.col("_at")) & (F.col("_ts") >= F.col("_at") - F.expr("INTERVAL 1 HOUR"))
-        & F.col("_size").between(F.col("size_usdc") * 0.5, F.col("size_usdc") * 2.0))
-    return near.groupBy("signal_id").agg(
-        F.percentile("_slip", low, F.col("_n")).alias("slippage_low"),
-        F.percentile("_slip", high, F.col("_n")).alias("slippage_high"))
+    hour = lambda ts: F.unix_seconds(ts) - F.pmod(F.unix_seconds(ts), F.lit(3600))
+    asked = signals.filter("token IS NOT NULL AND pool IS NOT NULL AND size_usdc IS NOT NULL").select(
+        "signal_id", "token", "pool", hour(F.col("timestamp")).alias("_h"),
+        F.unix_micros("timestamp").alias("_at"), F.col("size_usdc").cast("double").alias("_size"))
+    own = hour(F.col("timestamp"))
+    trades = swaps.select(
+        F.col("token_a").alias("token"), F.col("pool_address").alias("pool"), F.unix_micros("timestamp").alias("_ts"),
+        usd_volume().cast("double").alias("_usd"), F.abs(F.nanvl(F.coalesce(F.col("slippage_pct").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("_slip"),
+        F.explode(F.array(own, own + 3600)).alias("_h")).filter(F.col("_usd").isNotNull() & ~F.isnan("_usd"))
+    by = ["token", "pool", "_h"]
+    trades = trades.join(asked.select(*by).distinct(), by, "left_semi")  # trades that no signal asks for stay in the JVM
+
+    def profile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        at, size = left["_at"].to_numpy(), left["_size"].to_numpy()
+        got = range_quantiles(right["_ts"].to_numpy(), right["_usd"].to_numpy(), right["_slip"].to_numpy(),
+                              (at - 3_600_000_000, at), (size * 0.5, size * 2.0), (low, high))
+        out = pd.DataFrame({"signal_id": left["signal_id"], "slippage_low": got[:, 0], "slippage_high": got[:, 1]})
+        return out[~np.isnan(got[:, 0])]
+
+    kind = dict(signals.dtypes)["signal_id"]
+    return asked.groupBy(*by).cogroup(trades.groupBy(*by)).applyInPandas(
+        profile, f"signal_id {kind}, slippage_low double, slippage_high double")
 
 
 def cost_model(signals: DataFrame, swaps: DataFrame, default: float = 0.01) -> DataFrame:
