@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeweft.llm.tokens import encoder
+from tradeweft.llm.tokens import GROUP, HELD, encoder
 from tradeweft.session import written_table
 
 CAPACITY = 1024
@@ -33,12 +33,16 @@ EPOCHS, GENERATIONS, ROUNDS = 2, 8, 3
 GOOD = 0.995
 
 
-def pieces(documents: DataFrame, path: str, end: int = 2, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian 32-bit) of every piece of every document."""
+def pieces(documents: DataFrame, path: str, end: int = 2, capacity: int = CAPACITY, held: int = HELD,
+           group: int = GROUP) -> DataFrame:
+    """doc_id, piece, start, length and ids (little-endian 32-bit) of every piece of every document.
+
+    ``held`` and ``group`` bound the memory of a worker, see :func:`tradeweft.llm.tokens.encoder`.
+    """
     schema = "doc_id long, piece int, start long, length long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = encoder(path), np.array([end], "<u4").tobytes()
+        own, last = encoder(path, held, group), np.array([end], "<u4").tobytes()
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist())):
@@ -211,9 +215,10 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return made.join(places, "row").drop("row")
 
 
-def pack_documents(documents: DataFrame, path: str, end: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(documents: DataFrame, path: str, end: int = 2, capacity: int = CAPACITY, held: int = HELD,
+                   group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    made = pieces(documents, path, end, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    made = pieces(documents, path, end, capacity, held, group).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(made, capacity)
 
 

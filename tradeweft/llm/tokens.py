@@ -40,21 +40,21 @@ def byte_letters() -> list[str]:
 
 
 class _Known(dict):
-    """Word or word piece -> its ids as little-endian 32-bit integers, of at most ``HELD`` bytes.
+    """Word or word piece -> its ids as little-endian 32-bit integers, of at most ``most`` bytes.
 
     When half of that is full, what was not asked for since the last time is forgotten.
     """
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.held, self.before = make, 0, {}
+        self.make, self.most, self.held, self.before = make, most, 0, {}
 
     def __missing__(self, key) -> bytes:
         ids = self.before.get(key)
         if ids is None:
             ids = self.make(key)
         self.held += len(key) + len(ids) + 200  # two objects and a slot
-        if self.held > HELD // 2:
+        if self.held > self.most // 2:
             self.before = self.copy()
             self.clear()
             self.held = len(key) + len(ids) + 200
@@ -63,7 +63,8 @@ class _Known(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = HELD, group: int = GROUP):
+        self.group = group
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
@@ -79,8 +80,8 @@ class Encoder:
         self.lead = "" if self.drops_space else " "
         self.breaks = np.zeros(256, bool)
         self.breaks[[32, 10] if self.drops_space else [32]] = True
-        self.pieces = _Known(self._piece)
-        self.words = _Known(lambda word: self._led(word[1:].decode()) if word[:1] == b" " else self._word(word.decode()))
+        self.pieces = _Known(self._piece, held)
+        self.words = _Known(lambda word: self._led(word[1:].decode()) if word[:1] == b" " else self._word(word.decode()), held)
 
     def _piece(self, piece: str) -> bytes:
         text = piece.encode().decode("latin-1").translate(self.letters)
@@ -108,7 +109,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers; none for null."""
         out: list[bytes] = []
-        for group in units(texts, self.breaks, not self.drops_space):
+        for group in units(texts, self.breaks, not self.drops_space, self.group):
             out += group.laid_out([self.words[word] for word in group.words()])
         return out
 
@@ -184,6 +185,10 @@ _SAME = np.arange(256, dtype=np.uint8)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and vocabulary file, which has to lie at ``path`` on every node."""
-    return Encoder(path)
+def encoder(path: str, held: int = HELD, group: int = GROUP) -> Encoder:
+    """One encoder per worker and vocabulary file, which has to lie at ``path`` on every node.
+
+    ``held`` bounds the bytes it remembers of words and of pieces, ``group`` the text whose words are made
+    distinct together. Both trade memory for time; the ids are the same.
+    """
+    return Encoder(path, held, group)
