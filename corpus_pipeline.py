@@ -15,6 +15,8 @@ from tradeweft.session import written_table
 
 #: Documents whose language is recognised with less than this are rejected, as are texts without a letter.
 LEAST_LANGUAGE = 0.3
+#: Packing runs in workers that other stages have used before: small token caches and groups of text.
+PACKING_HELD, PACKING_GROUP = 24 << 20, 1 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                                  held=PACKING_HELD, group=PACKING_GROUP)
 
 
 STAGES = [("language", language), ("quality", good_quality), ("near_duplicates", near_duplicates), ("packing", packed)]
