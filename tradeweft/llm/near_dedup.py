@@ -274,7 +274,9 @@ def link(documents: DataFrame) -> DataFrame:
     for _ in range(1, DEPTH):
         if large.isEmpty():
             break
-        rows = large.select("node", "root", *fields).join(classes.select(*fields, "tokens"), fields)
+        # A class meets its tokens once for all its nodes, whose number trees and branching bound.
+        nodes = large.groupBy(*fields, "root").agg(F.collect_list("node").alias("nodes"))
+        rows = nodes.join(classes.select(*fields, "tokens"), fields).withColumn("node", F.explode("nodes"))
         live = written_table(_with_first(_branch(rows, [*fields, "root"])), "live")
         small, large = live.where(F.col("size") <= NODE), live.where(F.col("size") > NODE)
         pairs = pairs.union(_node_pairs(small)).union(_star_pairs(large))
