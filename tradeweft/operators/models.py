@@ -63,8 +63,9 @@ class SellModels:
                 rows = risk.stages[-1].transform(rows).withColumn(
                     "drawdown_prob", vector_to_array("_proba")[1])
             parts.append(rows.select(*df.columns, "upside_pred", "drawdown_prob"))
-        out = parts[0]
-        for p in parts[1:]:
+        none = F.lit(None).cast("double")
+        out = df.filter("false").withColumns({"upside_pred": none, "drawdown_prob": none})
+        for p in parts:
             out = out.unionByName(p)
         return out
 
