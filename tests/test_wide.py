@@ -32,3 +32,19 @@ def test_issuance_of_any_width(spark):
     assert history["a", 1] == "10000000000000000000000.000000000000000001" and history["a", 2] == got["a"]
     plain = {r.mint: r.issuance for r in issuance(events, decimals).collect()}
     assert plain["c"] is None and float(plain["b"]) == -0.025
+
+
+def test_limbs_and_signs_are_compiled(spark):
+    """Arithmetic instead of functions on arrays, which Spark interprets row by row."""
+    for kind, count in (("decimal(38,0)", 2), ("string", 3)):
+        parts = W.limbs(F.col("a").cast(kind), count)
+        plan = spark.range(3).selectExpr("id AS a").select(W.sign(parts).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(f in plan for f in ("transform", "aggregate", "lambda", "regexp")), plan
+
+
+def test_plain_digits(spark):
+    values = [0, 5, -5, 10**27, -10**27, 10**38 - 1, 1 - 10**38]
+    two = spark.createDataFrame([(str(v),) for v in values], "t string").withColumn("a", F.col("t").cast("decimal(38,0)"))
+    for value, count in (("a", 2), ("t", 3)):
+        rows = two.select("t", W.digits(W.limbs(F.col(value), count)).alias("d"), W.sign(W.limbs(F.col(value), count)).alias("s")).collect()
+        assert all(int(r.d) == int(r.t) and r.s == (int(r.t) > 0) - (int(r.t) < 0) for r in rows)
