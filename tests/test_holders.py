@@ -99,3 +99,57 @@ def test_balances_only_count_tokens_created_in_range(spark):
     inits = spark.createDataFrame([("t", 1)], "token string, block_number int")
     got = [(r.token, r.block_number, r.holders) for r in H.holder_counts_balances(b, inits).orderBy("block_number").collect()]
     assert got == [("t", 1, 1), ("t", 2, 1), ("t", 3, 2)]
+
+
+def counted(spark, rows):
+    """The rows as a frame, and how many of them have been worked out."""
+    seen, base = spark.sparkContext.accumulator(0), frame(spark, rows)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return base.mapInArrow(run, base.schema), seen
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_transfers_are_worked_out_once(spark, strict):
+    rows = [("t", ZERO, "a", 5, 1), ("t", "a", "b", 2, 2), ("u", ZERO, "a", 1, 3)]
+    transfers, seen = counted(spark, rows)
+    got = {(r.token, r.n): r.holders for r in H.holder_counts(transfers, strict, order=ORDER).collect()}
+    assert got == replay(rows) and seen.value == len(rows)
+
+
+def test_counts_are_worked_out_once_for_closed_snapshots(spark):
+    counts = spark.sql("SELECT timestamp'2024-01-01' + make_interval(0, 0, 0, n) AS timestamp, 't' AS token, 7 AS holders, n FROM VALUES (1), (2), (3) v(n)")
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    snaps = H.holder_snapshots(counts.mapInArrow(run, counts.schema), "1 day", order=ORDER)
+    assert [r.bucket_ts.day for r in snaps.orderBy("bucket_ts").collect()] == [2, 3] and seen.value == 3
+
+
+def test_only_addresses_that_may_change_are_replayed(spark, monkeypatch):
+    """b overdraws without a's units, and c without those of b; d sends nothing, and e has enough."""
+    rows = [("t", ZERO, "a", 5, 1), ("t", ZERO, "e", 9, 2), ("t", "a", "b", 9, 3), ("t", "b", "c", 9, 4),
+            ("t", "c", "d", 9, 5), ("t", "e", "d", 3, 6)]
+    seen, replayed = spark.sparkContext.accumulator(0), H._replay
+
+    def counting(*args):
+        run = replayed(*args)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        return lambda batches: run(count(batches))
+
+    monkeypatch.setattr(H, "_replay", counting)
+    got = {(r.token, r.n): r.holders for r in H.holder_counts(frame(spark, rows), order=ORDER).collect()}
+    assert got == replay(rows) and seen.value == 6  # a, b and c, two legs each
