@@ -1,6 +1,7 @@
 """A stream over all available input gives the batch result."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tradeweft.operators import candles as C
@@ -77,3 +78,53 @@ def test_duplicate_guard(source, folder):
     doubled = stream().unionByName(stream())
     got = run(R.drop_repeats(doubled, ["block_number"], lateness="60 days"), folder, "unique")
     assert got.count() == batch.count()
+
+
+class _Held:
+    """State of one key that counts its calls."""
+
+    def __init__(self):
+        self.value, self.lots, self.calls = None, {}, 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.lots.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.lots[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self.lots[key]
+
+
+def test_state_is_read_and_written_once_a_batch():
+    """Lots that are bought and sold inside a batch never reach the state."""
+    held, processor = _Held(), S._Positions()
+    processor.init(held)
+    leg = lambda no, buy, amount: Row(order_no=no, is_buy=buy, amount=amount, price=2.0)
+    out = list(processor.handleInputRows(("a", "t"), iter([leg(no, no % 2 == 0, 1.0) for no in reversed(range(100))]), None))
+    assert [r.order_no for r in out] == list(range(100)) and out[-1].balance == 0 and held.calls == 2 and not held.lots
+    list(processor.handleInputRows(("a", "t"), iter([leg(100, True, 3.0), leg(101, True, 3.0)]), None))
+    assert held.lots == {(50,): (3.0, 2.0, 0.0, 0.0), (51,): (3.0, 2.0, 0.0, 0.0)}
+    out = list(processor.handleInputRows(("a", "t"), iter([leg(102, False, 4.0), leg(103, False, None)]), None))
+    assert held.lots == {(51,): (2.0, 2.0, 0.0, 2.0)} and out[1].balance == 2.0 and out[1].losses == out[0].losses
+    balance, held = S._Balance(), _Held()
+    balance.init(held)
+    rows = [Row(order_no=2, leg=0, delta="-5"), Row(order_no=1, leg=1, delta="5")]
+    assert [r.change for r in balance.handleInputRows(("t", "a"), iter(rows), None)] == [1, -1] and held.calls == 2
