@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tradeweft.operators.ordered import by_size
 from tradeweft.operators.positions import fifo_positions, open_lots
 
 COLS = ("balance", "cost", "profit", "wins", "losses")
@@ -118,3 +119,30 @@ def test_wide_amounts_over_several_chunks(spark):
         # money is about 1e17, where the doubles of the replay end at 10
         assert [r.balance / 1e20, r.cost, r.profit] == pytest.approx(want[r.n][:3], rel=1e-9, abs=1e3)
         assert r.wins + r.losses == sum(want[r.n][3:])
+
+
+def test_large_and_usual_keys_together(spark, history):
+    """The hot account goes into chunks, the others are partitioned by key; both give what the replay gives."""
+    old = spark.conf.get("tradeweft.chunk.bytes", None)
+    spark.conf.set("tradeweft.chunk.bytes", str(100 * 256))  # 100 rows
+    try:
+        parts = by_size(frame(spark, history), ["account", "token"], ["n"])
+        kinds = {t.whole: {r.account for r in t.df.select("account").distinct().collect()} for t in parts}
+        got = fifo_positions(frame(spark, history), order=["n"]).collect()
+        lots = open_lots(frame(spark, history), order=["n"]).collect()
+    finally:
+        spark.conf.unset("tradeweft.chunk.bytes") if old is None else spark.conf.set("tradeweft.chunk.bytes", old)
+    assert kinds[False] == {"hot"} and kinds[True] == {r[0] for r in history} - {"hot"}
+    want, state = replay(history)
+    check(got, want)
+    left = {}
+    for r in lots:
+        left[r.account, r.token] = left.get((r.account, r.token), 0) + r.amount
+    assert left == pytest.approx({k: sum(x[0] for x in s[0]) for k, s in state.items()}, abs=1e-6)
+
+
+def test_usual_keys_are_shuffled_once(spark, history, folder):
+    frame(spark, history).write.parquet(f"{folder}/legs")
+    plan = fifo_positions(spark.read.parquet(f"{folder}/legs"), order=["n"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1
+    assert sum("FileScan" in line and "account" in line for line in plan.split("\n")) == 1
