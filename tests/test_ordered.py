@@ -106,3 +106,18 @@ def test_downsample(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else i) for i in range(40)], "n int, v int")
     kept = [i for i in range(40) if i % 4]
     assert sorted(r.n for r in O.downsample(df, 6, ["n"], ["v"]).collect()) == kept[::6]
+
+
+def test_usual_keys_fill_tasks_of_bounded_size(spark):
+    """More rows make more tasks, not larger ones; a bucket of more rows than a chunk goes into chunks."""
+    df = spark.range(20_000).selectExpr("id % 5000 AS k", "id AS n").union(spark.range(3000).selectExpr("-1L AS k", "id AS n"))
+    spark.conf.set("tradeweft.chunk.bytes", str(1000 * O.ROW_BYTES))
+    try:
+        parts = {t.whole: t for t in O.by_size(df, ["k"], ["n"])}
+    finally:
+        spark.conf.unset("tradeweft.chunk.bytes")
+    assert {t.df.count() for t in parts.values()} == {20_000, 3000} and parts[False].df.filter("k <> -1").isEmpty()
+    sizes = [r["count"] for r in parts[True].df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 1000
+    largest = parts[False].df.groupBy("_chunk").count().agg(F.max("count")).first()[0]
+    assert parts[False].n == 3 and largest < 1500
