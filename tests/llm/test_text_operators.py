@@ -307,3 +307,15 @@ def test_pieces_are_folded_once_and_numbered_anew(spark, monkeypatch):
     texts = ["", None, *(" ".join(rng.choices(WORDS[:120], k=rng.randrange(40))) for _ in range(90)), "  odd \n space"]
     got = {r.doc_id: list(r.ids) for r in byte_bpe.encode(documents(spark, texts).coalesce(1), byte_bpe.RankMap(ranks), public_tokenizers.PATTERN).collect()}
     assert got == {i: plain.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("most", [5000, 1 << 23])
+def test_segments_number_ids_without_sorting(most, monkeypatch):
+    """Small ids are counted and numbered by arrays, without a sort; ids beyond those still go by search."""
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, most, n).astype("<u4") for n in (0, 1, 5000, 3000)]
+    if most < rans._COUNTED:
+        monkeypatch.setattr(np, "unique", None)
+        monkeypatch.setattr(np, "searchsorted", None)
+    doc_ids, back = rans.decode_segment(rans.encode_segment([4, 5, 6, 7], ids))
+    assert list(doc_ids) == [4, 5, 6, 7] and all((a == b).all() for a, b in zip(ids, back))

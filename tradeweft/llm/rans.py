@@ -28,15 +28,20 @@ from tradeweft.llm.tokens import encoder
 from tradeweft.session import scratch_dir
 
 LANES, STEPS, CHECKPOINT, SEGMENT = 1024, 256, 128, 1 << 21
+#: Bytes that the encoder of a worker remembers of words and of word pieces, each: nothing else here is large.
+HELD = 256 << 20
 #: Frequencies add up to 2 ** SCALE.
 SCALE = 20
+#: Ids below this are counted and numbered by arrays, others by sorting and searching.
+_COUNTED = 1 << 22
 _LOW = np.uint64(1 << 31)
 _MAGIC = b"rANS-seg1"
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols in order and their frequencies, each at least 1, with the sum 2 ** SCALE."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids) if len(ids) and int(ids.max()) < _COUNTED else None
+    symbols, counts = np.unique(ids, return_counts=True) if counts is None else (np.flatnonzero(counts), counts[counts > 0])
     freq = np.maximum(1, counts * (1 << SCALE) // max(len(ids), 1))
     rest = (1 << SCALE) - int(freq.sum())
     while rest:
@@ -104,7 +109,13 @@ def decode_block(data: bytes, table: Table, part: int | None = None) -> np.ndarr
 def encode_segment(doc_ids: list[int], ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate(ids)
     symbols, freq = frequencies(flat)
-    table, places = Table(symbols, freq), np.searchsorted(symbols, flat)
+    table = Table(symbols, freq)
+    if symbols[-1] < _COUNTED:
+        place = np.zeros(int(symbols[-1]) + 1, np.int64)
+        place[symbols] = np.arange(len(symbols))
+        places = place[flat]
+    else:
+        places = np.searchsorted(symbols, flat)
     blocks = [encode_block(places[i:i + LANES * STEPS], table) for i in range(0, len(flat), LANES * STEPS)]
     parts = [zlib.compress(np.array(a, k).tobytes()) for a, k in
              ((symbols, "<u4"), (freq, "<u4"), (doc_ids, "<i8"), ([len(x) for x in ids], "<i8"))]
@@ -133,7 +144,7 @@ def write_ids(documents: DataFrame, path: str, out: str, end: int = 2) -> None:
     schema = "part int, segment int, n_tokens long, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last, part = encoder(path), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId()
+        own, last, part = encoder(path, HELD), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId()
         keys: list[int] = []
         held: list[np.ndarray] = []
         number = total = 0

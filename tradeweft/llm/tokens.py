@@ -53,17 +53,19 @@ class _Known(dict):
         ids = self.before.get(key)
         if ids is None:
             ids = self.make(key)
-        self.held += len(key) + len(ids) + 200  # two objects and a slot
+        size = len(key) + len(ids) + 200  # two objects and a slot
+        self.held += size
         if self.held > self.most // 2:
             self.before = self.copy()
             self.clear()
-            self.held = len(key) + len(ids) + 200
+            self.held = size
         self[key] = ids
         return ids
 
 
 class Encoder:
-    def __init__(self, path: str, held: int = HELD, group: int = GROUP):
+    def __init__(self, path: str, held: int | None = None, group: int = GROUP):
+        held = HELD if held is None else held
         self.group = group
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
@@ -81,12 +83,22 @@ class Encoder:
         self.breaks = np.zeros(256, bool)
         self.breaks[[32, 10] if self.drops_space else [32]] = True
         self.pieces = _Known(self._piece, held)
-        self.words = _Known(lambda word: self._led(word[1:].decode()) if word[:1] == b" " else self._word(word.decode()), held)
+        self.words = _Known(self._made, held)
 
     def _piece(self, piece: str) -> bytes:
-        text = piece.encode().decode("latin-1").translate(self.letters)
+        # ASCII letters stand for themselves
+        text = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
+    def _made(self, word: bytes) -> bytes:
+        if word[:1] != b" ":
+            return self._word(word.decode())
+        core = word[1:].rstrip(b".,!")
+        if core.isalpha():  # of bytes: ASCII letters only
+            piece = self.pieces[self.lead + (core.lower() if self.lower else core).decode()]
+            return piece if len(core) == len(word) - 1 else piece + self.pieces[word[1 + len(core):].decode()]
+        return self._led(word[1:].decode())
+
     def _led(self, word: str) -> bytes:
         """A word with the space before it, where the tokenizer keeps that."""
         core = word.rstrip(".,!")
@@ -110,7 +122,7 @@ class Encoder:
         """Ids of each whole text as little-endian unsigned 32-bit integers; none for null."""
         out: list[bytes] = []
         for group in units(texts, self.breaks, not self.drops_space, self.group):
-            out += group.laid_out([self.words[word] for word in group.words()])
+            out += group.laid_out(list(map(self.words.__getitem__, group.words())))
         return out
 
 
@@ -185,7 +197,7 @@ _SAME = np.arange(256, dtype=np.uint8)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, held: int = HELD, group: int = GROUP) -> Encoder:
+def encoder(path: str, held: int | None = None, group: int = GROUP) -> Encoder:
     """One encoder per worker and vocabulary file, which has to lie at ``path`` on every node.
 
     ``held`` bounds the bytes it remembers of words and of pieces, ``group`` the text whose words are made
