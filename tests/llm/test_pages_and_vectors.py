@@ -208,3 +208,29 @@ def test_a_megabyte_of_broken_markup(page):
     start = time.process_time()
     main_text.parse(page)
     assert time.process_time() - start < 20  # seconds on a loaded machine; a quadratic scan takes hours
+
+
+def test_codes_beyond_the_kth_leave_the_join(spark, monkeypatch):
+    """Later rounds join under the distance of the kth id found so far; the result is that of brute force."""
+    plans, written = [], hamming.written_table
+
+    def watched(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, label)
+
+    monkeypatch.setattr(hamming, "written_table", watched)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(300, 64)) + rng.normal(size=(30, 64)).repeat(10, axis=0)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(300 + i, vectors[0].tolist()) for i in range(15)]
+    got = hamming.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, k=10).collect()
+    signs = np.array([v for _, v in rows]) > 0
+    want = {}
+    for q in range(0, len(rows), 50):
+        far = (signs != signs[q]).sum(axis=1)
+        want[q] = sorted((int(far[i]), i) for i in range(len(rows)) if i != q)[:10]
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.distance, r.vec_id))
+    assert found == want
+    joins = [line for label, plan in plans if label == "found" for line in plan.split("\n") if "Join" in line and "probe" in line]
+    assert len(joins) > 1 and all("bit_count" in line and "bound" in line for line in joins)
