@@ -146,3 +146,11 @@ def test_usual_keys_are_shuffled_once(spark, history, folder):
     plan = fifo_positions(spark.read.parquet(f"{folder}/legs"), order=["n"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
     assert sum("FileScan" in line and "account" in line for line in plan.split("\n")) == 1
+
+
+def test_rows_equal_in_the_order(spark):
+    """Of two sells at one place in the order the one that finds a balance comes first; the other has its wins."""
+    rows = [("a", "t", 1, True, 5.0, 1.0)] + [("a", "t", 2, False, 5.0, 2.0)] * 2 + [("b", "t", 3, True, 1.0, 1.0)]
+    got = fifo_positions(frame(spark, rows), order=["n"]).collect()
+    assert sorted((r.n, r.cost, r.profit, r.wins, r.losses) for r in got) == [
+        (1, 0, 0, 0, 0), (2, 0, 0, 1, 0), (2, 5, 5, 1, 0), (3, 0, 0, 0, 0)]
