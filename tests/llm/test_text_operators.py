@@ -76,6 +76,29 @@ def test_large_nodes_branch_and_meet_in_blocks(spark, monkeypatch):
     assert got == brute_force_components(texts)
 
 
+def test_alike_classes_do_not_branch_through_all_levels(spark, monkeypatch):
+    """A group of alike texts stays together in every level: it is compared where that shows, and rows of members stay few."""
+    monkeypatch.setattr(near_dedup, "NODE", 8)
+    branch, rows = near_dedup._branch, []
+
+    def counted(members, keep):
+        rows.append(members.count())
+        return branch(members, keep)
+
+    monkeypatch.setattr(near_dedup, "_branch", counted)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):  # similarity of most pairs is about 0.6, that of a few above 0.75
+        own = list(WORDS[:300])
+        for at in rng.sample(range(300), rng.choice((5, 12, 16))):
+            own[at] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.link(documents(spark, texts)).collect()}
+    want = brute_force_components(texts)
+    assert got == want and 1 < len({c for _, c, _ in want.values()}) < 60
+    assert sum(rows[2:]) < rows[1]  # rows[0]: the trees' roots, rows[1]: members of large nodes of the first level
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_dedup.link(documents(spark, [])).count() == 0
     df = documents(spark, ["a b c d e f", "a b c d e f", "z"])

@@ -7,8 +7,9 @@ average) by the hash of its own key, and every class moves to the child of its v
 the classes of each node are compared with the node's first class, so that dense groups become one
 component; nodes within one component end there. Then in nodes of up to ``NODE`` classes all pairs
 are compared; larger nodes branch again and compare with their first class. What is still large
-after ``DEPTH`` levels and not one component is compared exhaustively: full sets meet in blocks of
-bounded size. Elsewhere comparing means: a 128-bit sketch that all but one in a hundred thousand
+after ``DEPTH`` levels, or earlier a node of up to ``WIDE`` classes that kept more than half of its
+parent's (alike classes, which further levels would only repeat), and not one component, is compared
+exhaustively: full sets meet in blocks of bounded size. Elsewhere comparing means: a 128-bit sketch that all but one in a hundred thousand
 true pairs pass, then the full sets. Pairs already in one component need no comparison. A class goes by its smallest doc_id (rep).
 
 A pair of similarity 0.75 shares a leaf at depth 1, 2, 3, 4 of one tree with probability 0.81,
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from tradeweft.llm.hashing import blocks, mix, word_hashes
 from tradeweft.session import written_table
 
 WORDS, LAMBDA = 5, 0.75
-TOKENS, TREES, DEPTH, NODE = 128, 10, 5, 32
+TOKENS, TREES, DEPTH, NODE, WIDE = 128, 10, 5, 32, 2048
 #: Members and shingles of a block of a large node.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Bits of 128 in which sketches of a true pair may differ: 16 expected at 0.75, and 4.5 deviations.
@@ -270,19 +272,25 @@ def link(documents: DataFrame) -> DataFrame:
     joins = [_joined(documents, _star_pairs(live))]
     live = written_table(_with_first(_moved(live.drop("size", "weight", "first"), joins[0])), "live")
     pairs = _node_pairs(live.where(F.col("size") <= NODE))
-    large = live.where(F.col("size") > NODE)
+    large, own, dense = live.where(F.col("size") > NODE), [*fields, "root", "node"], []
     for _ in range(1, DEPTH):
         if large.isEmpty():
             break
         # A class meets its tokens once for all its nodes, whose number trees and branching bound.
-        nodes = large.groupBy(*fields, "root").agg(F.collect_list("node").alias("nodes"))
-        rows = nodes.join(classes.select(*fields, "tokens"), fields).withColumn("node", F.explode("nodes"))
-        live = written_table(_with_first(_branch(rows, [*fields, "root"])), "live")
+        nodes = large.groupBy(*fields, "root").agg(F.collect_list(F.struct("node", F.col("size").alias("was"))).alias("nodes"))
+        rows = (nodes.join(classes.select(*fields, "tokens"), fields).withColumn("of", F.explode("nodes"))
+                .select(*fields, "root", "tokens", "of.*"))
+        # Members are counted and joined to the counts: written, so that the branching runs once.
+        live = written_table(_with_first(written_table(_branch(rows, [*fields, "root", "was"]), "members")), "live")
         small, large = live.where(F.col("size") <= NODE), live.where(F.col("size") > NODE)
         pairs = pairs.union(_node_pairs(small)).union(_star_pairs(large))
+        alike = (F.col("size") <= WIDE) & (2 * F.col("size") > F.col("was"))
+        dense.append(large.where(alike).select(own))
+        large = large.where(~alike)
     joins.append(_joined(documents, pairs))
+    large = reduce(DataFrame.union, dense, large.select(own))
     if not large.isEmpty():
-        large = written_table(_with_first(_moved(large.drop("size", "weight", "first"), joins[-1])), "large")
+        large = written_table(_with_first(_moved(large, joins[-1])), "large")
         joins.append(_roots(_exhaustive(documents, large)))
     named = classes.select("class", F.col("rep").alias("root"))
     for joined in joins:
