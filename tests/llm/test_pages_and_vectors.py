@@ -153,6 +153,27 @@ def test_posting_lists_search_every_list_within_the_ratio():
     assert set(lists[0].tolist()) == within and len(within) > 300 and first == [1]
 
 
+def test_far_lists_give_few_rows(spark, monkeypatch):
+    """Every round raises the score that rows must reach, so that far lists give few; the result is as by brute force."""
+    answers, made = posting_lists._answers, []
+
+    def counted(*args):
+        rows = answers(*args)
+        made.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(posting_lists, "_answers", counted)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in posting_lists.search(vectors(spark, [(i, v, 0) for i, v in enumerate(x.tolist())]), every=60, k=5).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {q: [int(i) for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:5] for q in range(0, 6000, 60)}
+    assert sum(len(set(got[q]) & set(w)) for q, w in want.items()) >= 0.95 * 500
+    assert len(made) > 1 and sum(made) < 2600
+
+
 def test_hamming_search_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(64).tolist(), 0) for i in range(300)] + [(i, [1.0] * 64, 0) for i in range(300, 500)]
