@@ -332,6 +332,17 @@ def test_pieces_are_folded_once_and_numbered_anew(spark, monkeypatch):
     assert got == {i: plain.encode_ordinary(t or "") for i, t in enumerate(texts)}
 
 
+def test_the_fold_starts_from_one_number_a_token():
+    """The rank of its pair, its place and its id: the smallest number is the next pair to merge, leftmost first."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"aa": 256, b"aaa": 257}
+    own = byte_bpe.RankMap(ranks)
+    states = byte_bpe.start_states([b"baaa", b"x", b"aaa"], [-1, -1, 257], np.array(own.bytes, np.int32), own.starts).to_pylist()
+    assert [[x & byte_bpe._LOW for x in s[1:-1]] for s in states] == [[98, 97, 97, 97], [120], [257]]
+    assert all({s[0], s[-1]} == {byte_bpe._EDGE} for s in states)
+    assert states[0].index(min(states[0])) == 2 and min(states[0]) >> byte_bpe._PLACED == 256
+    assert min(states[1]) >= byte_bpe._DONE and min(states[2]) >= byte_bpe._DONE
+
+
 @pytest.mark.parametrize("most", [5000, 1 << 23])
 def test_segments_number_ids_without_sorting(most, monkeypatch):
     """Small ids are counted and numbered by arrays, without a sort; ids beyond those still go by search."""

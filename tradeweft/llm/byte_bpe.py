@@ -3,8 +3,10 @@
 A task cuts its texts into the distinct pieces of the split pattern (a row of pieces, then a row
 for each text with the numbers of its pieces). Spark's higher-order functions encode each distinct
 piece: a fold over its bytes that merges the pair of the lowest rank, leftmost first, until no pair
-has a rank. The rank map is a literal: for every pair of tokens that together make a token, that
-token's rank, in an array with a perfect hash, since Spark searches its maps from their start. Rows
+has a rank. The fold's state is one array of numbers, a token each: the rank of its pair with the next
+token, then its place, then its id, so that the smallest number is the next pair to merge. The rank map
+is a literal: for every pair of tokens that together make a token, that token's rank, in an array with a
+perfect hash, since Spark searches its maps from their start. Rows
 keep their order between the steps of the one stage, so that the ids of a text are put together
 without a shuffle. Decoding looks the ids up in a literal array and concatenates the binary pieces,
 which travel as text of one character (0 to 255) for each byte.
@@ -31,9 +33,16 @@ from tradeweft.llm.tokens import units
 #: Ranks are below 2 ** 17; a pair of them is one number.
 SHIFT = 1 << 17
 _NONE = 2**31 - 1
+#: A token in the fold has 18 bits of its pair's rank (``SHIFT``: no rank), 27 of its place in the piece and 18 of its
+#: id; the id ``SHIFT`` stands before the first and behind the last.
+_ID, _PLACED = 18, 45
+_LOW, _REST, _DONE = (1 << _ID) - 1, (1 << _PLACED) - 1, SHIFT << _PLACED
+_EDGE = _DONE | SHIFT
+#: In a free slot: agrees with no pair.
+_FREE = (1 << 62) - 1
 #: Characters of text whose pieces are made distinct together, pieces in a row, and distinct pieces
 #: after which a task forgets which it has had; until then each is folded once per task.
-GROUP, ROW, KNOWN = 4 << 20, 2048, 400_000
+GROUP, ROW, KNOWN = 2 << 20, 2048, 400_000
 #: Two coprime moduli whose product is above every pair: no two pairs agree in both.
 _COARSE, _FINE = 65_537, 524_287
 
@@ -73,9 +82,10 @@ class RankMap:
         if max(ranks.values()) >= SHIFT:
             raise ValueError(f"ranks must be below {SHIFT}")
         self.ranks = ranks
-        pairs = {ranks[t[:i]] * SHIFT + ranks[t[i:]]: rank for t, rank in ranks.items()
+        pairs = {ranks[t[:i]] << _ID | ranks[t[i:]]: rank for t, rank in ranks.items()
                  for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.starts = np.array([[ranks.get(bytes([a, b]), SHIFT) for b in range(256)] for a in range(256)], np.int64)
         self.missed = {t: rank for t, rank in ranks.items() if fold(t, ranks) != [rank]}
         self.size = 1 << max(8, (len(pairs) * 3 // 2).bit_length())
         self.shifts, self.slots = self._place(pairs)
@@ -85,65 +95,84 @@ class RankMap:
         buckets: dict[int, list[int]] = {}
         for key in pairs:
             buckets.setdefault(key % _COARSE, []).append(key)
-        shifts, slots = [0] * _COARSE, [-1] * self.size
+        shifts, slots = [0] * _COARSE, [_FREE] * self.size
         for coarse, keys in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
             fine = [k % _FINE for k in keys]
             for turn in range(self.size):
                 shift = (coarse * 7919 + turn * 104_729) % self.size
                 places = {(f + shift) % self.size for f in fine}
-                if len(places) == len(fine) and all(slots[p] < 0 for p in places):
+                if len(places) == len(fine) and all(slots[p] == _FREE for p in places):
                     break
             else:
                 raise ValueError("no free slots for a bucket of pairs")
             shifts[coarse] = shift
             for k, f in zip(keys, fine):
-                slots[(f + shift) % self.size] = k * SHIFT + pairs[k]
+                slots[(f + shift) % self.size] = k << 17 | pairs[k]
         return shifts, slots
 
     def columns(self):
-        """A function from columns of two ranks to the rank of the token they make, or ``_NONE``."""
+        """A function from a column of two ranks (the left one above ``_ID`` bits) to the rank of the token they make, or ``SHIFT``."""
         shifts = F.from_json(F.lit(json.dumps(self.shifts)), "array<int>")
         slots = F.from_json(F.lit(json.dumps(self.slots)), "array<bigint>")
 
         def of_key(key: Column) -> Column:
-            slot = F.get(slots, ((key % _FINE + F.get(shifts, (key % _COARSE).cast("int"))) % self.size).cast("int"))
-            return _let(slot, lambda v: F.when((v / SHIFT).cast("bigint") == key, (v % SHIFT).cast("int")).otherwise(F.lit(_NONE)))
+            slot = (key % _FINE + F.get(shifts, (key % _COARSE).cast("int"))).bitwiseAND(self.size - 1).cast("int")
+            return F.least(F.get(slots, slot).bitwiseXOR(F.shiftleft(key, 17)), F.lit(SHIFT).cast("bigint"))
 
-        return lambda a, b: _let(a.cast("bigint") * SHIFT + b, of_key)
+        return of_key
 
 
 def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-def encode_piece(letters: Column, ranks: RankMap) -> Column:
-    """Ids of a piece of the split pattern, given as the array of its bytes' ids."""
-    made_of, every = ranks.columns(), F.lit(_NONE)
+def encode_piece(tokens: Column, ranks: RankMap) -> Column:
+    """Ids of a piece of the split pattern, given as the fold's first state (see :func:`start_states`)."""
+    rank_of, long = ranks.columns(), lambda n: F.lit(n).cast("bigint")
 
     def merge(state: Column, _: Column) -> Column:
-        parts, old = state["parts"], state["ranks"]
-
-        def at(i: Column) -> Column:  # from 1; the merged token's id is its rank
-            low = F.get(old, i - 1)
-            near = F.transform(F.when(i > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))),
-                               lambda side: F.when((side == 1) & (i + 1 >= F.size(parts)), every).otherwise(made_of(
-                                   F.when(side == 0, F.get(parts, i - 2)).otherwise(low),
-                                   F.when(side == 0, low).otherwise(F.get(parts, i + 1)))))
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), i - 1), F.array(low), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(old, F.lit(1), F.greatest(i - 2, F.lit(0))), near, F.slice(old, i + 2, F.size(parts))).alias("ranks"))
-
-        return _let(F.array_position(old, F.array_min(old)).cast("int"),
-                    lambda i: F.when(F.get(old, i - 1) == every, state).otherwise(at(i)))
-
-    start = F.struct(letters.alias("parts"), F.transform(
-        letters, lambda c, i: F.when(i + 1 < F.size(letters), made_of(c, F.get(letters, i + 1))).otherwise(every)).alias("ranks"))
-    return F.aggregate(F.slice(letters, 2, F.size(letters)), start, merge, lambda s: s["parts"])
+        def at(low: Column, i: Column) -> Column:  # i from 1; the merged token's id is its rank
+            made = F.shiftright(low, _PLACED)
+            before = F.get(state, i - 2)
+            keys = F.array(F.shiftleft(before.bitwiseAND(long(_LOW)), _ID).bitwiseOR(made),
+                           F.shiftleft(made, _ID).bitwiseOR(F.get(state, i + 1).bitwiseAND(long(_LOW))))
+            rest = lambda side: F.when(side == 0, before.bitwiseAND(long(_REST))).otherwise(
+                low.bitwiseAND(long(_REST - _LOW)).bitwiseOR(made))
+            near = F.transform(keys, lambda key, side: F.shiftleft(rank_of(key), _PLACED).bitwiseOR(rest(side)))
+            return F.concat(F.slice(state, F.lit(1), i - 2), near, F.slice(state, i + 2, F.size(state)))
+
+        return _let(F.array_min(state), lambda low: F.when(low >= long(_DONE), state).otherwise(
+            _let(F.array_position(state, low).cast("int"), lambda i: at(low, i))))
+
+    return F.aggregate(F.slice(tokens, 4, F.size(tokens)), tokens, merge, lambda s: F.transform(
+        F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(long(_LOW)).cast("int")))
+
+
+def start_states(pieces: list[bytes], known: list[int], byte_ids: np.ndarray, pairs: np.ndarray) -> pa.ListArray:
+    """The fold's first state of each piece: its bytes between two edges, or one token where its id is known (not -1)."""
+    known = np.array(known, np.int64)
+    data = [b"\0" if k >= 0 else p for p, k in zip(pieces, known.tolist())]
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    if len(sizes) and sizes.max() >= 1 << (_PLACED - _ID):
+        raise ValueError(f"a piece has {sizes.max()} bytes")
+    flat, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes)
+    begins = ends - sizes
+    ids = byte_ids[flat].astype(np.int64)
+    ids[begins[known >= 0]] = known[known >= 0]
+    rank = np.full(len(flat), SHIFT, np.int64)
+    rank[:-1] = pairs[flat[:-1], flat[1:]]
+    rank[ends - 1] = SHIFT
+    offsets = np.concatenate([[0], ends + 2 * np.arange(1, len(data) + 1)])
+    out = np.full(len(flat) + 2 * len(data), _EDGE, np.int64)
+    out[np.arange(len(flat)) + np.repeat(2 * np.arange(len(data)) + 1, sizes)] = (
+        rank << _PLACED | (np.arange(len(flat)) - np.repeat(begins, sizes)) << _ID | ids)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
 
 
 def encode(documents: DataFrame, ranks: RankMap, pattern: str) -> DataFrame:
     """doc_id and ids (array<int>) of every whole text."""
-    missed, byte_ids = {t.decode(): [rank] for t, rank in ranks.missed.items() if _is_text(t)}, np.array(ranks.bytes, np.int32)
+    missed, byte_ids = {t.decode(): rank for t, rank in ranks.missed.items() if _is_text(t)}, np.array(ranks.bytes, np.int32)
+    pairs = ranks.starts
     breaks = np.zeros(256, bool)
     breaks[32] = True
 
@@ -158,13 +187,15 @@ def encode(documents: DataFrame, ranks: RankMap, pattern: str) -> DataFrame:
                 for word in group.words():
                     made.append(np.array([numbers.setdefault(p, len(numbers)) for p in split.findall(word.decode())], "<u4").tobytes())
                 runs = group.laid_out(made)
-                pieces = [missed.get(p) or byte_ids[np.frombuffer(p.encode(), np.uint8)] for p in islice(numbers, before, None)]
-                rows = [pieces[i:i + ROW] for i in range(0, len(pieces), ROW)]
+                new = list(islice(numbers, before, None))
+                states = start_states([p.encode() for p in new], [missed.get(p, -1) for p in new], byte_ids, pairs)
+                rows = -(-len(new) // ROW)
+                cuts = [*range(0, len(new), ROW), *[None] * len(runs), len(new)]  # none in the rows of texts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([None] * len(rows) + doc_ids.slice(at, len(runs)).to_pylist(), pa.int64()),
-                     pa.array([None] * len(rows) + runs, pa.binary()),
-                     pa.array(rows + [None] * len(runs), pa.list_(pa.list_(pa.int32()))),
-                     pa.array([before == 0 and i == 0 for i in range(len(rows) + len(runs))], pa.bool_())],
+                    [pa.array([None] * rows + doc_ids.slice(at, len(runs)).to_pylist(), pa.int64()),
+                     pa.array([None] * rows + runs, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), states),
+                     pa.array([before == 0 and i == 0 for i in range(rows + len(runs))], pa.bool_())],
                     ["doc_id", "run", "pieces", "anew"])
                 at += len(runs)
 
@@ -192,7 +223,7 @@ def encode(documents: DataFrame, ranks: RankMap, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
                                              ["doc_id", "ids"])
 
-    pieces = documents.select("doc_id", "text").mapInArrow(cut, "doc_id long, run binary, pieces array<array<int>>, anew boolean")
+    pieces = documents.select("doc_id", "text").mapInArrow(cut, "doc_id long, run binary, pieces array<array<bigint>>, anew boolean")
     coded = pieces.select("doc_id", "run", "anew", F.transform("pieces", lambda p: encode_piece(p, ranks)).alias("codes"))
     return coded.mapInArrow(gather, "doc_id long, ids array<int>")
 
