@@ -6,7 +6,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -343,6 +345,28 @@ def test_the_fold_starts_from_one_number_a_token():
     assert min(states[1]) >= byte_bpe._DONE and min(states[2]) >= byte_bpe._DONE
 
 
+def test_texts_and_ids_go_in_bounded_parts(spark, monkeypatch):
+    """A few texts are Python objects at once, and row batches of ids have a bound, whatever the batches of Spark hold."""
+    monkeypatch.setattr(byte_bpe, "TEXTS", 3)
+    monkeypatch.setattr(byte_bpe, "IDS", 50)
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    texts = [*ODD, *(" ".join(rng.choices(WORDS[:200], k=rng.randrange(30))) for _ in range(60))]
+    coded = byte_bpe.encode(documents(spark, texts).coalesce(1), byte_bpe.RankMap(ranks), public_tokenizers.PATTERN)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    held = byte_bpe._texts(batch)
+    assert next(held) == texts[0] and [texts[0], *held] == texts and batch.num_rows > byte_bpe.TEXTS
+    assert {r.doc_id: list(r.ids) for r in coded.collect()} == {i: plain.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_words_are_split_as_by_the_pattern():
+    split, own = byte_bpe._Splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
+    assert split.plain and not byte_bpe._Splitter(r"\S+").plain
+    for word in [" word", "word", " word.,!", "\u00e4\u00df.", " \u00e9t\u00e9!!", " it's", " x1.", " ...", ".", " a\nb", " \u00aa", " \u4e2d.", " e\u0301.", "!word"]:
+        assert [p.decode() for p in split(word.encode())] == own.findall(word)
+
+
 @pytest.mark.parametrize("most", [5000, 1 << 23])
 def test_segments_number_ids_without_sorting(most, monkeypatch):
     """Small ids are counted and numbered by arrays, without a sort; ids beyond those still go by search."""

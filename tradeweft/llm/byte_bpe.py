@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeweft.llm.tokens import units
+from tradeweft.llm.tokens import _BYTE_LEVEL, units
 
 #: Ranks are below 2 ** 17; a pair of them is one number.
 SHIFT = 1 << 17
@@ -45,6 +45,8 @@ _FREE = (1 << 62) - 1
 GROUP, ROW, KNOWN = 2 << 20, 2048, 400_000
 #: Two coprime moduli whose product is above every pair: no two pairs agree in both.
 _COARSE, _FINE = 65_537, 524_287
+#: Texts that are Python objects at once, and ids that a row batch collects.
+TEXTS, IDS = 512, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,13 +59,6 @@ def _letters(data: bytes) -> str:
     return data.decode("latin-1")
 
 
-def _is_text(data: bytes) -> bool:
-    try:
-        return bool(data.decode())
-    except UnicodeDecodeError:
-        return False
-
-
 def fold(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same fold in plain Python, for single pieces."""
     parts = [data[i:i + 1] for i in range(len(data))]
@@ -169,26 +164,51 @@ def start_states(pieces: list[bytes], known: list[int], byte_ids: np.ndarray, pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
 
 
+class _Numbers(dict):
+    """Piece -> its number as a little-endian 32-bit integer, in the order in which pieces are first asked for."""
+
+    def __missing__(self, piece: bytes) -> bytes:
+        number = self[piece] = len(self).to_bytes(4, "little")
+        return number
+
+
+class _Splitter:
+    """Words to pieces of the split pattern; words of letters with stops behind them without the pattern, where it allows that."""
+
+    def __init__(self, pattern: str):
+        self.split, self.plain = regex.compile(pattern), pattern == _BYTE_LEVEL
+
+    def __call__(self, word: bytes) -> list[bytes]:
+        if self.plain:
+            core = word.rstrip(b".,!")
+            bare = core[1:] if core[:1] == b" " else core
+            if bare.isalpha() or bare and not bare.isascii() and (text := bare.decode()).isalpha() and max(text) < "\u0250":
+                return [core] if len(core) == len(word) else [core, word[len(core):]]
+        return [p.encode() for p in self.split.findall(word.decode())]
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    for start in range(0, batch.num_rows, TEXTS):
+        yield from batch.column("text").slice(start, TEXTS).to_pylist()
+
+
 def encode(documents: DataFrame, ranks: RankMap, pattern: str) -> DataFrame:
     """doc_id and ids (array<int>) of every whole text."""
-    missed, byte_ids = {t.decode(): rank for t, rank in ranks.missed.items() if _is_text(t)}, np.array(ranks.bytes, np.int32)
-    pairs = ranks.starts
+    missed, byte_ids, pairs = ranks.missed, np.array(ranks.bytes, np.int32), ranks.starts
     breaks = np.zeros(256, bool)
     breaks[32] = True
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, numbers = regex.compile(pattern), {}
+        split, numbers = _Splitter(pattern), _Numbers()
         for batch in batches:
             doc_ids, at = batch.column("doc_id"), 0
-            for group in units(batch.column("text").to_pylist(), breaks, True, GROUP):
+            for group in units(_texts(batch), breaks, True, GROUP):
                 if len(numbers) > KNOWN:
-                    numbers = {}
-                made, before = [], len(numbers)
-                for word in group.words():
-                    made.append(np.array([numbers.setdefault(p, len(numbers)) for p in split.findall(word.decode())], "<u4").tobytes())
-                runs = group.laid_out(made)
-                new = list(islice(numbers, before, None))
-                states = start_states([p.encode() for p in new], [missed.get(p, -1) for p in new], byte_ids, pairs)
+                    numbers = _Numbers()
+                before = len(numbers)
+                runs = group.laid_out([b"".join([numbers[p] for p in split(word)]) for word in group.words()])
+                new = list(islice(reversed(numbers), len(numbers) - before))[::-1]
+                states = start_states(new, [missed.get(p, -1) for p in new], byte_ids, pairs)
                 rows = -(-len(new) // ROW)
                 cuts = [*range(0, len(new), ROW), *[None] * len(runs), len(new)]  # none in the rows of texts
                 yield pa.RecordBatch.from_arrays(
@@ -201,9 +221,12 @@ def encode(documents: DataFrame, ranks: RankMap, pattern: str) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, sizes, held, fresh = np.empty(0, np.int32), np.empty(0, np.int64), [], False
-        begins = sizes
+        begins, doc_ids, ids, total = sizes, [], [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
         for batch in batches:
-            doc_ids, ids = [], []
             runs, codes, anew = batch.column("run"), batch.column("codes"), batch.column("anew").to_pylist()
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 if codes[i].is_valid:  # a row of pieces; numbers go on from the rows before, or start anew
@@ -220,8 +243,11 @@ def encode(documents: DataFrame, ranks: RankMap, pattern: str) -> DataFrame:
                 stops = np.cumsum(counts)
                 doc_ids.append(doc_id)
                 ids.append(flat[np.repeat(begins[run] - stops + counts, counts) + np.arange(stops[-1] if len(run) else 0)])
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
-                                             ["doc_id", "ids"])
+                total += len(ids[-1])
+                if total >= IDS:
+                    yield made()
+                    doc_ids, ids, total = [], [], 0
+        yield made()
 
     pieces = documents.select("doc_id", "text").mapInArrow(cut, "doc_id long, run binary, pieces array<array<bigint>>, anew boolean")
     coded = pieces.select("doc_id", "run", "anew", F.transform("pieces", lambda p: encode_piece(p, ranks)).alias("codes"))
@@ -232,4 +258,4 @@ def decode(ids: Column, ranks: RankMap) -> Column:
     """The bytes that ids stand for."""
     by_rank = dict(sorted((rank, _letters(piece)) for piece, rank in ranks.ranks.items()))
     table = F.from_json(F.lit(json.dumps([by_rank.get(i) for i in range(max(by_rank) + 1)])), "array<string>")
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""), "ISO-8859-1")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""), "ISO-8859-1")

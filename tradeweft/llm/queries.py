@@ -31,7 +31,7 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = byte_bpe.RankMap(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
     coded = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
-    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    decimal = F.btrim(F.to_json("ids"), F.lit("[]"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
                         F.sha2(byte_bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
