@@ -153,3 +153,36 @@ def test_only_addresses_that_may_change_are_replayed(spark, monkeypatch):
     monkeypatch.setattr(H, "_replay", counting)
     got = {(r.token, r.n): r.holders for r in H.holder_counts(frame(spark, rows), order=ORDER).collect()}
     assert got == replay(rows) and seen.value == 6  # a, b and c, two legs each
+
+
+def test_one_replay_serves_receivers_that_send_nothing(spark, monkeypatch):
+    """Rejections that reach no other sender are settled by the first pass: its rows are neither placed nor replayed again."""
+    def never(*_):
+        raise AssertionError("replayed again")
+
+    monkeypatch.setattr(H, "_settled", never)
+    rows = [("t", ZERO, "a", 5, 1), ("t", ZERO, "e", 9, 2), ("t", "a", "b", 9, 3), ("t", "a", "b", 4, 4), ("t", "a", "c", 3, 5),
+            ("t", "e", "c", 9, 6), ("u", ZERO, "a", 1, 7), ("u", "a", "b", 1, 8)]
+    for kind in ("int", "string", "decimal(38,0)"):
+        wide = [(t, s, d, a * 10 ** (40 if kind == "string" else 0), n) for t, s, d, a, n in rows]
+        got = {(r.token, r.n): r.holders for r in H.holder_counts(frame(spark, wide, kind), order=ORDER).collect()}
+        assert got == replay(rows) and len(got) == 6
+
+
+@pytest.mark.parametrize("kind,scale", [("string", 10**60 + 7), ("decimal(38,0)", 1)])
+def test_large_and_usual_addresses_reject_each_other(spark, kind, scale):
+    """Most addresses are walked whole, one goes into chunks; a key goes over several batches of rows."""
+    rng, rows = random.Random(8), [("t", ZERO, "hub", 60 * scale, 0)]
+    for n in range(1, 400):
+        a, b = f"a{rng.randint(0, 30)}", f"a{rng.randint(0, 30)}"
+        src, dst = rng.choice([("hub", a), (a, "hub"), (a, b), (ZERO, a)])
+        rows.append(("t", src, dst, rng.randint(1, 20) * scale, n))
+    settings = {"tradeweft.chunk.bytes": str(60 * 256), "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {(r.token, r.n): r.holders for r in H.holder_counts(frame(spark, rows, kind), order=ORDER).collect()}
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert got == replay(rows) and len(got) < 390
