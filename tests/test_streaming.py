@@ -1,5 +1,8 @@
 """A stream over all available input gives the batch result."""
 
+from decimal import Decimal
+
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -128,3 +131,41 @@ def test_state_is_read_and_written_once_a_batch():
     balance.init(held)
     rows = [Row(order_no=2, leg=0, delta="-5"), Row(order_no=1, leg=1, delta="5")]
     assert [r.change for r in balance.handleInputRows(("t", "a"), iter(rows), None)] == [1, -1] and held.calls == 2
+
+
+class _Slots(_Held):
+    """A map state that counts its calls."""
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.lots)
+
+
+def test_balances_of_a_slot_are_read_and_written_at_once():
+    """A thousand addresses in one slot: one look for state and one writing, then a reading too; amounts of any size."""
+    held, balances, scale = _Slots(), S._Balances(), 10 ** 30
+    balances.init(held)
+
+    def rows(*legs):
+        return iter([pd.DataFrame([{"token": None if i % 2 else "t", "address": f"a{i}", "order_no": n, "unplaced": False, "leg": leg,
+                                    "amount": str(i * size), "slot": 3, "part": 0} for i in range(1, 1001)]) for n, leg, size in legs])
+
+    out = pd.concat(balances.handleInputRows((0,), rows((3, 1, 1), (2, 0, scale), (1, 1, scale)), None))
+    assert held.calls == 2 and out.groupby("order_no")["change"].agg(["min", "max", "size"]).values.tolist() == [
+        [1, 1, 1000], [-1, -1, 1000], [1, 1, 1000]]
+    out = pd.concat(balances.handleInputRows((0,), rows((4, 0, 1)), None))
+    assert held.calls == 5 and set(out["change"]) == {-1} and held.lots == {(3,): ("[]",)}
+
+
+def test_balances_last_from_batch_to_batch(spark, folder):
+    """Transfers without a place come last, amounts need more than 64 bits, an address sends to itself."""
+    kind = "token string, from_address string, to_address string, amount decimal(38,0), order_no bigint"
+    one, zero = 10 ** 37, S.ZERO_ADDRESS
+    batches = [[("t", zero, "a", one, 2 ** 60 + 1), ("t", "a", "b", one, 2 ** 60 + 3), ("t", "b", "a", 3, None), (None, zero, "a", 5, 1)],
+               [("t", "b", "a", one - 3, 2 ** 60 + 5), (None, "a", zero, 5, 2), ("t", "c", "c", 0, 3)]]
+    for rows in batches:
+        spark.createDataFrame([(t, s, d, Decimal(a), n) for t, s, d, a, n in rows], kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    got = run(S.holder_changes_stream(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")), folder, "changes")
+    assert sorted((str(r.token), r.address, r.order_no or 0, r.change) for r in got.collect()) == sorted([
+        ("t", "a", 2 ** 60 + 1, 1), ("t", "a", 2 ** 60 + 3, -1), ("t", "b", 2 ** 60 + 3, 1), ("t", "b", 0, 0), ("t", "a", 0, 1), ("None", "a", 1, 1),
+        ("t", "b", 2 ** 60 + 5, -1), ("t", "a", 2 ** 60 + 5, 0), ("None", "a", 2, -1), ("t", "c", 3, 0), ("t", "c", 3, 0)])
